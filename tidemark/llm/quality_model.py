@@ -14,7 +14,7 @@ from tidemark.llm.shared import BLANKS, crc_of_id, let, n_words, words
 #: At most so many labelled rows of each label are fitted on: those of smallest id hash. The bound holds at every corpus size.
 MOST_LABELLED = 4000
 PAIRS_PER_ROW = 8
-FEATURES = ("symbols", "shouting", "marks", "pipes", "digits", "stops", "length", "long_words", "variety", "same_lines", "size", "inner_capitals", "dangling")
+FEATURES = ("symbols", "shouting", "marks", "pipes", "digits", "stops", "length", "long_words", "variety", "same_lines", "size", "inner_capitals", "breaks", "stutter", "richness")
 
 
 def features(text: Column) -> list[Column]:
@@ -24,13 +24,14 @@ def features(text: Column) -> list[Column]:
     chars = F.greatest(F.length(F.translate(t, BLANKS, "")), F.lit(1)).cast("double")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
     among = lambda letters: (F.length(t) - F.length(F.translate(t, letters, ""))).cast("double")
-    variety = let(F.transform(words(t), lambda w: F.xxhash64(w)), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
+    distinct = F.size(F.array_distinct(F.transform(words(t), lambda w: F.xxhash64(w)))).cast("double")
     lines = let(F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: (F.size(x) - F.size(F.array_distinct(x))) / F.greatest(F.size(x), F.lit(1)))
     root = lambda c: F.sqrt(F.least(c, F.lit(1.0)))
     return [c.cast("double").alias(name) for name, c in zip(FEATURES, (
         root(among("#*$%&<>~^_=+@\\{}[]") / n / 3), root(count(r"\p{Lu}") / chars), root(among("!?") / n / 2), root(among("|") / n), root(count("[0-9]") / chars),
-        root(among(".,") / n), F.log1p(chars / n), root(count(r"[^\x20\x09-\x0D]{14,}") / n), variety * F.least(F.log1p(n) / 6, F.lit(1.0)), lines, F.log1p(n) / 8,
-        root(count(r"\p{Ll}\p{Lu}") / n), root(count(r"\n") / n),
+        root(among(".,") / n), F.log1p(chars / n), root(count(r"[^\x20\x09-\x0D]{14,}") / n), distinct / n * F.least(F.log1p(n) / 6, F.lit(1.0)), lines, F.log1p(n) / 8,
+        root(count(r"\p{Ll}\p{Lu}") / n), root(among("\n") / n),
+        root(count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])") / n), F.log1p(distinct) / F.log1p(n),
     ), strict=True)]
 
 
