@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, quality_model, quality_rules, simhash, url_filter
+from tidemark.llm import fingerprints, mixing, quality_model, quality_rules, repeats, simhash, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -38,8 +38,14 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pareto_mix, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules]
+    found = [op1_pareto_mix, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op10_repeated_bytes]
     return {f.__name__: f for f in found}
 
 
