@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, packing, quality_model, quality_rules, repeats, simhash, url_filter
+from tidemark.llm import brown, fingerprints, mixing, packing, quality_model, quality_rules, repeats, simhash, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -44,6 +44,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -51,7 +55,7 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pareto_mix, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op10_repeated_bytes]
+    found = [op1_pareto_mix, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op9_brown_scores, op10_repeated_bytes]
     return {f.__name__: f for f in found}
 
 
