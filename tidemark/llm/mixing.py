@@ -107,11 +107,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     group's total, so the number of rows is exact.
     """
     plan = mix(docs, **how).groupBy("_mark").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    marked = docs.withColumn("_m", F.xxhash64("doc_id", "source", "text"))
-    joined = marked.join(plan, F.col("_m") == F.col("_mark"))
-    nth = F.row_number().over(Window.partitionBy("_m").orderBy("doc_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "source", "text").alias("_m"))
+    joined = rows.join(plan, F.col("_m") == F.col("_mark"))
     single = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
-    many = joined.where("_rows > 1").withColumn("_nth", nth)
-    many = many.withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_nth")
-    out = single.unionByName(many).where("_times > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_n")).drop("_n")
+    # Rows that agree in id, source and text, few in practice: their copies are dealt out in turn.
+    nth = F.row_number().over(Window.partitionBy("_m").orderBy(F.xxhash64("_row")))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
+    many = joined.where("_rows > 1").withColumn("_nth", nth).withColumn("_times", share).drop("_nth")
+    out = single.unionByName(many).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_n"))
+    return out.select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import brown, fingerprints, mixing, packing, quality_model, quality_rules, repeats, simhash, url_filter
+from tidemark.llm import brown, fingerprints, line_dedup, mixing, packing, quality_model, quality_rules, repeats, simhash, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -17,6 +17,12 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "expected", "copies")
 
 
+def op2_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = line_dedup.dedup_lines(docs)
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), capacity=1024)
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -55,7 +61,7 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pareto_mix, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op9_brown_scores, op10_repeated_bytes]
+    found = [op1_pareto_mix, op2_line_alignment, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op9_brown_scores, op10_repeated_bytes]
     return {f.__name__: f for f in found}
 
 

@@ -98,7 +98,8 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; rows that repeat that id with a null id stay."""
+    """The rows of docs whose id is the smallest of its component, with their columns. Rows that share that id all stay."""
     groups = near_groups(docs, size, distance)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
