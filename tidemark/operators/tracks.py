@@ -6,11 +6,18 @@ samples of different tracks. Extra key columns (a job) can be folded into track_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("track_index")
-ORDERED = TRACK.orderBy("i")
+
+def track() -> WindowSpec:
+    """All samples of a track."""
+    return Window.partitionBy("track_index")
+
+
+def ordered() -> WindowSpec:
+    """The samples of a track in order."""
+    return track().orderBy("i")
 
 
 def from_arrays(df: DataFrame, key: str, array: str, scale: float = 1.0) -> DataFrame:
@@ -24,7 +31,7 @@ def from_points(df: DataFrame, key: str, points: str, order: str = "xy") -> Data
     frame, position = (0, 1) if order == "yx" else (1, 0)
     rows = df.select(F.col(key).cast("long").alias("track_index"), F.posexplode(points).alias("at", "p"))
     rows = rows.select("track_index", "at", F.get("p", F.lit(frame)).cast("double").alias("frame"), F.get("p", F.lit(position)).cast("double").alias("position"))
-    return rows.select("track_index", (F.row_number().over(TRACK.orderBy("frame", "at")) - 1).alias("i"), "frame", "position")
+    return rows.select("track_index", (F.row_number().over(track().orderBy("frame", "at")) - 1).alias("i"), "frame", "position")
 
 
 def from_rows(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -40,17 +47,17 @@ def finite(c: Column) -> Column:
 
 def detrend(tracks: DataFrame) -> DataFrame:
     """Adds baseline (least-squares line) and residual. A single sample is its own baseline."""
-    slope = F.coalesce(F.regr_slope("position", "frame").over(TRACK), F.lit(0.0))
-    base = F.avg("position").over(TRACK) + slope * (F.col("frame") - F.avg("frame").over(TRACK))
+    slope = F.coalesce(F.regr_slope("position", "frame").over(track()), F.lit(0.0))
+    base = F.avg("position").over(track()) + slope * (F.col("frame") - F.avg("frame").over(track()))
     return tracks.withColumn("baseline", base).withColumn("residual", F.col("position") - F.col("baseline"))
 
 
 def detrend_quadratic(tracks: DataFrame) -> DataFrame:
     """Adds baseline and residual of a parabola: normal equations from power sums about the mean frame."""
-    x = F.col("frame") - F.avg("frame").over(TRACK)
+    x = F.col("frame") - F.avg("frame").over(track())
     t = tracks.withColumn("_x", x)
-    s = {k: F.avg(F.pow("_x", F.lit(k))).over(TRACK) for k in (2, 3, 4)}
-    y0, y1, y2 = (F.avg(F.col("position") * F.pow("_x", F.lit(k))).over(TRACK) for k in (0, 1, 2))
+    s = {k: F.avg(F.pow("_x", F.lit(k))).over(track()) for k in (2, 3, 4)}
+    y0, y1, y2 = (F.avg(F.col("position") * F.pow("_x", F.lit(k))).over(track()) for k in (0, 1, 2))
     t = t.select("*", s[2].alias("_s2"), s[3].alias("_s3"), s[4].alias("_s4"), y0.alias("_y0"), y1.alias("_y1"), y2.alias("_y2"))
     det = F.col("_s2") * F.col("_s4") - F.col("_s2") * F.col("_s2") * F.col("_s2") - F.col("_s3") * F.col("_s3")
     # Eliminate the constant: c0 = y0 - c2 s2.
@@ -67,7 +74,7 @@ def spectrum(tracks: DataFrame, sampling_rate: float = 1.0) -> DataFrame:
 
     Every sample meets n / 2 + 1 frequencies of its own track; the sums are combined before the exchange.
     """
-    t = tracks.select("track_index", "i", (F.col("residual") - F.avg("residual").over(TRACK)).alias("x"), F.count(F.lit(1)).over(TRACK).alias("n"))
+    t = tracks.select("track_index", "i", (F.col("residual") - F.avg("residual").over(track())).alias("x"), F.count(F.lit(1)).over(track()).alias("n"))
     t = t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2).cast("long"))).alias("k"))
     angle = F.lit(2.0) * F.pi() * F.col("k") * F.col("i") / F.col("n")
     sums = t.groupBy("track_index", "k", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
@@ -101,8 +108,8 @@ def resolve_frequency(f: Column, span: Column, sampling_rate: float, least: floa
 def local_maxima(tracks: DataFrame, k: int = 1) -> DataFrame:
     """Samples whose residual is above those of all k neighbours on both sides; outside the track there is nothing higher."""
     low = F.lit(float("-inf"))
-    before = F.coalesce(F.max("residual").over(ORDERED.rowsBetween(-k, -1)), low)
-    after = F.coalesce(F.max("residual").over(ORDERED.rowsBetween(1, k)), low)
+    before = F.coalesce(F.max("residual").over(ordered().rowsBetween(-k, -1)), low)
+    after = F.coalesce(F.max("residual").over(ordered().rowsBetween(1, k)), low)
     return tracks.withColumn("_b", before).withColumn("_a", after).where((F.col("residual") > F.col("_b")) & (F.col("residual") > F.col("_a"))).drop("_a", "_b")
 
 
@@ -112,7 +119,7 @@ def prominences(tracks: DataFrame) -> DataFrame:
     The bases are the nearest strictly higher samples on both sides (or the ends); the prominence is the height above the higher of the
     two minima on the way. Each peak meets the samples of its own track only.
     """
-    n = F.count(F.lit(1)).over(TRACK)
+    n = F.count(F.lit(1)).over(track())
     peaks = local_maxima(tracks.withColumn("_n", n)).where((F.col("i") > 0) & (F.col("i") < F.col("_n") - 1))
     p = peaks.select("track_index", F.col("i").alias("peak_i"), "frame", "position", "residual")
     s = tracks.select(F.col("track_index").alias("_t"), F.col("i").alias("_i"), F.col("residual").alias("_r"))
@@ -140,7 +147,7 @@ def with_fallback(tracks: DataFrame, peaks: DataFrame) -> DataFrame:
 def find_peaks(tracks: DataFrame, prominence: float) -> DataFrame:
     """Peaks of at least this prominence, one at least per track, with ordinal, neighbours and the local period in frames."""
     peaks = with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence))
-    w = TRACK.orderBy("peak_i")
+    w = track().orderBy("peak_i")
     peaks = peaks.select(
         "*", F.row_number().over(w).alias("peak_ord"), F.lag("peak_i").over(w).alias("prev_i"), F.lead("peak_i").over(w).alias("next_i"),
         F.lag("frame").over(w).alias("prev_frame"), F.lead("frame").over(w).alias("next_frame"),
@@ -186,7 +193,7 @@ def anchored_fits(tracks: DataFrame, peaks: DataFrame, sampling_rate: float, fra
 
 def local_angle() -> Column:
     """Angle of the step from the sample before; 0 where the frame stays."""
-    dx, dy = F.col("frame") - F.lag("frame").over(ORDERED), F.col("position") - F.lag("position").over(ORDERED)
+    dx, dy = F.col("frame") - F.lag("frame").over(ordered()), F.col("position") - F.lag("position").over(ordered())
     return F.when(dx.isNotNull(), F.atan(F.abs(F.when(dx != 0, dy / dx).otherwise(0.0))))
 
 
@@ -280,7 +287,7 @@ def track_rows(tracks: DataFrame, peaks: DataFrame, freq: DataFrame, sampling_ra
 
 def decimate(tracks: DataFrame, most: int) -> DataFrame:
     """All samples of short tracks; of longer ones `most`, evenly spaced, first and last included."""
-    t = tracks.withColumn("_n", F.count(F.lit(1)).over(TRACK))
+    t = tracks.withColumn("_n", F.count(F.lit(1)).over(track()))
     short = t.where(F.col("_n") <= most)
     wanted = tracks.groupBy("track_index").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     wanted = wanted.select(F.col("track_index").alias("_t"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (most - 1)))).alias("_i"))

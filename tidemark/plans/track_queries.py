@@ -236,7 +236,7 @@ def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mads(res: DataFrame) -> DataFrame:
-    dev = res.select("track_index", F.abs(F.col("residual") - F.median("residual").over(T.TRACK)).alias("d"))
+    dev = res.select("track_index", F.abs(F.col("residual") - F.median("residual").over(T.track())).alias("d"))
     return dev.groupBy("track_index").agg(F.median("d").alias("mad"))
 
 
@@ -290,7 +290,7 @@ def maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f10_first_differences", TR + " SELECT track_index, i, round(position - lag(position) OVER (PARTITION BY track_index ORDER BY i), 6) AS diff FROM tr")
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).select("track_index", "i", r6(F.col("position") - F.lag("position").over(T.ORDERED), "diff"))
+    return tracks(spark, sf_dir).select("track_index", "i", r6(F.col("position") - F.lag("position").over(T.ordered()), "diff"))
 
 
 @query("f12_decimate_polyline", TR + ", k AS (SELECT CAST(floor(j * 63.0 / 19) AS INTEGER) AS i FROM (SELECT unnest(range(20)) AS j)) SELECT track_index, i, round(position, 6) AS position FROM tr JOIN k USING (i)")
@@ -300,7 +300,7 @@ def decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f13_hit_test_decimation", TR + ", n AS (SELECT *, count(*) OVER (PARTITION BY track_index) AS n FROM tr) SELECT track_index, i, round(position, 6) AS position FROM n WHERE i % greatest(1, CAST(floor(n / 20.0) AS INTEGER)) = 0")
 def hit_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(T.TRACK) / 20).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(T.track()) / 20).cast("int"))
     return tracks(spark, sf_dir).withColumn("step", step).where(F.col("i") % F.col("step") == 0).select("track_index", "i", r6("position"))
 
 
@@ -334,7 +334,7 @@ def wave_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e17_derived_track_quantities", TR + ", d AS (SELECT *, position - lag(position) OVER w AS dx, frame - lag(frame) OVER w AS dt FROM tr WINDOW w AS (PARTITION BY track_index ORDER BY i)) SELECT track_index, CAST(sign(arg_max(position, i) - arg_min(position, i)) AS INTEGER) AS direction, round(avg(abs(dx / dt)), 6) AS velocity, round(sum(abs(dx)), 6) AS dist, max(frame) - min(frame) + 1 AS duration, round(sum(abs(dx)) / (max(frame) - min(frame) + 1), 6) AS start_to_end FROM d GROUP BY 1")
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).withColumn("dx", F.col("position") - F.lag("position").over(T.ORDERED)).withColumn("dt", F.col("frame") - F.lag("frame").over(T.ORDERED))
+    t = tracks(spark, sf_dir).withColumn("dx", F.col("position") - F.lag("position").over(T.ordered())).withColumn("dt", F.col("frame") - F.lag("frame").over(T.ordered()))
     dist, duration = F.sum(F.abs("dx")), F.max("frame") - F.min("frame") + 1
     return t.groupBy("track_index").agg(
         F.signum(F.max_by("position", "i") - F.min_by("position", "i")).cast("int").alias("direction"), r6(F.avg(F.abs(F.col("dx") / F.col("dt"))), "velocity"), r6(dist, "dist"), duration.alias("duration"), r6(dist / duration, "start_to_end"),
