@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import brown, components, line_dedup, packing, quality_model, repeats, simhash
+from tidemark.llm import brown, line_dedup, packing, quality_model, repeats, simhash
+from tidemark.operators import components
 
 
 @settings(max_examples=60, deadline=None)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.stash import shared_dir, stash
+
+__all__ = ["BLANKS", "WORD", "crc_of_id", "let", "n_words", "shared_dir", "stash", "table", "uniform", "words"]
+
 #: A word is a maximal run of characters other than space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where the cluster names none, as in tests, a temporary one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage is cut, and executors may be lost afterwards."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once per row and hands it to body (a lambda variable, so that it isn't expanded at every use)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
