@@ -135,14 +135,18 @@ def test_brown_scores(spark, docs, none, small):
 
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     full = {(r["doc_id"], r["n_tokens"]): r for r in brown.score_documents(docs).collect()}
-    monkeypatch.setattr(brown, "KNOWN", brown.WORDS)
-    for r in brown.score_documents(docs).collect():
-        w = full[(r["doc_id"], r["n_tokens"])]
-        assert r["n_known"] == w["n_known"] and abs(r["score"] - w["score"]) < 1e-6 and abs(r["base_score"] - w["base_score"]) < 1e-6
+    monkeypatch.setattr(brown, "KNOWN", 300)
+    monkeypatch.setattr(brown, "WORDS", 50)
+    single = {(r["doc_id"], r["n_tokens"]): r for r in brown.score_documents(docs).collect()}
+    monkeypatch.setattr(brown, "KNOWN", 1 << 17)
+    known = {(r["doc_id"], r["n_tokens"]): r for r in brown.score_documents(docs).collect()}
+    for k, w in full.items():
+        assert single[k]["n_known"] == known[k]["n_known"] == w["n_known"] and abs(single[k]["base_score"] - w["base_score"]) < 1e-6
+        assert abs(single[k]["score"] - known[k]["score"]) < 1e-6
 
 
 def test_probabilities_sum_to_one():
-    v = brown.Vocabulary([b"a", b"b"], np.array([5, 1]), 9, 4, 2, np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0), np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0))
+    v = brown.Vocabulary([b"a", b"b"], np.array([5, 1]), 9, 4, 2, np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0), np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0), 2)
     classes = np.arange(v.units) % (brown.CLASSES - 1)
     classes[-1] = brown.CLASSES - 1
     f = np.random.default_rng(1).integers(0, 4, (brown.CLASSES, brown.CLASSES)).astype(float)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +14,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import stash
 
 END = 0
-#: Distinct pre-tokens remembered by a worker; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Distinct pre-tokens remembered by a worker: the first ones, among which the frequent ones are.
+REMEMBERED = 600_000
 #: Bytes of ids in one Arrow batch.
 BATCH = 4 << 20
 #: Bins of a group are numbered below this.
 BINS = 1 << 20
 
 
-class Encoder:
-    """Ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit numbers.
+#: Letters, numbers and white space below U+02B0, where Python's own expressions can tell them apart as the vocabulary's pattern does.
+LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+
+
+class Encoder(dict):
+    """Ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit numbers; a dict of the pre-tokens seen so far.
 
     The text is split into pre-tokens first and each distinct one is encoded once by the tokenizers library; the ids are those of
     encoding the whole text. Strings of special tokens are ordinary text.
@@ -34,25 +41,22 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")).model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split_latin = re.compile(LATIN).findall
+        self.beyond_latin = re.compile(r"[^\x00-\u02af]").search
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        self.known: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < REMEMBERED:
+            self[piece] = out
+        return out
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        pieces = self.split(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                as_letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-                known[p] = np.array([t.id for t in self.model.tokenize(as_letters)], "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        pieces = self.split(text) if self.beyond_latin(text) else self.split_latin(text)
+        return b"".join([self[p] for p in pieces])
 
 
 _encoders: dict[str | None, Encoder] = {}

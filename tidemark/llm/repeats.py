@@ -31,13 +31,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return byte, powers(ODD), powers(pow(ODD, -1, 1 << 64))
 
 
-_made: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if "t" not in _made:
-        _made["t"] = _tables(2 * PART + 4096)
-    return _made["t"]
+def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tables for at least n bytes, kept by the worker."""
+    if not _made or len(_made[0][1]) < n:
+        _made[:] = [_tables(max(2 * n, 2 * PART))]
+    return _made[0]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ class Hashed:
     """Hashes of any substring of some bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        byte, self.power, self.inverse = tables()
+        byte, self.power, self.inverse = tables(len(data) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(byte[data] * self.power[: len(data)], out=self.sums[1:])
