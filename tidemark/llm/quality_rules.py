@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import BLANKS, let, n_words, stash, words
@@ -80,7 +80,8 @@ def certified_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float
     # Counts of rows above each cutoff: one aggregate of fixed width, then one row per test.
     aggs = [F.count_if(F.col(m) > c).alias(f"{m}|{i}") for m, cs in CUTOFFS.items() for i, c in enumerate(cs)]
     counted = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    counted = counted.withColumn("_strata", F.lit(1)).crossJoin(F.broadcast(counted.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_m")))).drop("_strata")
+    # One row per stratum: the window over all of them is as small as the list of languages.
+    counted = counted.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), F.col(f"`{m}|{i}`").alias("k")) for m, cs in CUTOFFS.items() for i, c in enumerate(cs)])
     tests_of = counted.select("stratum", "_n", "_m", F.explode(rows).alias("t")).select("stratum", "_n", "_m", "t.*")
     # k above n * risk never passes, so the sum of terms stays short.
