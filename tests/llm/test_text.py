@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -93,10 +94,30 @@ def test_simhash_groups(docs, none):
     comp = brute.components([r["doc_id"] for r in rows], fps)
     want = Counter((r["doc_id"], f"{f:016x}", c) for r, f, c in zip(rows, fps, comp, strict=True))
     assert Counter(tuple(r) for r in simhash.near_groups(docs).collect()) == want
+    assert simhash.near_groups(none).count() == 0
+
+
+def test_similar_groups(spark, docs, none):
+    rows = docs.collect()
+    sets = [set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in rows]
+    got = simhash.similar_groups(docs)
+    group = dict(tuple(r) for r in got.collect())
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in rows)
+    for (a, x), (b, y) in combinations([(r["doc_id"], s) for r, s in zip(rows, sets, strict=True) if r["doc_id"] is not None], 2):
+        share = len(x & y) / len(x | y) if x | y else 1.0
+        assert (group[a] == group[b]) or share < 0.95
+        assert (group[a] != group[b]) or share > 0.6
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {c for c in comp}
-    assert simhash.near_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+    assert {r["doc_id"] for r in kept.collect()} == set(group.values())
+    assert simhash.similar_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_bucket_members_that_differ_from_the_smallest(spark):
+    """Three fingerprints share a band; the smallest is far from the two others, which are alike."""
+    fps = [(1, [5, 0, 0, 0]), (2, [5, -1, -1, -1]), (3, [5, -1, -1, -2])]
+    edges = simhash.similar_links(spark.createDataFrame(fps, "id long, fp array<bigint>"))
+    assert {tuple(r) for r in edges.collect()} == {(2, 3)}
 
 
 def test_links_connect_all_close_pairs(spark):

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stash
 from tidemark.operators.components import components
 
 SEED = 42
+#: Words of 64 bits in a long fingerprint, which is cut into bands of 32 bits.
+LONG_WORDS = 4
+#: Tables of at most this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -99,9 +104,103 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     return of.join(per_fp, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with their columns. Rows that share that id all stay."""
-    groups = near_groups(docs, size, distance)
+def scrambled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th set of hashes made from the same shingles' hashes."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, fp (LONG_WORDS longs in an array) for every row of docs. Each distinct shingle counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.zeros((batch.num_rows, LONG_WORDS), np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                hashes = np.unique(shingle_hashes(text.as_py(), size))
+                fps[i] = [majority(scrambled(hashes, k)) for k in range(LONG_WORDS)]
+            flat = pa.array(fps.view(np.int64).ravel())
+            offsets = pa.array(np.arange(0, len(flat) + 1, LONG_WORDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp array<bigint>")
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of long fingerprints at which two sets of shingles are estimated to have this Jaccard similarity.
+
+    A bit differs as often as the angle between the sets' vectors is a part of a half turn; the cosine of sets of equal size is
+    2 s / (1 + s).
+    """
+    return math.floor(64 * LONG_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _distance(a: str, b: str) -> Column:
+    parts = [F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(LONG_WORDS)]
+    return sum(parts[1:], parts[0])
+
+
+def _band_variants(word: Column, band: int, masks: Column) -> Column:
+    """The numbered variants of one half of a word of a long fingerprint."""
+    part = F.shiftrightunsigned(word, 32 * (band % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.transform(masks, lambda m: part.bitwiseXOR(m).bitwiseOR(F.lit(band << 32)))
+
+
+def similar_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) between ids of distinct long fingerprints (columns id, fp) whose estimated similarity is at least `similarity`.
+
+    Meet in the middle by bands: of each band of 32 bits a fingerprint emits all variants within one bit, so that two meet if some band
+    differs in at most two bits; pairs that meet are verified by the distance of the whole fingerprints. A bucket's members may differ
+    in other bands, so each is compared with the smallest member first; those that it doesn't link are a smaller bucket, compared with
+    the smallest of that, until none is left. Buckets are never collected and never expanded into pairs: their minima are aggregated
+    with partial sums, and a member of a bucket is one row of a join.
+    """
+    spark = fps.sparkSession
+    limit = most_bits(similarity)
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(32))]])
+    bands = [_band_variants(F.get("fp", k // 2), k, masks) for k in range(2 * LONG_WORDS)]
+    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    spread = dealt.select("id", F.explode(F.flatten(F.array(*bands))).alias("variant"))
+    met = spread.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("variant").alias("v"))
+    met = stash(met, "met-variants")
+    if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = F.broadcast(met)
+    left = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
+    edges = None
+    while not left.isEmpty():
+        lead = left.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
+        pairs = left.join(lead, F.col("variant") == F.col("v")).where("id <> a").select("variant", "a", F.col("id").alias("b"))
+        pairs = stash(pairs, "met-pairs")
+        sides = pairs.select("a", "b").distinct().join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+        linked = stash(sides.where(_distance("fa", "fb") <= limit).select("a", "b"), "similar-pairs")
+        edges = linked if edges is None else edges.unionByName(linked)
+        left = stash(pairs.join(linked.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti").select(F.col("b").alias("id"), "variant"), "met-rows")
+    return edges if edges is not None else fps.select(F.col("id").alias("a"), F.col("id").alias("b")).where("1 = 0")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row of docs: groups of texts of estimated Jaccard similarity `similarity` or more.
+
+    Long fingerprints of distinct shingles of `size` words estimate the similarity of two texts. What share of similar pairs meets
+    depends on their similarity: about 0.6 at 0.8, 0.8 at 0.85, 0.96 at 0.9, all exact copies (of words). component_id is the smallest
+    doc_id reached over links. Null and blank texts are copies of each other. Null ids are never the smallest unless a component has no
+    other. Repeated rows come out as often as they went in. Extra columns are left out.
+    """
+    of = stash(long_fingerprints(docs, size).withColumn("id", F.xxhash64("fp")), "long-fingerprints")
+    distinct = stash(of.groupBy("id").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("_first")), "distinct-fingerprints")
+    groups = components(similar_links(distinct.select("id", "fp"), similarity))
+    roots = distinct.join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("_root"), "_first")
+    lowest = roots.groupBy(F.col("_root").alias("_r")).agg(F.min("_first").alias("component_id"))
+    per_id = stash(roots.join(lowest, F.col("_root") == F.col("_r")).select(F.col("id").alias("_id"), "component_id"), "components")
+    return of.join(per_id, F.col("id") == F.col("_id")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group of similar texts, with their columns. Rows that share that id all stay."""
+    groups = similar_groups(docs, size, similarity)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
     return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
