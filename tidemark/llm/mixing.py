@@ -9,6 +9,8 @@ from tidemark.llm.shared import n_words, stash, uniform
 
 #: The order statistic is found in this many equal slices of (0, 1); only one slice a source is then ranked row by row.
 SLICES = 1 << 16
+#: So many slices make one coarse slice.
+FINE = 1 << 8
 #: Preferences are rounded to quarter powers of two, so that a source has few strata, however many documents.
 LEVELS_PER_OCTAVE = 4
 SMALL = 1e-9
@@ -43,6 +45,13 @@ def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1))
 
 
+def _last_started(slices: DataFrame, by: str) -> DataFrame:
+    """Of each source's slices (columns _n, _rest and _offset) the last before which fewer than _rest words stand, and their number."""
+    upto = F.col("_offset") + F.sum("_n").over(Window.partitionBy("source").orderBy(by))
+    started = slices.withColumn("_before", upto - F.col("_n")).where(F.col("_before") < F.col("_rest"))
+    return started.groupBy("source").agg(F.max_by(F.struct(by, "_before"), by).alias("_x")).select("source", f"_x.{by}", "_x._before")
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, long_text_power: float = 0.5, seed: int = 17
 ) -> DataFrame:
@@ -84,10 +93,12 @@ def mix(
     rank = F.when(F.col("_p") > SMALL, u * (1 - F.col("_p")) / (u * (1 - F.col("_p")) + (1 - u) * F.col("_p")))
     rows = rows.withColumn("_rank", rank).withColumn("_slice", F.floor(F.col("_rank") * SLICES).cast("int"))
 
-    slices = rows.where("_slice is not null").groupBy("source", "_slice", "_rest").agg(F.sum("size").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_slice"))
-    slices = slices.withColumn("_before", upto - F.col("_n")).where(F.col("_before") < F.col("_rest"))
-    last = slices.groupBy("source").agg(F.max("_slice").alias("_last"), F.max("_before").alias("_before"))
+    # The slice that fills a source is sought in two steps, so that no window is over more than 256 rows a source.
+    slices = stash(rows.where("_slice is not null").groupBy("source", "_slice", "_rest").agg(F.sum("size").alias("_n")), "mix-slices")
+    coarse = slices.groupBy("source", "_rest", F.floor(F.col("_slice") / FINE).alias("_part")).agg(F.sum("_n").alias("_n"))
+    part = _last_started(coarse.withColumn("_offset", F.lit(0).cast("long")), "_part").select(F.col("source").alias("_s"), F.col("_part"), F.col("_before").alias("_offset"))
+    fine = slices.withColumn("_p", F.floor(F.col("_slice") / FINE)).join(part, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_part"))).drop("_s", "_p", "_part")
+    last = _last_started(fine, "_slice").select("source", F.col("_slice").alias("_last"), "_before")
     rows = rows.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
     whole_slice = F.coalesce(F.col("_slice") < F.col("_last"), F.lit(False))
