@@ -120,6 +120,21 @@ def test_bucket_members_that_differ_from_the_smallest(spark):
     assert {tuple(r) for r in edges.collect()} == {(2, 3)}
 
 
+@pytest.mark.parametrize(("few", "side"), [(32, 2048), (1, 2)])
+def test_linked_member_is_compared_with_the_others(spark, monkeypatch, few, side):
+    """All share one word of four only. 1-2, 2-3 and so on are 30 bits apart, the next but one 60; 9 is far from all."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "SIDE", side)
+    word = lambda n: sum(0x1F << 5 * k | 0x1F << 32 + 5 * k for k in range(n))
+    fps = [(1 + n, [5, word(n), word(n), word(n)]) for n in (0, 1, 2, 3, 4, 5)] + [(9, [5, -1, 0, -1])]
+    edges = simhash.similar_links(spark.createDataFrame(fps, "id long, fp array<bigint>"))
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {k: 1 for k in range(1, 7)}
+    bits = lambda x, y: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+    far = {(a, b) for (a, x), (b, y) in combinations(fps, 2) if bits(x, y) > simhash.most_bits(0.8)}
+    assert not far & {tuple(r) for r in edges.collect()}
+
+
 def test_links_connect_all_close_pairs(spark):
     r = np.random.default_rng(3)
     fps = set()

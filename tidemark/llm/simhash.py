@@ -18,6 +18,9 @@ from tidemark.operators.components import components
 SEED = 42
 #: Words of 64 bits in a long fingerprint, which is cut into bands of 32 bits.
 LONG_WORDS = 4
+#: Buckets of at most so many fingerprints are compared by a join; larger ones in cells of two sides of about SIDE rows each.
+FEW = 32
+SIDE = 2048
 #: Tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -149,14 +152,68 @@ def _band_variants(word: Column, band: int, masks: Column) -> Column:
     return F.transform(masks, lambda m: part.bitwiseXOR(m).bitwiseOR(F.lit(band << 32)))
 
 
+def _joined(limit: int):
+    """Edges between the two sides of a cell, for applyInArrow: of rows of different groups at most `limit` bits apart, one edge a pair of groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots, stray = (table.column(c).to_numpy() for c in ("id", "root", "stray"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONG_WORDS)
+        own, others = np.flatnonzero(stray), np.flatnonzero(~stray)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(0, len(own), 256):
+            some = own[k : k + 256]
+            apart = sum(np.bitwise_count(fp[some, None, w] ^ fp[None, others, w]).astype(np.int16) for w in range(LONG_WORDS))
+            i, j = np.nonzero((apart <= limit) & (roots[some, None] != roots[None, others]))
+            i, j = some[i], others[j]
+            once = np.unique(np.stack((roots[i], roots[j]), 1), axis=0, return_index=True)[1]
+            a.append(ids[i[once]])
+            b.append(ids[j[once]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
+def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """Edges (a, b) between members (columns id, variant) of one bucket that the edges so far leave in different groups.
+
+    Members of one group are connected already. In each bucket those outside its largest group are compared with all that are in
+    another group than they, so that afterwards every two members are connected or known to be too far apart. A bucket that is one
+    group, as most families of near copies are, costs nothing, and buckets of the same members are looked at once.
+    """
+    rows = met.join(components(edges), F.col("id") == F.col("node"), "left").select("variant", "id", F.coalesce("root", "id").alias("root"))
+    rows = stash(rows, "grouped-rows")
+    held = rows.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
+    buckets = held.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > most.n")
+    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("variant", "most")).alias("o")).select(F.col("o.variant").alias("v"), "n", F.col("o.most.n").alias("n_most"), F.col("o.most.root").alias("most"))
+    rows = rows.join(once, F.col("variant") == F.col("v")).drop("v").join(fps.select(F.col("id").alias("i2"), "fp"), F.col("id") == F.col("i2")).drop("i2")
+    rows = stash(rows.withColumn("outside", F.col("root") != F.col("most")), "open-rows")
+
+    few = rows.where(F.col("n") <= FEW)
+    left = few.where("outside").select("variant", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("fp").alias("fa"))
+    right = few.select(F.col("variant").alias("v"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("fp").alias("fb"))
+    near = left.join(right, (F.col("variant") == F.col("v")) & (F.col("ra") != F.col("rb"))).where(_distance("fa", "fb") <= limit)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    many = rows.where(F.col("n") > FEW)
+    sides = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil((F.col("n") - F.col("n_most")) / SIDE).cast("int")
+    at = [F.pmod(F.xxhash64(F.lit(3), "id"), k).cast("int") for k in sides]
+    upto = [F.explode(F.sequence(F.lit(0), k - 1)) for k in sides]
+    cells = many.select("variant", "id", "root", "fp", F.lit(False).alias("stray"), at[0].alias("i"), upto[1].alias("j"))
+    cells = cells.unionByName(many.where("outside").select("variant", "id", "root", "fp", F.lit(True).alias("stray"), upto[0].alias("i"), at[1].alias("j")))
+    return near.unionByName(cells.groupBy("variant", "i", "j").applyInArrow(_joined(limit), "a bigint, b bigint")).distinct()
+
+
 def similar_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between ids of distinct long fingerprints (columns id, fp) whose estimated similarity is at least `similarity`.
+    """Edges (a, b) that connect the ids of distinct long fingerprints (columns id, fp) as all pairs that meet and whose estimated
+    similarity is at least `similarity` would.
 
     Meet in the middle by bands: of each band of 32 bits a fingerprint emits all variants within one bit, so that two meet if some band
     differs in at most two bits; pairs that meet are verified by the distance of the whole fingerprints. A bucket's members may differ
     in other bands, so each is compared with the smallest member first; those that it doesn't link are a smaller bucket, compared with
-    the smallest of that, until none is left. Buckets are never collected and never expanded into pairs: their minima are aggregated
-    with partial sums, and a member of a bucket is one row of a join.
+    the smallest of that, until none is left. A member that was linked may still be near one that wasn't: those that are in different
+    groups after all that are compared at last (_cross_links). Buckets of one group are never expanded into pairs: their minima are
+    aggregated with partial sums, and a member of a bucket is one row of a join.
     """
     spark = fps.sparkSession
     limit = most_bits(similarity)
@@ -168,7 +225,7 @@ def similar_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
     met = stash(met, "met-variants")
     if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = F.broadcast(met)
-    left = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
+    left = rows = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
     edges = None
     while not left.isEmpty():
         lead = left.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
@@ -178,14 +235,17 @@ def similar_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
         linked = stash(sides.where(_distance("fa", "fb") <= limit).select("a", "b"), "similar-pairs")
         edges = linked if edges is None else edges.unionByName(linked)
         left = stash(pairs.join(linked.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti").select(F.col("b").alias("id"), "variant"), "met-rows")
-    return edges if edges is not None else fps.select(F.col("id").alias("a"), F.col("id").alias("b")).where("1 = 0")
+    if edges is not None:
+        return edges.unionByName(stash(_cross_links(rows, fps, edges, limit), "cross-pairs"))
+    return fps.select(F.col("id").alias("a"), F.col("id").alias("b")).where("1 = 0")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id for every row of docs: groups of texts of estimated Jaccard similarity `similarity` or more.
 
-    Long fingerprints of distinct shingles of `size` words estimate the similarity of two texts. What share of similar pairs meets
-    depends on their similarity: about 0.6 at 0.8, 0.8 at 0.85, 0.96 at 0.9, all exact copies (of words). component_id is the smallest
+    Long fingerprints of distinct shingles of `size` words estimate the similarity of two texts, so similar pairs are missed where the
+    estimate is too low or no band meets. Grouped in the end, on sf0.1: 159 of 259 pairs of similarity 0.8 to 0.85, 8 of 29 at 0.85 to
+    0.9, 5 of 5 at 0.9 to 0.95, all exact copies (of words). component_id is the smallest
     doc_id reached over links. Null and blank texts are copies of each other. Null ids are never the smallest unless a component has no
     other. Repeated rows come out as often as they went in. Extra columns are left out.
     """
