@@ -65,6 +65,17 @@ def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(packing.encoder(None).encode(text), "<u4").tolist() == _t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|endoftext|>at the start", "end <|endoftext|> x", "in<|endoftext|>side", "two  <|endoftext|><|endoftext|>\n ", "日本 <|endoftext|> 語  ", "<|endoftext|", "< |endoftext|>"])
+def test_added_tokens_keep_their_ids(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(None).encode(text), "<u4").tolist() == want
+    row = packing.cut_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [*want, packing.END] and row["doc_tokens"] == len(want) + 1
+
+
 def test_ranking_learns(spark, small, docs, none, labels):
     d, lab = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.score_documents(d, lab).join(lab, "doc_id").toPandas()

@@ -30,8 +30,8 @@ LATIN = f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTER
 class Encoder(dict):
     """Ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit numbers; a dict of the pre-tokens seen so far.
 
-    The text is split into pre-tokens first and each distinct one is encoded once by the tokenizers library; the ids are those of
-    encoding the whole text. Strings of special tokens are ordinary text.
+    The text is cut at the vocabulary's added tokens (such as <|endoftext|>), which keep their own ids. What lies between them is split
+    into pre-tokens and each distinct one is encoded once by the tokenizers library; the ids are those of encoding the whole text.
     """
 
     def __init__(self, path: str | None = None):
@@ -39,7 +39,14 @@ class Encoder(dict):
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")).model
+        whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.model = whole.model
+        added = whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that take blanks or whole words only are not supported")
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.split_latin = re.compile(LATIN).findall
         self.beyond_latin = re.compile(r"[^\x00-\u02af]").search
@@ -55,6 +62,10 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        parts = self.cut(text) if self.cut else [text]
+        return b"".join([self.added[p] if k % 2 else self.encode_plain(p) for k, p in enumerate(parts)])
+
+    def encode_plain(self, text: str) -> bytes:
         pieces = self.split(text) if self.beyond_latin(text) else self.split_latin(text)
         return b"".join([self[p] for p in pieces])
 
