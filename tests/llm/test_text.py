@@ -299,6 +299,36 @@ def test_lines_of_later_documents_go(spark, rare):
     assert whole.columns == df.columns and all(r["removed"] == "clash" and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in whole.collect())
 
 
+@pytest.mark.parametrize("rare", [64, 1])
+def test_blocks_of_another_order_or_document_go(spark, rare):
+    line = lambda k: " ".join(f"o{k}x{j}" for j in range(7))
+    p, q = [line(k) for k in range(3)], [line(k) for k in range(10, 13)]
+    rows = [(0, [*p, *q]), (1, [*q, *p]), (2, [*q, *p, line(20)])]
+    # Runs of short lines, each line of which another document has first; only 6 has them together.
+    rows += [(3, [line(30), "aa bb"]), (4, ["cc dd", line(31)]), (5, [line(32), "ee"]), (6, [line(33), "aa bb", "", "cc dd", "ee"]), (7, ["aa bb", "cc dd", "ee", line(34)]), (8, ["cc dd", "aa bb", "ee", line(35)])]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string"), rare=rare).collect()}
+    assert got == {0: [], 1: [0, 1, 2, 3, 4, 5], 2: [0, 1, 2, 3, 4, 5], 3: [], 4: [], 5: [], 6: [], 7: [0, 1, 2], 8: []}
+
+
+def shared_blocks(rows, least=5):
+    """Plain version: the lines of each document within runs of at least so many words that stand in an earlier one."""
+    found, seen = {}, set()
+    for i, text in rows:
+        lines = [(k, x.strip()) for k, x in enumerate((text or "").split("\n")) if x.split()]
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, min(a + 6, len(lines)) + 1) if sum(len(x.split()) for _, x in lines[a:b]) >= least]
+        named = {(a, b): tuple(x for _, x in lines[a:b]) for a, b in runs}
+        found[i] = sorted({lines[k][0] for (a, b), name in named.items() if name in seen for k in range(a, b)})
+        seen |= set(named.values())
+    return found
+
+
+def test_no_block_is_left(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, "\n".join(" ".join([f"w{x}"] * (1 + x % 4)) for x in r.integers(0, 12, 9).tolist())) for i in range(120)]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == shared_blocks(rows)
+
+
 def test_removed_lines_stand_earlier(spark, docs, none, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     rows = {r["doc_id"]: (r["text"] or "").split("\n") for r in d.collect()}
