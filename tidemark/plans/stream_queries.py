@@ -54,9 +54,10 @@ def progress_cadence(spark: SparkSession, d: str) -> DataFrame:
 @query("k_window_counts")
 def window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows with a watermark: what the log's own order doesn't need, but late files do."""
-    return E.drain(E.windows(E.event_stream(spark, d)), "windows").withColumn("total", F.round("total", 6))
+    rows = E.drain(E.windows(E.event_stream(spark, d)), "windows", mode="update")
+    return E.newest(rows, ["start", "type"]).withColumn("total", F.round("total", 6))
 
 
 @query("k_session_windows")
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    return E.drain(E.sessions(E.event_stream(spark, d)), "sessions")
+    return E.last_batch(E.drain(E.sessions(E.event_stream(spark, d)), "sessions", mode="complete"))

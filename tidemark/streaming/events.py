@@ -60,18 +60,26 @@ def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("u")).select(*keys, "u.*").drop("batch")
 
 
+def last_batch(results: DataFrame) -> DataFrame:
+    """What the last batch of a stream in complete mode has written: all rows as they are now."""
+    return results.where(F.col("batch") == results.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def by_type(events: DataFrame) -> DataFrame:
     """Events counted by job and type."""
     return events.groupBy("job_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events per type and tumbling window; windows come out once no event within the allowed lateness can still fall in."""
+    """Events per type and tumbling window. In update mode windows come out with each change, the newest too; in append mode only once no
+    event within the allowed lateness can still fall in.
+    """
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "type", "n", "total")
 
 
 def sessions(events: DataFrame, late: str = "1 hour", gap: str = "6 hours") -> DataFrame:
+    """Events per job and session. Sessions can't be streamed in update mode; in complete mode those that are still open come out too."""
     s = events.withWatermark("ts", late).groupBy("job_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
     return s.select("job_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
