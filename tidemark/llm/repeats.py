@@ -1,4 +1,4 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes."""
+"""Repeated byte strings by hashes of windows, grouped by their least-hashed digit."""
 
 from __future__ import annotations
 
@@ -235,12 +235,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_in_group: int = 20_0
 
     Removes each byte covered by a string of `length` bytes (UTF-8) that also starts anywhere else, in the same document or another.
 
-    The suffixes of all texts are sorted through their first `length` bytes, most significant digit first, and equal groups are the
-    repeats. Instead of all suffixes, one in about seventy is sorted by its first digit of 64 bytes: that of each window whose hash is
+    This stands for a sort of all suffixes through their first `length` bytes, whose equal groups are the repeats. No suffix is sorted:
+    windows are grouped by one digit of 64 bytes, at one place in about seventy: that of each window whose hash is
     least, which equal windows share. Neighbouring windows with the same least digit form a run. Runs that are alone with their digit
     have no repeat and go no further. Groups whose runs are all the same, byte for byte in span, are repeated as a whole. Only for the
     rest the spans themselves are fetched, one for each distinct content, and all their windows hashed: groups of up to most_in_group
-    contents inside a task, larger ones as rows that Spark counts. Hashes are of 64 bits, and two independent ones must agree.
+    contents inside a task, larger ones as rows that Spark counts. Hashes are of 64 bits; those of digits and of windows
+    come from the same prefix sums, so they aren't independent.
 
     Null text counts as empty; texts shorter than `length` have no windows. Rows that agree in id and text are repeats of each other.
     Extra columns are left out. Groups are reduced by partial aggregation and joins that Spark can split, so that a passage that a
