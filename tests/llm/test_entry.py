@@ -14,7 +14,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op8_url_rules"])
+@pytest.mark.parametrize("name", ["op6_certified_rules", "op8_url_rules"])
 def test_sql_twin(spark, small, name):
     con = duckdb.connect()
     for t in ("pages", "documents", "labels"):

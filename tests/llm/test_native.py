@@ -74,16 +74,69 @@ def test_binomial_cdf(spark, k, n, p):
     assert math.isclose(spark.range(1).select(quality_rules.binomial_cdf(F.lit(k), F.lit(n), p)).first()[0], want, rel_tol=1e-9)
 
 
-def test_cutoffs_bound_false_rejections(spark):
-    # Stratum a: clean rows below 0.02 symbols; b: as many rows, half of them above every cutoff; c: too few rows.
-    rows = spark.range(40000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("stratum"), F.when(F.col("id") % 4 == 3, 0.9).otherwise(0.018).alias("symbol_share"))
-    rows = rows.unionByName(spark.range(20).select(F.lit("c").alias("stratum"), F.lit(0.0).alias("symbol_share")))
-    for m in set(quality_rules.CUTOFFS) - {"symbol_share"}:
-        rows = rows.withColumn(m, F.lit(0.0))
-    cuts = {(r["stratum"], r["measure"]): r["cutoff"] for r in quality_rules.certified_cutoffs(rows).collect()}
-    lowest = min(c for c in quality_rules.CUTOFFS["symbol_share"] if c >= 0.018)
-    assert cuts[("a", "symbol_share")] == lowest
-    assert ("b", "symbol_share") not in cuts and not any(s == "c" for s, _ in cuts)
+def flat(df, **given):
+    return df.select("*", *[given.get(m, F.lit(0.0)).alias(m) for m in quality_rules.CUTOFFS])
+
+
+def test_levels_bound_false_rejections(spark):
+    # Stratum a: clean rows with 0.018 symbols; b: half of the rows above every cutoff; c: too few rows.
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("stratum"), "id")
+    rows = flat(rows, symbol_share=F.when(F.col("id") % 4 == 3, 0.9).otherwise(0.018))
+    rows = rows.unionByName(flat(spark.range(20).select(F.lit("c").alias("stratum"), "id")))
+    found = {(r["stratum"], r["pooled"]): r for r in quality_rules.certified_levels(rows).collect()}
+    strictest = max(i for i, c in enumerate(quality_rules.CUTOFFS["symbol_share"]) if c >= 0.018)
+    assert found[("a", False)]["level"] == strictest and found[("a", False)]["own"]
+    assert found[("b", False)]["level"] is None and found[("b", False)]["own"] and not found[("c", False)]["own"]
+    assert found[(None, True)]["n"] == 4020 and found[(None, True)]["level"] is None
+
+
+def test_levels_are_those_of_a_plain_version(spark):
+    import random
+
+    r = random.Random(5)
+    data = [(s, *[abs(r.gauss(0, 1)) ** 3 * c[-1] / 3 for c in quality_rules.CUTOFFS.values()]) for s, n in (("a", 700), ("b", 300), ("c", 90), (None, 400)) for _ in range(n)]
+    df = spark.createDataFrame(data, "stratum string, " + ", ".join(f"{m} double" for m in quality_rules.CUTOFFS))
+    for risk in (0.02, 0.05, 0.2):
+        want, alpha = {}, 0.05 / 5
+        for stratum, pooled in (("a", False), ("b", False), ("c", False), (None, False), (None, True)):
+            rows = [x[1:] for x in data if pooled or x[0] == stratum]
+            level, n = None, len(rows)
+            for i in range(quality_rules.LEVELS):
+                k = sum(any(v > c[i] for v, c in zip(x, quality_rules.CUTOFFS.values(), strict=True)) for x in rows)
+                if sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > alpha:
+                    break
+                level = i
+            want[(stratum, pooled)] = (n, (1 - risk) ** n <= alpha, level)
+        assert {(x["stratum"], x["pooled"]): (x["n"], x["own"], x["level"]) for x in quality_rules.certified_levels(df, risk).collect()} == want
+
+
+def test_false_rejections_keep_the_risk():
+    """In at most 5% of draws of a stratum of one language does the certified level reject over 2% of the clean rows to come."""
+    import numpy as np
+
+    r, n, risk, alpha = np.random.default_rng(4), 600, 0.02, 0.05 / 2
+    true = np.linspace(0.002, 0.05, quality_rules.LEVELS)  # share of clean rows that each level rejects
+    tail = np.cumsum([math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(60)])
+    over = 0
+    for _ in range(2000):
+        k = (r.random(n)[:, None] < true).sum(0)
+        passed = (k < 60) & (tail[np.minimum(k, 59)] <= alpha)
+        level = quality_rules.LEVELS if passed.all() else int(np.argmin(passed))
+        over += level > 0 and true[level - 1] > risk
+    assert over / 2000 <= 0.05
+
+
+def test_measures_reject_rows(spark):
+    """Of three languages one has enough clean rows for a level of its own; the others take that of all rows."""
+    text = lambda i: " ".join(f"word{(i * 7 + j) % 97}x{i}" for j in range(20))
+    rows = [(i, text(i), "en" if i < 600 else "fr" if i < 640 else None) for i in range(660)]
+    rows += [(1000, text(1) + " ###" * 30, "en"), (1001, text(2) + " ###" * 30, "fr"), (1002, text(3) + " |||" * 30, None), (1003, text(4) + " $$$" * 30, "new"), (1004, text(5), "new"), (1005, "# " * 30, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(660).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, labels).collect()}
+    assert [got[i]["kept"] for i in range(1000, 1006)] == [False, False, False, False, True, False]
+    assert all("symbol_share" in got[i]["rejected_by"] and not got[i]["base_failed"] for i in range(1000, 1004) if not got[i]["base_failed"])
+    assert sum(not got[i]["kept"] for i in range(660)) <= 0.02 * 660
 
 
 def test_rules(docs, none, labels):

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import BLANKS, let, n_words, stash, words
 
-#: Candidate cutoffs of each measure: rejected is what lies above. They are fixed beforehand, so every labelled row is a holdout.
-CUTOFFS: dict[str, list[float]] = {
-    "symbol_share": [0.005 * 1.3**i for i in range(16)],
-    "shout_share": [0.01 * 1.35**i for i in range(15)],
-    "mark_share": [0.005 * 1.3**i for i in range(16)],
-    "dup_line_share": [0.05 * i for i in range(1, 19)],
-    "repeat_share": [0.01 * 1.3**i for i in range(12)],
-    "word_length": [6.0 + 0.5 * i for i in range(16)],
+#: Strictness levels, from the laxest to the strictest. One level sets the cutoffs of all measures: rejected is what lies above any.
+LEVELS = 24
+#: The laxest and the strictest cutoff of each measure; those between are spaced by equal ratios. They are fixed beforehand, so every
+#: labelled row is a holdout.
+RANGE: dict[str, tuple[float, float]] = {
+    "symbol_share": (0.4, 0.004), "shout_share": (0.5, 0.05), "mark_share": (0.4, 0.02), "dup_line_share": (0.5, 0.02), "repeat_share": (0.2, 0.1), "word_length": (15.0, 7.0),
 }
+CUTOFFS: dict[str, list[float]] = {m: [lax * (strict / lax) ** (i / (LEVELS - 1)) for i in range(LEVELS)] for m, (lax, strict) in RANGE.items()}
+#: Strata up to this number are joined by broadcast.
+BROADCAST_STRATA = 100_000
 
 
 def repeated_window_words(text: Column, size: int = 5) -> Column:
@@ -67,48 +68,67 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(start.alias("t"), F.exp(start).alias("sum")), step, lambda s: s["sum"])
 
 
-def certified_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
-    """stratum, measure, cutoff: for each stratum and measure the lowest cutoff whose share of falsely rejected clean rows is certified.
+def rejected_at(level: int) -> Column:
+    """Whether a row's measures lie above any cutoff of the level. Levels are nested: what one rejects, all stricter ones reject."""
+    above = [F.col(m) > F.lit(cuts[level]) for m, cuts in CUTOFFS.items()]
+    out = above[0]
+    for c in above[1:]:
+        out = out | c
+    return out
 
-    labelled has stratum and the measures of clean rows (label 1). The risk is divided among the measures, so that all rules together
-    keep it. A cutoff is certified if the exact binomial (Clopper-Pearson) upper bound of its false rejections stays below that risk:
-    P(X <= k | n, risk) <= alpha, with alpha = (1 - confidence) / (number of measures, cutoffs and strata tested), by Bonferroni.
-    Strata with too few clean rows certify nothing and then reject nothing.
+
+def certified_levels(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
+    """stratum, pooled, n, own, level: the strictest level at which each stratum's false rejections are certified (null: none).
+
+    labelled has stratum and the measures of clean rows (label 1). A level passes if the exact binomial (Clopper-Pearson) upper bound of
+    the share of clean rows that it rejects stays below the risk: P(X <= k | n, risk) <= alpha. Levels are tested in a fixed sequence from
+    the laxest on, and the first that fails ends it, so that alpha needn't be divided among levels; it is divided by Bonferroni among the
+    strata and one pool of all rows (pooled = true): alpha = (1 - confidence) / (strata + 1). Together, all certified levels keep
+    the risk with the given confidence. own tells strata with enough clean rows to certify anything, (1 - risk) ** n <= alpha; the others
+    have no level of their own. For them only the pool's level is certified, that is the false rejections over all strata together.
     """
-    each = risk / len(CUTOFFS)
-    tests = sum(len(v) for v in CUTOFFS.values())
-    # Counts of rows above each cutoff: one aggregate of fixed width, then one row per test.
-    aggs = [F.count_if(F.col(m) > c).alias(f"{m}|{i}") for m, cs in CUTOFFS.items() for i, c in enumerate(cs)]
-    counted = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    # One row per stratum: the window over all of them is as small as the list of languages.
-    counted = counted.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), F.col(f"`{m}|{i}`").alias("k")) for m, cs in CUTOFFS.items() for i, c in enumerate(cs)])
-    tests_of = counted.select("stratum", "_n", "_m", F.explode(rows).alias("t")).select("stratum", "_n", "_m", "t.*")
-    # k above n * risk never passes, so the sum of terms stays short.
-    possible = tests_of.where(F.col("k") <= F.col("_n") * F.lit(each))
-    sure = possible.where(binomial_cdf(F.col("k"), F.col("_n"), each) <= F.lit(1 - confidence) / (F.col("_m") * F.lit(tests)))
-    return sure.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
+    counted = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(rejected_at(i)).alias(f"k{i}") for i in range(LEVELS)])
+    counted = stash(counted, "rule-counts-by-stratum")
+    pool = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(f"k{i}"), F.lit(0)).alias(f"k{i}") for i in range(LEVELS)], F.count(F.lit(1)).alias("_strata"))
+    # One row per stratum and one for the pool, that is as many as there are languages.
+    alpha = F.lit(1 - confidence) / (F.max("_strata").over(Window.partitionBy(F.lit(0))) + 1)
+    rows = counted.withColumn("pooled", F.lit(False)).unionByName(pool.withColumn("pooled", F.lit(True)), allowMissingColumns=True).withColumn("_alpha", alpha)
+    rows = rows.withColumn("own", F.pow(F.lit(1 - risk), F.col("n")) <= F.col("_alpha"))
+
+    def passes(k: Column) -> Column:
+        # k above n * risk never passes, so the sum of terms stays short.
+        return F.when(F.col("own") & (k <= F.col("n") * F.lit(risk)), binomial_cdf(k, F.col("n"), risk) <= F.col("_alpha")).otherwise(F.lit(False))
+
+    failed = F.filter(F.transform(F.array(*[F.col(f"k{i}") for i in range(LEVELS)]), lambda k, i: F.when(passes(k), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("level", F.coalesce(F.get(failed, F.lit(0)), F.lit(LEVELS)) - 1)
+    return rows.select("stratum", "pooled", "n", "own", F.when(F.col("level") >= 0, F.col("level")).cast("int").alias("level"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
     """doc_id, base counts, base_failed, kept, rejected_by for every row of docs.
 
     base_failed: fewer than 10 words, or over 20% of the words in repeated 5-word windows. Other rows are kept unless a measure lies
-    above the cutoff certified for their language. Clean rows for certification are those with label quality = 1 that don't fail the
+    above its cutoff at the level certified for their language, or, where a language has too few clean rows to certify anything, at the
+    level certified for all languages together. Clean rows for certification are those with label quality = 1 that don't fail the
     base rules. Null texts have no words. A null language is a stratum of its own. Documents without a label only get the verdict;
-    repeated labels of an id count once if they agree, and not at all if they differ. Extra columns are left out.
+    repeated labels of an id count once if they agree, and not at all if they differ. Without labels nothing is certified and only the
+    base rules reject. Extra columns are left out.
     """
     counts = stash(base_counts(docs.select("doc_id", "text", "lang")), "rule-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counts = measures(counts).withColumn("base_failed", failed)
     clean = labels.groupBy("doc_id").agg(F.min("quality").alias("_low"), F.max("quality").alias("_high")).where("_low = 1 and _high = 1").select("doc_id")
     holdout = counts.where(~F.col("base_failed")).join(clean, "doc_id", "left_semi")
-    cuts = stash(certified_cutoffs(holdout, risk, confidence), "rule-cutoffs")
-    # One row per stratum, with a column per measure.
-    wide = cuts.groupBy(F.col("stratum").alias("_s")).agg(*[F.min(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"_{m}") for m in CUTOFFS])
-    judged = counts.join(wide, F.col("stratum").eqNullSafe(F.col("_s")), "left")
-    by = F.filter(F.array(*[F.when(F.col(m) > F.col(f"_{m}"), F.lit(m)) for m in CUTOFFS]), lambda x: x.isNotNull())
-    judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(by))
+    found = stash(certified_levels(holdout, risk, confidence), "rule-levels")
+    own = found.where("own and not pooled").select(F.col("stratum").alias("_s"), F.col("level").alias("_level"), F.lit(True).alias("_own"))
+    if own.count() <= BROADCAST_STRATA:
+        own = F.broadcast(own)
+    pool = found.where("pooled").first()["level"]
+    judged = counts.join(own, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    judged = judged.withColumn("_at", F.when(F.col("_own"), F.col("_level")).otherwise(F.lit(pool).cast("int")))
+    # Without a level the place is null, and so is the cutoff: nothing lies above it.
+    by = [F.when(F.col(m) > F.get(F.array(*[F.lit(c) for c in cuts]), F.col("_at")), F.lit(m)) for m, cuts in CUTOFFS.items()]
+    judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.filter(F.array(*by), lambda x: x.isNotNull())))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("rejected_by") == 0).alias("kept"),
         F.array_join("rejected_by", ",").alias("rejected_by"),

@@ -66,7 +66,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_rules": OP8_SQL}
+    return {"op6_certified_rules": op6_sql(), "op8_url_rules": OP8_SQL}
+
+
+def op6_sql(risk: float = 0.02, confidence: float = 0.95) -> str:
+    """Base counts by regular expressions and unnested windows, cutoffs by binomial sums from logarithms of factorials."""
+    cuts, n = quality_rules.CUTOFFS, quality_rules.LEVELS
+    table = ", ".join(f"({i}, {', '.join(f'{c[i]!r}::DOUBLE' for c in cuts.values())})" for i in range(n))
+    names = ", ".join(f"c_{m}" for m in cuts)
+    above = " OR ".join(f"{m} > c_{m}" for m in cuts)
+    by = ", ".join(f"CASE WHEN {m} > c_{m} THEN '{m}' END" for m in cuts)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), grams AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM split)
+), twice AS (
+  SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) AS r(k) GROUP BY rid
+), counts AS (
+  SELECT s.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS upper, length(regexp_replace(t, '[^!?]', '', 'g')) AS marks
+  FROM split s LEFT JOIN covered c ON c.rid = s.rid
+), measured AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share, upper / greatest(word_chars, 1) AS shout_share,
+         marks / greatest(word_chars, 1) AS mark_share, n_dup_lines / greatest(n_words, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share,
+         word_chars / greatest(n_words, 1) AS word_length
+  FROM counts
+), levels(level, {names}) AS (
+  VALUES {table}
+), clean AS (
+  SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1
+), tried AS (
+  SELECT lang, level, count(*) AS n, count(*) FILTER (WHERE {above}) AS k
+  FROM measured, levels WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM clean) GROUP BY lang, level
+), strata AS (
+  SELECT false AS pooled, * FROM tried UNION ALL SELECT true, NULL, level, sum(n)::BIGINT, sum(k)::BIGINT FROM tried GROUP BY level
+), tested AS (
+  SELECT *, {1 - confidence!r} / (SELECT count(DISTINCT (lang,)) + 1 FROM tried) AS alpha,
+         list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) AS tail
+  FROM strata
+), failing AS (
+  SELECT pooled, lang, bool_or((1 - {risk!r}) ** n <= alpha) AS own, coalesce(min(level) FILTER (WHERE tail > alpha OR k > n * {risk!r}), {n}) - 1 AS level FROM tested GROUP BY pooled, lang
+), judged AS (
+  SELECT m.*, CASE WHEN f.own THEN f.level ELSE (SELECT level FROM failing WHERE pooled) END AS at
+  FROM measured m LEFT JOIN failing f ON f.lang IS NOT DISTINCT FROM m.lang AND NOT f.pooled
+), named AS (
+  SELECT j.*, CASE WHEN base_failed THEN ['base'] ELSE list_filter([{by}], lambda x: x IS NOT NULL) END AS reasons FROM judged j LEFT JOIN levels l ON l.level = j.at
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, len(reasons) = 0 AS kept, array_to_string(reasons, ',') AS rejected_by FROM named
+"""
 
 
 OP8_SQL = r"""
