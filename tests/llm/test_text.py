@@ -254,6 +254,36 @@ def test_long_texts_in_parts(spark, monkeypatch):
     assert all(len(v) == 1 for v in windows.values())
 
 
+def test_digits_of_full_batches(spark):
+    """A part's digits don't depend on what was hashed before it, up to the largest batch; a repeat is found wherever its row stands."""
+    r = np.random.default_rng(9)
+    first, second = r.bytes(repeats.MOST - repeats.PART - 199), r.bytes(repeats.PART + 199)
+    both, alone = repeats.window_runs([first, second], 200), repeats.window_runs([second], 200)
+    assert [set(zip(x[1][x[0] == k].tolist(), x[3][x[0] == k].tolist(), strict=True)) for x, k in ((both, 1), (alone, 0))][0] == set(zip(alone[1].tolist(), alone[3].tolist(), strict=True))
+    with pytest.raises(ValueError):
+        repeats.window_runs([first, second + b"x"], 200)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    end = letters(300)
+    docs = spark.createDataFrame([(1, letters(repeats.PART - 6)), (2, letters(repeats.PART - 100) + end), (3, end)], "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: [tuple(s) for s in x["removed"]] for x in repeats.remove_repeats(docs).collect()}
+    assert got == {1: [], 2: [(repeats.PART - 100, repeats.PART + 200)], 3: [(0, 300)]}
+
+
+def test_hot_digits(spark, monkeypatch):
+    """A passage in most documents: its digits are joined by broadcast, with the same result."""
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "NEVER_HOT", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
+    passage = "a passage that stands in most documents of this table, " * 6
+    rows = [(i, f"{i} " * 90 + passage + ("z" * 150 + str(i % 4)) * 2) for i in range(40)] + [(100 + i, f"other {i} " * 60) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *x[:3]) for (i, _), x in zip(rows, brute.repeated_bytes([t for _, t in rows]), strict=True))
+    for most in (20_000, 1):
+        got = repeats.remove_repeats(df, 200, most).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"])) for r in got) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_patience_is_a_common_order(a, b):

@@ -9,36 +9,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stash
+from tidemark.llm.shared import join_counted, stash
 
 #: Bytes of the first digit; a suffix is sorted by it only where it is the least digit of its window.
 DIGIT = 64
 #: Windows hashed at once; longer texts are cut into overlapping parts of so many window starts.
 PART = 1 << 20
-POSITION = np.uint64((1 << 21) - 1)
-ODD = 0x9E3779B97F4A7C15
+#: Bytes that are hashed together: places in them are told apart by the bits of POSITION.
+MOST = 2 * PART
+POSITION = np.uint64(MOST - 1)
+#: Two hashes, of different multipliers and different numbers for the bytes: one of digits, one of windows and spans.
+MULTIPLIERS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+Tables = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(which: int, n: int) -> Tables:
     """A random number for each byte value, powers of an odd number, and powers of its inverse, modulo 2**64."""
-    byte = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    byte = np.random.default_rng(20240229 + which).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def powers(x: int) -> np.ndarray:
         out = np.full(n, x, np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
-    return byte, powers(ODD), powers(pow(ODD, -1, 1 << 64))
+    return byte, powers(MULTIPLIERS[which]), powers(pow(MULTIPLIERS[which], -1, 1 << 64))
 
 
-_made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+_made: dict[int, Tables] = {}
 
 
-def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables(which: int, n: int) -> Tables:
     """The tables for at least n bytes, kept by the worker."""
-    if not _made or len(_made[0][1]) < n:
-        _made[:] = [_tables(max(2 * n, 2 * PART))]
-    return _made[0]
+    if which not in _made or len(_made[which][1]) < n:
+        _made[which] = _tables(which, max(2 * n, MOST + 1))
+    return _made[which]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,11 +56,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """Hashes of any substring of some bytes, from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
-        byte, self.power, self.inverse = tables(len(data) + 1)
+    def __init__(self, data: np.ndarray, which: int):
+        byte, power, self.inverse = tables(which, len(data) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(byte[data] * self.power[: len(data)], out=self.sums[1:])
+        np.cumsum(byte[data] * power[: len(data)], out=self.sums[1:])
 
     def each(self, size: int) -> np.ndarray:
         """Of every substring of so many bytes."""
@@ -86,8 +90,9 @@ def window_runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """
     sizes = np.array([len(p) for p in parts])
     data = np.frombuffer(b"".join(parts), np.uint8)
-    hashed = Hashed(data)
-    digit = hashed.each(DIGIT)
+    if len(data) > MOST:
+        raise ValueError(f"at most {MOST} bytes at once")
+    digit = Hashed(data, 0).each(DIGIT)
     least = sliding_min((digit & ~POSITION) | np.arange(len(digit), dtype=np.uint64), length - DIGIT + 1) & POSITION
     least = least.astype(np.int64)
     firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -100,7 +105,7 @@ def window_runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     inside = lasts < ends[part]
     starts, lasts, part = starts[inside], lasts[inside], part[inside]
     anchor = least[starts]
-    whole = mixed(hashed.spans(starts, lasts + length) + mixed((((lasts - starts) << 20) + (anchor - starts)).astype(np.uint64)))
+    whole = mixed(Hashed(data, 1).spans(starts, lasts + length) + mixed((((lasts - starts) << 20) + (anchor - starts)).astype(np.uint64)))
     return part, starts - firsts[part], lasts - firsts[part], digit[anchor], whole
 
 
@@ -123,6 +128,9 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 text = data[i].as_py()
                 for at in range(0, max(0, len(text) - length + 1), PART):
                     piece = text[at : at + PART + length - 1]
+                    if held + len(piece) > MOST:
+                        yield flush()
+                        parts, owner, base, held = [], [], [], 0
                     parts.append(piece)
                     owner.append(i)
                     base.append(at)
@@ -140,10 +148,10 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(digits: np.ndarray, spans: list[bytes], several: np.ndarray, length: int) -> list[list[int]]:
     """For whole groups of distinct spans: the windows of each that also stand in another, as [first, last, first, last ...].
 
-    A span that occurs several times is repeated from end to end. Of the others every window is hashed; equal hashes in a group are
-    equal strings.
+    A span that occurs several times is repeated from end to end. Of the others every window is hashed; windows of one digit with equal
+    hashes count as equal strings.
     """
-    hashed = Hashed(np.frombuffer(b"".join(spans), np.uint8))
+    hashed = Hashed(np.frombuffer(b"".join(spans), np.uint8), 1)
     sizes = np.array([len(s) for s in spans])
     counts = sizes - length + 1
     firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -170,29 +178,29 @@ def repeated_ranges(digits: np.ndarray, spans: list[bytes], several: np.ndarray,
 
 
 def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """digit, whole, several, span for the runs listed with each document (column asked)."""
+    """digit, whole, n, span for the runs listed with each document (column asked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, bool, bytes]] = []
+            rows: list[tuple[int, int, int, bytes]] = []
             for data, asked in zip(batch.column("data"), batch.column("asked"), strict=True):
                 text = data.as_py()
-                rows += [(x["digit"], x["whole"], x["several"], text[x["first"] : x["last"] + length]) for x in asked.as_py()]
+                rows += [(x["digit"], x["whole"], x["n"], text[x["first"] : x["last"] + length]) for x in asked.as_py()]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digit", "whole", "several", "span"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digit", "whole", "n", "span"])
 
-    return docs.select("data", "asked").mapInArrow(run, "digit bigint, whole bigint, several boolean, span binary")
+    return docs.select("data", "asked").mapInArrow(run, "digit bigint, whole bigint, n bigint, span binary")
 
 
 def _compare_groups(spans: DataFrame, length: int) -> DataFrame:
-    """digit, whole, ranges; all spans of a digit stand in one partition, in order, and are compared there some groups at a time."""
+    """digit, whole, n, ranges; all spans of a digit stand in one partition, in order, and are compared there some groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(table: pa.Table) -> pa.RecordBatch:
-            digits, several = table.column("digit").to_numpy(), table.column("several").to_numpy(zero_copy_only=False)
-            ranges = repeated_ranges(digits, table.column("span").to_pylist(), several, length)
-            return pa.RecordBatch.from_arrays([pa.array(digits), pa.array(table.column("whole").to_numpy()), pa.array(ranges, pa.list_(pa.int32()))], ["digit", "whole", "ranges"])
+            digits, whole, n = (table.column(c).to_numpy() for c in ("digit", "whole", "n"))
+            ranges = repeated_ranges(digits, table.column("span").to_pylist(), n > 1, length)
+            return pa.RecordBatch.from_arrays([pa.array(digits), pa.array(whole), pa.array(n), pa.array(ranges, pa.list_(pa.int32()))], ["digit", "whole", "n", "ranges"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -208,7 +216,7 @@ def _compare_groups(spans: DataFrame, length: int) -> DataFrame:
         if held:
             yield compared(pa.Table.from_batches(held))
 
-    return spans.mapInArrow(run, "digit bigint, whole bigint, ranges array<int>")
+    return spans.mapInArrow(run, "digit bigint, whole bigint, n bigint, ranges array<int>")
 
 
 def _compare_rows(spans: DataFrame, length: int) -> DataFrame:
@@ -218,16 +226,16 @@ def _compare_rows(spans: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 span = np.frombuffer(batch.column("span")[i].as_py(), np.uint8)
-                keys = Hashed(span).each(length).view(np.int64)
-                fixed = [pa.array(np.full(len(keys), batch.column(c)[i].as_py())) for c in ("digit", "whole", "several")]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], ["digit", "whole", "several", "at", "key"])
+                keys = Hashed(span, 1).each(length).view(np.int64)
+                fixed = [pa.array(np.full(len(keys), batch.column(c)[i].as_py())) for c in ("digit", "whole", "n")]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], ["digit", "whole", "n", "at", "key"])
 
-    rows = stash(spans.mapInArrow(run, "digit bigint, whole bigint, several boolean, at int, key bigint"), "window-rows")
+    rows = stash(spans.mapInArrow(run, "digit bigint, whole bigint, n bigint, at int, key bigint"), "window-rows")
     often = rows.groupBy(F.col("digit").alias("_d"), F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    hit = rows.where("not several").join(often, (F.col("digit") == F.col("_d")) & (F.col("key") == F.col("_k")), "left_semi").unionByName(rows.where("several"))
+    hit = join_counted(rows.where("n = 1"), stash(often, "windows-often"), {"digit": "_d", "key": "_k"}, "_n", rows.count())
     # A span has at most length - DIGIT + 1 windows.
-    one = hit.groupBy("digit", "whole").agg(F.collect_set("at").alias("at"))
-    return one.select("digit", "whole", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("ranges"))
+    one = hit.select("digit", "whole", "n", "at").unionByName(rows.where("n > 1").drop("key")).groupBy("digit", "whole", "n").agg(F.collect_set("at").alias("at"))
+    return one.select("digit", "whole", "n", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, most_in_group: int = 20_000) -> DataFrame:
@@ -238,14 +246,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_in_group: int = 20_0
     This stands for a sort of all suffixes through their first `length` bytes, whose equal groups are the repeats. No suffix is sorted:
     windows are grouped by one digit of 64 bytes, at one place in about seventy: that of each window whose hash is
     least, which equal windows share. Neighbouring windows with the same least digit form a run. Runs that are alone with their digit
-    have no repeat and go no further. Groups whose runs are all the same, byte for byte in span, are repeated as a whole. Only for the
-    rest the spans themselves are fetched, one for each distinct content, and all their windows hashed: groups of up to most_in_group
-    contents inside a task, larger ones as rows that Spark counts. Hashes are of 64 bits; those of digits and of windows
-    come from the same prefix sums, so they aren't independent.
+    have no repeat and go no further. Groups whose runs all have the same hash of their spans are repeated as a whole. Only for the
+    rest the spans themselves are fetched, one for each distinct hash, and all their windows hashed: groups of up to most_in_group
+    contents inside a task, larger ones as rows that Spark counts. Bytes are never compared: two windows count as equal if a hash of 64
+    bits of the digit inside them and another one of 64 bits of the window or its span, with other multipliers, agree. For n different windows
+    that share a digit, the chance that any two are taken for equal is about n * n / 2 ** 65.
 
     Null text counts as empty; texts shorter than `length` have no windows. Rows that agree in id and text are repeats of each other.
-    Extra columns are left out. Groups are reduced by partial aggregation and joins that Spark can split, so that a passage that a
-    third of all documents share is no burden to one task.
+    Extra columns are left out. Groups are reduced by partial aggregation, and digits or spans that very many windows share are joined
+    by broadcast (join_counted), so that a passage that a third of all documents share isn't put in one task.
     """
     if length < 2 * DIGIT:
         raise ValueError(f"windows are of at least {2 * DIGIT} bytes")
@@ -253,12 +262,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_in_group: int = 20_0
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), data.alias("data"))
     runs = stash(_runs(docs, length), "window-runs")
     shared = runs.groupBy(F.col("digit").alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.min("whole").alias("_lo"), F.max("whole").alias("_hi")).where("_n > 1")
-    hits = runs.join(shared, F.col("digit") == F.col("_d")).select("doc_id", "mark", "first", "last", "digit", "whole", (F.col("_lo") == F.col("_hi")).alias("same"))
+    hits = join_counted(runs, stash(shared, "shared-digits"), {"digit": "_d"}, "_n", runs.count()).select("doc_id", "mark", "first", "last", "digit", "whole", (F.col("_lo") == F.col("_hi")).alias("same"))
     hits = stash(hits, "window-hits")
 
     contents = hits.where("not same").groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "mark", "first", "last")).alias("_at"))
-    contents = contents.select("digit", "whole", (F.col("_n") > 1).alias("several"), "_at.*")
-    asked = contents.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("digit", "whole", "several", "first", "last")).alias("asked"))
+    contents = contents.select("digit", "whole", F.col("_n").alias("n"), "_at.*")
+    asked = contents.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("digit", "whole", "n", "first", "last")).alias("asked"))
     key = lambda other: F.col("doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("mark") == F.col(f"{other}.mark"))
     by_key = lambda df, other: df.select(F.struct("doc_id", "mark").alias(other), *[c for c in df.columns if c not in ("doc_id", "mark")])
     found = docs.join(by_key(asked, "_a"), key("_a"))
@@ -272,7 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_in_group: int = 20_0
         ranges = ranges.unionByName(_compare_rows(spans.join(large, "digit", "left_semi"), length))
     ranges = stash(ranges.where(F.size("ranges") > 0), "window-ranges").withColumnsRenamed({"digit": "_d", "whole": "_w"})
 
-    partly = hits.where("not same").join(ranges, (F.col("digit") == F.col("_d")) & (F.col("whole") == F.col("_w")))
+    partly = join_counted(hits.where("not same"), ranges, {"digit": "_d", "whole": "_w"}, "n", hits.count())
     pairs = F.transform(F.sequence(F.lit(0), F.size("ranges") - 2, F.lit(2)), lambda i: F.struct(F.get("ranges", i).alias("a"), F.get("ranges", i + 1).alias("b")))
     partly = partly.select("doc_id", "mark", "first", F.explode(pairs).alias("p")).select("doc_id", "mark", (F.col("first") + F.col("p.a")).alias("start"), (F.col("first") + F.col("p.b") + length).alias("end"))
     wholly = hits.where("same").select("doc_id", "mark", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
