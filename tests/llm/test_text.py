@@ -310,11 +310,10 @@ def line_cases():
     return out, shared
 
 
-@pytest.mark.parametrize("rare", [64, 1])
-def test_lines_of_later_documents_go(spark, rare):
+def test_lines_of_later_documents_go(spark):
     rows, shared = line_cases()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash")).withColumn("n_chars", F.length("text"))
-    got = line_dedup.dedup_lines(df, rare=rare).collect()
+    got = line_dedup.dedup_lines(df).collect()
     assert len(got) == len(rows)
     kept = {(r["doc_id"], r["kept"]) for r in got}
     texts = defaultdict(list)
@@ -325,18 +324,17 @@ def test_lines_of_later_documents_go(spark, rare):
     assert gone[3] == [[]] and gone[4] == [[]] and gone[5] == [list(range(8))] and (None, "") in kept
     assert gone[100] == [[]] and all(gone[100 + i] == [[1]] for i in range(1, 90))
     assert (400, None) in kept and (402, "\n\n") in kept and sum((r["doc_id"], r["kept"]) == (7, rows[-2][1]) for r in got) == 2
-    whole = line_dedup.deduped_documents(df, rare=rare)
+    whole = line_dedup.deduped_documents(df)
     assert whole.columns == df.columns and all(r["removed"] == "clash" and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in whole.collect())
 
 
-@pytest.mark.parametrize("rare", [64, 1])
-def test_blocks_of_another_order_or_document_go(spark, rare):
+def test_blocks_of_another_order_or_document_go(spark):
     line = lambda k: " ".join(f"o{k}x{j}" for j in range(7))
     p, q = [line(k) for k in range(3)], [line(k) for k in range(10, 13)]
     rows = [(0, [*p, *q]), (1, [*q, *p]), (2, [*q, *p, line(20)])]
     # Runs of short lines, each line of which another document has first; only 6 has them together.
     rows += [(3, [line(30), "aa bb"]), (4, ["cc dd", line(31)]), (5, [line(32), "ee"]), (6, [line(33), "aa bb", "", "cc dd", "ee"]), (7, ["aa bb", "cc dd", "ee", line(34)]), (8, ["cc dd", "aa bb", "ee", line(35)])]
-    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string"), rare=rare).collect()}
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")).collect()}
     assert got == {0: [], 1: [0, 1, 2, 3, 4, 5], 2: [0, 1, 2, 3, 4, 5], 3: [], 4: [], 5: [], 6: [], 7: [0, 1, 2], 8: []}
 
 
@@ -352,6 +350,56 @@ def shared_blocks(rows, least=5):
     return found
 
 
+def test_alignment_of_all_pairs_removes_no_more(spark):
+    """Against patience diff of the lines of every two documents, block by block: nothing that it removes is left."""
+    r = np.random.default_rng(2)
+    pool = [" ".join([f"w{x}"] * (1 + x % 4)) for x in range(40)]
+    rows = []
+    for i in range(60):
+        own = [pool[x] for x in r.integers(0, 40, 6).tolist()]
+        if i > 5:  # a part of an earlier document, at times in another order, between own lines
+            old = rows[int(r.integers(0, i))][1].split("\n")
+            a, b = sorted(r.integers(0, len(old) + 1, 2).tolist())
+            own[3:3] = old[a:b] if i % 3 else old[b:] + old[a:b]
+        rows.append((i, "\n".join(own)))
+    want = {}
+    for j, (i, text) in enumerate(rows):
+        b, found = text.split("\n"), set()
+        for _, other in rows[:j]:
+            block, last = [], (-2, -2)
+            for m in [*line_dedup.patience([hash(x) for x in other.split("\n")], [hash(x) for x in b]), (-9, -9)]:
+                if m != (last[0] + 1, last[1] + 1):
+                    if sum(len(b[k].split()) for k in block) >= 5:
+                        found.update(block)
+                    block = []
+                block.append(m[1])
+                last = m
+        want[i] = found
+    got = {x["doc_id"]: set(x["removed"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[i] <= got[i] for i in want) and sum(map(len, want.values())) > 150
+    assert {i: sorted(x) for i, x in got.items()} == shared_blocks(rows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=20), st.lists(st.integers(0, 6), max_size=20))
+def test_alignments_match_all_that_is_common(a, b):
+    parts = line_dedup.aligned(a, b)
+    assert sorted(j for p in parts for _, j in p) == [j for j, x in enumerate(b) if x in a]
+    assert all(a[i] == b[j] for p in parts for i, j in p)
+    assert all(x[1] < y[1] and x[0] <= y[0] for p in parts for x, y in zip(p, p[1:], strict=False))
+
+
+def test_hot_lines(spark, monkeypatch):
+    from tidemark.llm import shared
+
+    rows, _ = line_cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(map(str, line_dedup.dedup_lines(df).collect()))
+    monkeypatch.setattr(shared, "NEVER_HOT", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
+    assert Counter(map(str, line_dedup.dedup_lines(df).collect())) == want
+
+
 def test_no_block_is_left(spark):
     r = np.random.default_rng(11)
     rows = [(i, "\n".join(" ".join([f"w{x}"] * (1 + x % 4)) for x in r.integers(0, 12, 9).tolist())) for i in range(120)]
