@@ -54,6 +54,16 @@ def test_packing_round_trip(docs, none):
     assert packing.pack(packing.cut_documents(none), 1024).count() == 0
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_columns_of_any_name_are_packed(spark, wide):
+    names = ["_piece", "_group", "__group", "sequence_id", "offset"] + [f"more{i}" for i in range(6 * wide)]
+    df = spark.createDataFrame([(i, 1 + i % 9) for i in range(200)], "doc_id long, length long").select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    got = packing.pack(df, 16, group_size=32)
+    assert got.columns == ["doc_id", "length", *[n for n in names if n not in ("sequence_id", "offset")], "sequence_id", "offset"]
+    assert all(r["_piece"] == f"_piece{r['doc_id']}" and r["_group"] == f"_group{r['doc_id']}" for r in got.collect())
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 16").count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=80))
 def test_encoder_equals_tokenizer(text):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stash
+from tidemark.llm.shared import join_counted, small, stash
 
 #: Rows of one ordered slice, when neighbours by id are sought.
 SLICE_ROWS = 200_000
@@ -50,19 +50,22 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document's (all, if it has
     fewer). A fingerprint is the wide hash of the canonical text. Inside a bucket of equal hashes the canonical texts are compared byte
-    by byte with the smallest one; a text that differs gets its SHA-256 appended, so that equal fingerprints mean equal canonical texts.
+    by byte, the smallest with the largest; where these differ, texts other than the smallest get their SHA-256 appended, so that equal
+    fingerprints mean equal canonical texts. A bucket is reduced in the tasks that hold its rows, and its rows stay where they are.
     The edited text is compared so with its own document's. Likeness is 1.0 for equal fingerprints, else 0.0: an exact digest knows no
     degrees.
 
     Rows with the same id are all followed by the same next document, of which the smallest beginning counts if its id repeats. Null
     text counts as empty, a null id as the largest. Whole texts cross the network once; beyond that go only the beginnings that are put
-    elsewhere and the texts of buckets with several members. Extra columns are left out.
+    elsewhere and one text for each bucket and task. Extra columns are left out.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     hashed = wide_hash(canonical(F.col("text")))
     slim = stash(docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), hashed.alias("hash")), "digests")
-    shared = slim.groupBy("hash").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select("hash", F.lit(True).alias("_shared"))
-    ids = slim.join(shared, "hash", "left").groupBy("doc_id").agg(F.max("n_chars").alias("_longest"), F.max("_shared").alias("_shared"))
+    shared = stash(slim.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("hash").alias("_h"), "_n"), "shared-digests")
+    several = join_counted(slim.select("doc_id", "hash"), shared, {"hash": "_h"}, "_n", slim.count()).select("doc_id", F.lit(True).alias("_shared"))
+    ids = slim.select("doc_id", "n_chars", F.lit(None).cast("boolean").alias("_shared")).unionByName(several, allowMissingColumns=True)
+    ids = stash(ids.groupBy("doc_id").agg(F.max("n_chars").alias("_longest"), F.max("_shared").alias("_shared")), "digest-ids")
     next_of = successors(slim.select("doc_id").distinct()).withColumnRenamed("doc_id", "_id")
     asked = ids.join(next_of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("next_id", F.col("doc_id").alias("_prev"), F.floor(F.col("_longest") / 4).cast("int").alias("_need"))
     asked = stash(asked, "beginnings-asked")
@@ -83,12 +86,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
     rows = stash(rows, "digest-rows")
 
-    alone = rows.where("_canon is null").withColumn("_mark", F.lit(""))
-    several = rows.where("_canon is not null")
-    first = several.groupBy(F.col("hash").alias("_h")).agg(F.min("_canon").alias("_first"))
-    several = several.join(first, F.col("hash") == F.col("_h"))
-    several = several.withColumn("_mark", F.when(F.col("_canon") == F.col("_first"), "").otherwise(F.concat(F.lit("-"), F.sha2(F.encode("_canon", "UTF-8"), 256)))).drop("_h", "_first")
-    done = alone.unionByName(several)
+    # Buckets of unlike texts. None is expected; however many there are, their hashes are joined.
+    unlike = rows.where("_canon is not null").groupBy(F.col("hash").alias("_h")).agg(F.min("_canon").alias("_first"), F.max("_canon").alias("_last")).where("_first <> _last")
+    unlike = small(stash(unlike.select("_h", "_first"), "unlike-texts"), 1000)
+    done = rows.join(unlike, F.col("hash") == F.col("_h"), "left")
+    done = done.withColumn("_mark", F.when(F.col("_h").isNull() | (F.col("_canon") == F.col("_first")), "").otherwise(F.concat(F.lit("-"), F.sha2(F.encode("_canon", "UTF-8"), 256))))
     own = F.concat("hash", "_mark")
     other = F.when(F.col("_same"), own).when(F.col("_edited_hash") == F.col("hash"), F.concat("_edited_hash", F.lit("-e"))).otherwise(F.col("_edited_hash"))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import n_words, stash, uniform
+from tidemark.llm.shared import n_words, small, stash, uniform
 
 #: The order statistic is found in this many equal slices of (0, 1); only one slice a source is then ranked row by row.
 SLICES = 1 << 16
@@ -86,8 +86,9 @@ def mix(
     certain = F.sum(F.col("_whole") * F.col("_words")).over(Window.partitionBy("source"))
     strata = stash(strata.withColumn("_rest", F.greatest(F.col("target") - certain, F.lit(0.0))), "mix-strata")
 
+    # Strata and sources are few in practice: once counted they are broadcast, so that no row is dealt by its source.
     slim = strata.select(F.col("source").alias("_s"), F.col("_stratum").alias("_t"), "source_size", "target", "expected", "_whole", "_p", "_rest")
-    rows = sized.join(slim, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_stratum") == F.col("_t"))).drop("_s", "_t")
+    rows = sized.join(small(slim), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_stratum") == F.col("_t"))).drop("_s", "_t")
     u = uniform(seed, F.col("_mark"))
     # q / (1 + q) of the Pareto ranking variable q = odds(u) / odds(p): the same order, within (0, 1).
     rank = F.when(F.col("_p") > SMALL, u * (1 - F.col("_p")) / (u * (1 - F.col("_p")) + (1 - u) * F.col("_p")))
@@ -98,8 +99,8 @@ def mix(
     coarse = slices.groupBy("source", "_rest", F.floor(F.col("_slice") / FINE).alias("_part")).agg(F.sum("_n").alias("_n"))
     part = _last_started(coarse.withColumn("_offset", F.lit(0).cast("long")), "_part").select(F.col("source").alias("_s"), F.col("_part"), F.col("_before").alias("_offset"))
     fine = slices.withColumn("_p", F.floor(F.col("_slice") / FINE)).join(part, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_part"))).drop("_s", "_p", "_part")
-    last = _last_started(fine, "_slice").select("source", F.col("_slice").alias("_last"), "_before")
-    rows = rows.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    last = stash(_last_started(fine, "_slice").select(F.col("source").alias("_s"), F.col("_slice").alias("_last"), "_before"), "mix-last-slices")
+    rows = rows.join(small(last), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
     whole_slice = F.coalesce(F.col("_slice") < F.col("_last"), F.lit(False))
     edge = F.coalesce(F.col("_slice") == F.col("_last"), F.lit(False))

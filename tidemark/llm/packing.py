@@ -156,29 +156,33 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_size: int = 8192, seed:
     The pieces are dealt at random into groups of about group_size, whatever document they come from, and each group is packed by first
     fit decreasing on its own, so tasks are of even size and a document in very many pieces, or very many equal rows, fill no group.
     Sequences are numbered by group and bin; within a sequence the pieces lie without gaps from 0. Pieces of null or impossible length
-    fail. The other columns stay; columns named sequence_id, offset or those with a leading underscore would clash.
+    fail. The other columns stay, whatever their names; columns named sequence_id or offset are replaced.
     """
     if group_size * 8 > BINS:
         raise ValueError(f"groups are of at most {BINS // 8} pieces")
-    numbered = stash(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    keep = [c for c in pieces.columns]
+    piece, into = "_piece", "_group"
+    while {piece, into} & {c.lower() for c in keep}:  # names that no column has
+        piece, into = f"_{piece}", f"_{into}"
+    numbered = stash(pieces.withColumn(piece, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-numbered.count() // group_size))
-    dealt = numbered.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "_piece"), F.lit(groups)))
+    dealt = numbered.withColumn(into, F.pmod(F.xxhash64(F.lit(seed).cast("long"), piece), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
             raise ValueError("a piece has an impossible length")
-        order = np.argsort(table.column("_piece").to_numpy(), kind="stable")
+        order = np.argsort(table.column(piece).to_numpy(), kind="stable")
         bins, offsets = np.empty_like(lengths), np.empty_like(lengths)
         bins[order], offsets[order] = first_fit_decreasing(lengths[order], capacity)
-        group = table.column("_group").to_numpy()
-        return pa.table({"_piece": table.column("_piece"), "sequence_id": pa.array(group * BINS + bins), "offset": pa.array(offsets)})
+        group = table.column(into).to_numpy()
+        return pa.table({piece: table.column(piece), "sequence_id": pa.array(group * BINS + bins), "offset": pa.array(offsets)})
 
-    slim = dealt.select("_piece", "_group", F.col("length").cast("long").alias("length"))
-    keep = [c for c in pieces.columns]
+    slim = dealt.select(piece, into, F.col("length").cast("long").alias("length"))
     if len(keep) > 8 or "ids" in keep:  # wide pieces stay where they are; only places travel
-        placed = slim.groupBy("_group").applyInArrow(run, "_piece bigint, sequence_id bigint, offset bigint")
-        return numbered.join(placed, "_piece").drop("_piece")
+        placed = slim.groupBy(into).applyInArrow(run, f"{piece} bigint, sequence_id bigint, offset bigint")
+        return numbered.join(placed, piece).drop(piece)
 
     def whole(table: pa.Table) -> pa.Table:
         places = run(table)
@@ -187,7 +191,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_size: int = 8192, seed:
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType(pieces.schema.fields).add("sequence_id", LongType()).add("offset", LongType())
-    return dealt.groupBy("_group").applyInArrow(whole, schema)
+    return dealt.groupBy(into).applyInArrow(whole, schema)
 
 
 def sequences(packed: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -81,8 +81,9 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     if distance % 2:
         raise ValueError("meet in the middle needs an even distance")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(distance // 2)])
-    # Dealt out anew: a few tasks would else make all variants, as fingerprints take little room before they are multiplied.
-    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Dealt out anew, by an expression that no earlier exchange has dealt by: a few tasks would else make all variants, as fingerprints
+    # take little room before they are multiplied.
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     spread = dealt.select("fp", F.explode(masks).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("variant"))
     met = spread.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     pairs = met.select("a", F.explode("all").alias("b")).where("a <> b")
