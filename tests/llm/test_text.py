@@ -128,6 +128,55 @@ def test_similar_groups(spark, docs, none):
         share = len(x & y) / len(x | y) if x | y else 1.0
         assert (group[a] == group[b]) or share < 0.95
         assert (group[a] != group[b]) or share > 0.6
+
+
+def similarity_of(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_pairs_are_found(spark):
+    """Recall against brute force, by similarity: pairs of a text and an edited copy; and no link between texts below 0.8."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        words = [f"w{x}" for x in r.integers(0, 5000, int(r.integers(60, 400))).tolist()]
+        rows.append((2 * i, " ".join(words)))
+        for k in r.choice(len(words), max(1, round(len(words) * float(r.uniform(0.002, 0.03)))), replace=False).tolist():
+            words[k] = f"x{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    group = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = defaultdict(list)
+    for i in range(400):
+        s = similarity_of(sets[2 * i], sets[2 * i + 1])
+        linked = group[2 * i] == group[2 * i + 1]
+        assert not linked or s >= 0.8
+        if s >= 0.8:
+            found[min(int(s * 20), 19)].append(linked)
+    assert min(map(len, found.values())) > 20 and all(np.mean(v) >= 0.9 for v in found.values())
+
+
+def test_bands_follow_the_rows():
+    p = simhash.angle(0.8)
+    for rows in (1, 1000, 10**6, 10**10):
+        b = simhash.Bands.of(rows, 0.8)
+        one = sum(simhash.math.comb(b.bits, k) * p**k * (1 - p) ** (b.bits - k) for k in range(3))
+        assert 1 - (1 - one) ** b.count >= simhash.MEET and b.words * 64 >= b.bits * b.count and rows < 2 ** (b.bits - 7)
+
+
+@pytest.mark.parametrize("bands", [(16, 4), (24, 10), (26, 9)])
+def test_variants_of_bands(spark, bands):
+    b = simhash.Bands(*bands)
+    r = np.random.default_rng(1)
+    fp = r.integers(-(1 << 63), 1 << 63, b.words).tolist()
+    whole = sum((x & (1 << 64) - 1) << 64 * k for k, x in enumerate(fp))
+    want = {(whole >> k * b.bits & (1 << b.bits) - 1 ^ m) | k << b.bits for k in range(b.count) for m in (0, *(1 << j for j in range(b.bits)))}
+    got = spark.createDataFrame([(fp,)], "fp array<bigint>").select(b.variants()).first()[0]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_similar_groups_of_kept_rows(docs, none):
+    got = simhash.similar_groups(docs)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in got.collect()}
