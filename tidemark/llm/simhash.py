@@ -21,13 +21,13 @@ SEED = 42
 LONG_WORDS = 4
 #: Share of the pairs of the similarity asked for that are to meet in some band.
 MEET = 0.96
-#: Rounds in which the members of a bucket are compared with its smallest; what is left after them is compared in cells.
-ROUNDS = 5
 #: Buckets of at most so many fingerprints are compared by a join; larger ones in cells of two sides of about SIDE rows each.
 FEW = 32
 SIDE = 2048
 #: Tables of at most this many short rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for numbers alone.
+MET_ROWS = 2_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -143,12 +143,10 @@ class Bands:
 
     @classmethod
     def of(cls, rows: int, similarity: float, meet: float = MEET) -> Bands:
-        """Bands so long that few unlike fingerprints among so many rows meet (one variant in ten or so has a chance partner), and so
+        """Bands so long that few unlike fingerprints among so many rows meet (one variant in forty or so has a chance partner), and so
         many that of the pairs of this similarity the share `meet` has a band that differs in at most two bits.
-
-        At a similarity of 0.8 that takes 21 bands of 32 bits for 16 million fingerprints, 64 of 40 bits for four billion.
         """
-        bits, p = max(16, math.ceil(math.log2(rows + 1)) + 8), angle(similarity)
+        bits, p = max(16, math.ceil(math.log2(rows + 1)) + 10), angle(similarity)
         one = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
         return cls(bits, max(1, math.ceil(math.log(1 - meet) / math.log(1 - one))))
 
@@ -189,14 +187,14 @@ def long_fingerprints(docs: DataFrame, size: int = 5, words: int = LONG_WORDS) -
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """id, shingles (32 bits of each distinct hash) for rows of id and text."""
+    """id, n, shingles (32 bits of each distinct hash) for rows of id, n and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(text.as_py(), size).astype(np.uint32)).view(np.int32) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int32()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(found, pa.list_(pa.int32()))], ["id", "n", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles array<int>")
+    return docs.select("id", "n", "text").mapInArrow(run, "id bigint, n bigint, shingles array<int>")
 
 
 def most_bits(similarity: float, words: int = LONG_WORDS) -> int:
@@ -218,7 +216,7 @@ def _joined(limit: int, words: int):
         ids, roots, stray = (table.column(c).to_numpy() for c in ("id", "root", "stray"))
         fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
         own, others = np.flatnonzero(stray), np.flatnonzero(~stray)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         for k in range(0, len(own), 256):
             some = own[k : k + 256]
             apart = sum(np.bitwise_count(fp[some, None, w] ^ fp[None, others, w]).astype(np.int16) for w in range(words))
@@ -228,23 +226,24 @@ def _joined(limit: int, words: int):
             once = np.unique(np.stack((i, roots[j]), 1), axis=0, return_index=True)[1]
             a.append(ids[i[once]])
             b.append(ids[j[once]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            d.append(np.bitwise_count(fp[i[once]] ^ fp[j[once]]).sum(1, dtype=np.int32))
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "d": pa.array(d)})
 
     return run
 
 
 def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, words: int) -> DataFrame:
-    """Pairs (a, b) of members (columns id, variant) of one bucket that the edges so far leave in different groups.
+    """Pairs (a, b, d: bits between them) of members (columns id, variant) of one bucket that the edges so far leave in different groups.
 
-    Members of one group are connected already. In each bucket those outside its largest group are compared with all that are in
+    Members of one group are connected already, and the two of a bucket of two have been compared. In each bucket those outside its largest group are compared with all that are in
     another group than they, so that afterwards every two members are connected, paired, or known to be too far apart. A bucket that is
     one group, as most families of near copies are, costs nothing, and buckets of the same members are looked at once.
     """
     rows = met.join(components(edges), F.col("id") == F.col("node"), "left").select("variant", "id", F.coalesce("root", "id").alias("root"))
     rows = stash(rows, "grouped-rows")
     held = rows.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
-    buckets = held.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > most.n")
+    buckets = held.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > most.n and n > 2")
     once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("variant", "most")).alias("o")).select(F.col("o.variant").alias("v"), "n", F.col("o.most.n").alias("n_most"), F.col("o.most.root").alias("most"))
     rows = rows.join(once, F.col("variant") == F.col("v")).drop("v").join(fps.select(F.col("id").alias("i2"), "fp"), F.col("id") == F.col("i2")).drop("i2")
     rows = stash(rows.withColumn("outside", F.col("root") != F.col("most")), "open-rows")
@@ -253,7 +252,7 @@ def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, w
     left = few.where("outside").select("variant", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("fp").alias("fa"))
     right = few.select(F.col("variant").alias("v"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("fp").alias("fb"))
     near = left.join(right, (F.col("variant") == F.col("v")) & (F.col("ra") != F.col("rb"))).where(_distance("fa", "fb", words) <= limit)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _distance("fa", "fb", words).alias("d"))
 
     many = rows.where(F.col("n") > FEW)
     sides = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil((F.col("n") - F.col("n_most")) / SIDE).cast("int")
@@ -261,7 +260,7 @@ def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, w
     upto = [F.explode(F.sequence(F.lit(0), k - 1)) for k in sides]
     cells = many.select("variant", "id", "root", "fp", F.lit(False).alias("stray"), at[0].alias("i"), upto[1].alias("j"))
     cells = cells.unionByName(many.where("outside").select("variant", "id", "root", "fp", F.lit(True).alias("stray"), upto[0].alias("i"), at[1].alias("j")))
-    return near.unionByName(cells.groupBy("variant", "i", "j").applyInArrow(_joined(limit, words), "a bigint, b bigint")).distinct()
+    return near.unionByName(cells.groupBy("variant", "i", "j").applyInArrow(_joined(limit, words), "a bigint, b bigint, d int")).distinct()
 
 
 def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None = None, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -269,10 +268,9 @@ def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None =
 
     Meet in the middle by bands: of each band a fingerprint emits all variants within one bit, so that two meet if some band differs in
     at most two bits; pairs that meet are verified by the distance of the whole fingerprints, and then by `verify`, which keeps the rows
-    (a, b) of truly similar texts. A bucket's members may differ in other bands, so each is compared with the smallest member first; those
-    that it doesn't link are a smaller bucket, compared with the smallest of that, for ROUNDS rounds. Those that are in different
-    groups after that are compared with each other (_cross_links). Buckets of one group are never expanded into pairs: their minima
-    are aggregated with partial sums, and a member of a bucket is one row of a join.
+    (a, b) of truly similar texts. A bucket's members may differ in other bands, so each is compared with the smallest member first;
+    those that are in different groups after that are compared with each other (_cross_links). Buckets of one group are never expanded
+    into pairs: variants are counted with partial sums, and a member of a bucket is one row of a join.
     """
     spark = fps.sparkSession
     bands = bands or Bands.of(fps.count(), similarity)
@@ -280,21 +278,28 @@ def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None =
     limit = most_bits(similarity, words)
     dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
     spread = dealt.select("id", F.explode(bands.variants()).alias("variant"))
-    met = spread.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("variant").alias("v"))
-    met = small(stash(met, "met-variants"), BROADCAST_ROWS)
-    left = rows = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
-    edges = fps.select(F.col("id").alias("a"), F.col("id").alias("b")).where("1 = 0")
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        lead = left.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
-        pairs = left.join(lead, F.col("variant") == F.col("v")).where("id <> a").select("variant", "a", F.col("id").alias("b"))
-        pairs = stash(pairs, "met-pairs")
-        sides = pairs.select("a", "b").distinct().join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-        linked = stash(verify(sides.where(_distance("fa", "fb", words) <= limit).select("a", "b")), "similar-pairs")
-        edges = edges.unionByName(linked)
-        left = stash(pairs.join(linked.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti").select(F.col("b").alias("id"), "variant"), "met-rows")
-    return edges.unionByName(stash(verify(_cross_links(rows, fps, edges, limit, words)), "cross-pairs"))
+    # A fingerprint has each of its variants once, so a variant counted twice has two fingerprints.
+    met = spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("variant").alias("v"))
+    met = small(stash(met, "met-variants"), MET_ROWS)
+    rows = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
+    lead = rows.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
+    pairs = rows.join(lead, F.col("variant") == F.col("v")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    edges = _linked(sides.select("a", "b", _distance("fa", "fb", words).alias("d")).where(F.col("d") <= limit), verify)
+    return edges.unionByName(_linked(_cross_links(rows, fps, edges, limit, words), verify))
+
+
+def _linked(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect what all verified pairs (a, b, d) would: each b is tried with its nearest a first, and further pairs
+    only where that leaves the two in different groups. In a family of near copies that is one pair a member."""
+    pairs = stash(pairs, "near-pairs")
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("_x")).select("_x.a", "b")
+    first = stash(verify(nearest), "similar-pairs")
+    groups = small(stash(components(first), "pair-groups"), BROADCAST_ROWS)
+    tied = pairs.join(groups.select(F.col("node").alias("n1"), F.col("root").alias("r1")), F.col("a") == F.col("n1"), "left")
+    tied = tied.join(groups.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("b") == F.col("n2"), "left")
+    open_pairs = tied.where(F.coalesce("r1", "a") != F.coalesce("r2", "b")).select("a", "b").join(nearest.select(F.col("a").alias("a3"), F.col("b").alias("b3")), (F.col("a") == F.col("a3")) & (F.col("b") == F.col("b3")), "left_anti")
+    return first.unionByName(stash(verify(open_pairs), "similar-pairs"))
 
 
 def _same_shingles(docs: DataFrame, firsts: DataFrame, size: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
@@ -310,8 +315,7 @@ def _same_shingles(docs: DataFrame, firsts: DataFrame, size: int, similarity: fl
         asked = stash(asked.join(firsts, F.col("k") == F.col("id")).select("id", "n", F.col("doc_id").alias("_id"), F.col("mark").alias("_m")), "asked-texts")
         texts = docs.join(small(asked, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")))
         # A text that stands in several equal rows is hashed as often, and taken once.
-        sets = shingle_sets(texts, size).dropDuplicates(["id"]).join(asked.select(F.col("id").alias("i"), "n"), F.col("id") == F.col("i")).drop("i")
-        sets = stash(sets, "shingle-sets")
+        sets = stash(shingle_sets(texts, size).dropDuplicates(["id"]), "shingle-sets")
         first = join_counted(pairs, sets.select(F.col("id").alias("ia"), F.col("shingles").alias("sa"), "n"), {"a": "ia"}, "n", pairs.count())
         both = first.join(sets.select(F.col("id").alias("ib"), F.col("shingles").alias("sb")), F.col("b") == F.col("ib"))
         common = F.size(F.array_intersect("sa", "sb"))
