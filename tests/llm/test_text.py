@@ -251,6 +251,56 @@ def test_rare_words_are_joined(spark, docs, monkeypatch):
         assert abs(single[k]["score"] - known[k]["score"]) < 1e-6
 
 
+@pytest.mark.parametrize("known", [1 << 17, 60])
+def test_scores_by_a_plain_version(spark, small, monkeypatch, known):
+    """Token by token from the model's tables, with all words known to the workers or most of them joined."""
+    import math
+
+    monkeypatch.setattr(brown, "KNOWN", known)
+    monkeypatch.setattr(brown, "WORDS", 40)
+    monkeypatch.setattr(brown, "LEAST", 3)
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 80").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, "never seenx seenx before"), (901, ""), (902, None), (903, "xyzzy " * 40)], docs.schema))
+    model, counts, chosen = brown.train(docs.where("doc_id < 60"))
+    v, n = model.vocabulary, {r["word"].encode(): r["n"] for r in counts.collect()}
+    own = {w: int(model.classes[i]) for i, w in enumerate(v.words[: v.n_single])} | {r["word"].encode(): r["class"] for r in chosen.collect()}
+    assert set(own) == {w for w, k in n.items() if k >= 3} and (len(v.words) < len(own)) == (known == 60)
+    end = v.n_single + brown.ENDINGS
+
+    def score(text):
+        total, last = 0.0, brown.CLASSES - 1
+        for w in [*brown.tokens(text), None]:
+            e = None if w is None else brown.ending(w)
+            c = brown.CLASSES - 1 if w is None else own.get(w, int(model.classes[v.n_single + e]))
+            total += model.step[last, c]
+            if w is None:
+                total += model.emit[end]
+            elif w in own:
+                total += math.log10((n[w] + 0.5) / model.in_class[c])
+            else:
+                unseen = 10 ** model.unseen[e]
+                total += model.emit[v.n_single + e] + (math.log10(n[w] * (1 - unseen) / v.ending_tokens[e]) if w in n else model.unseen[e])
+            last = c
+        return total
+
+    got = brown._scored(docs.withColumn("held_out", F.lit(False)), model, counts, chosen).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r["score"], score(texts[r["doc_id"]]), rel_tol=1e-9)
+
+
+def test_words_choose_classes_by_neighbours(spark, monkeypatch):
+    """Words of unlike endings that stand in the same places choose the same class; words of one ending in unlike places don't."""
+    monkeypatch.setattr(brown, "WORDS", 8)
+    monkeypatch.setattr(brown, "LEAST", 5)
+    r = np.random.default_rng(3)
+    first, second = [f"{c}alpha" if i % 2 else f"{c}beta" for i, c in enumerate("bcdfghjklm")], [f"{c}beta" if i % 2 else f"{c}alpha" for i, c in enumerate("npqrstvwxz")]
+    rows = [(i, " ".join(f"{'the' if k % 2 else 'a'} {r.choice(first)} {'of' if k % 3 else 'in'} {'is' if k % 2 else 'was'} {r.choice(second)} {'now' if k % 3 else 'then'}" for k in range(40))) for i in range(60)]
+    chosen = {x["word"]: x["class"] for x in brown.train(spark.createDataFrame(rows, "doc_id long, text string"))[2].collect()}
+    assert not {chosen[w] for w in first} & {chosen[w] for w in second}
+
+
 def test_probabilities_sum_to_one():
     v = brown.Vocabulary([b"a", b"b"], np.array([5, 1]), 9, 4, 2, np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0), np.where(np.arange(brown.ENDINGS) == 3, 1.0, 0.0), 2)
     classes = np.arange(v.units) % (brown.CLASSES - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import crc_of_id, stash
 from tidemark.llm.simhash import LOWER
 
-#: Words that are clustered one by one: the most frequent ones. All others are clustered by groups of equal endings.
+#: Words counted so often or more in training each have a class of their own choice, by their neighbours, however many they are. Rarer
+#: ones share the classes of groups of equal endings.
+LEAST = 10
+#: The most frequent words, whose exchange makes the classes that all others then choose from.
 WORDS = 2048
 ENDINGS = 512
+#: Words of one group in which a class is chosen for one after the other.
+GROUP = 4000
+#: Bits of a filter that tells which unknown words may have a class of their own.
+FILTER = 1 << 24
 #: Classes; the last one holds the end of the text alone.
 CLASSES = 64
 SWEEPS = 8
@@ -62,7 +69,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What bounded tables know: the most frequent words, the endings, and totals over the whole corpus."""
+    """What bounded tables know: the most frequent words, the endings, and totals over the whole corpus.
+
+    ending_tokens and ending_once count the words that have no class of their own.
+    """
 
     words: list[bytes]
     counts: np.ndarray
@@ -71,10 +81,12 @@ class Vocabulary:
     n_ends: int
     ending_tokens: np.ndarray
     ending_once: np.ndarray
-    #: So many of the words are clustered singly.
+    #: So many of the words, the first, have classes of their own.
     n_single: int
     #: Words counted at least so often are known.
     cut: int = 1
+    #: Marks the words counted LEAST times or more that aren't known, and some others.
+    filter: np.ndarray = field(default_factory=lambda: np.zeros(FILTER // 64, np.uint64))
 
     @property
     def units(self) -> int:
@@ -98,14 +110,15 @@ def vocabulary(counts: DataFrame, n_ends: int) -> Vocabulary:
         cut = level["least"]
     top = counts.where(F.col("n") >= cut).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words = [w.encode() for w in top["word"]]
-    single = words[:WORDS]
-    of = counts.withColumn("e", F.crc32(F.substring(F.encode("word", "UTF-8"), -3, 3)) % ENDINGS).groupBy("e").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
+    of = counts.where(F.col("n") < LEAST).withColumn("e", F.crc32(F.substring(F.encode("word", "UTF-8"), -3, 3)) % ENDINGS).groupBy("e").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     held, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
     held[of["e"].to_numpy(int)], once[of["e"].to_numpy(int)] = of["n"], of["once"]
-    for w, n in zip(single, top["n"][:WORDS], strict=True):
-        held[ending(w)] -= n
-        once[ending(w)] -= n == 1
-    return Vocabulary(words, top["n"].to_numpy(np.int64), int(total[1]) + n_ends, int(total[0]) + (n_ends > 0), n_ends, held, once, len(single), cut)
+    place = (F.crc32(F.encode("word", "UTF-8")) % FILTER).alias("h")
+    marks = counts.where((F.col("n") >= LEAST) & (F.col("n") < cut)).select(place).groupBy(F.floor(F.col("h") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER // 64, np.uint64)
+    bits[marks["at"].to_numpy(int)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+    n = top["n"].to_numpy(np.int64)
+    return Vocabulary(words, n, int(total[1]) + n_ends, int(total[0]) + (n_ends > 0), n_ends, held, once, int((n >= LEAST).sum()), cut, bits)
 
 
 class Reader:
@@ -116,6 +129,12 @@ class Reader:
         self.end = v.units - 1
         self.unit = np.array([i if i < v.n_single else v.n_single + ending(w) for i, w in enumerate(v.words)] or [0], np.int64)
         self.first_ending = v.n_single
+        self.filter = v.filter.view(np.uint8)
+
+    def own_class(self, word: bytes) -> bool:
+        """Whether an unknown word may have a class of its own."""
+        h = zlib.crc32(word) % FILTER
+        return bool(self.filter[h >> 3] >> (h & 7) & 1)
 
     def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
         """Words per text; then over all tokens, an end after each text: index and unit; and the length of each text with its end."""
@@ -138,6 +157,14 @@ class Reader:
         return split, index, unit, np.array([len(w) + 1 for w in split])
 
 
+def rare_words(split: list[list[bytes]], index: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Places of the unknown words among all tokens, their texts, and the words."""
+    begin = np.cumsum(sizes) - sizes
+    where = np.flatnonzero(index == -1)
+    text = np.searchsorted(begin, where, "right") - 1
+    return where, text, [split[t][k] for t, k in zip(text.tolist(), (where - begin[text]).tolist(), strict=True)]
+
+
 def by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
     """Slices of a batch's texts of about BATCH bytes: first row and texts."""
     texts, held, first = [], 0, 0
@@ -276,26 +303,98 @@ def cluster(pairs: DataFrame, v: Vocabulary, sweeps: int = SWEEPS, groups: int =
     return classes, transitions(class_counts(pairs, classes), classes)
 
 
+def count_neighbours(docs: DataFrame, v: Vocabulary, coarse: Vocabulary, classes: np.ndarray) -> DataFrame:
+    """word, k, n: how often the words that are to choose a class stand before (k = class) or after (k = CLASSES + class) each class.
+
+    classes are those of the coarse units. Words that aren't known come along if the filter has them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((v, coarse, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, coarse, classes = shared.value
+        reader = Reader(coarse)
+        held: list[np.ndarray] = []
+        middle: Counter[tuple[bytes, int]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+            words = [v.words[i] for i in (codes // (2 * CLASSES)).tolist()] + [w for w, _ in middle]
+            k = np.concatenate((codes % (2 * CLASSES), np.array([k for _, k in middle], np.int64)))
+            n = np.concatenate((n, np.array(list(middle.values()), np.int64)))
+            held.clear()
+            middle.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], ["word", "k", "n"])
+
+        for batch in batches:
+            for _, texts in by_size(batch):
+                split, index, unit, sizes = reader.read(texts)
+                cls = classes[unit]
+                before, after = np.concatenate(([CLASSES - 1], cls[:-1])) + CLASSES, np.concatenate((cls[1:], [CLASSES - 1]))
+                at = np.flatnonzero((index >= coarse.n_single) & (index < v.n_single))
+                held += [index[at] * (2 * CLASSES) + k[at] for k in (before, after)]
+                where, _, words = rare_words(split, index, sizes)
+                for t, w in zip(where.tolist(), words, strict=True):
+                    if reader.own_class(w):
+                        middle[w, int(before[t])] += 1
+                        middle[w, int(after[t])] += 1
+                if sum(map(len, held)) > PENDING or len(middle) > 400_000:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "word string, k int, n bigint").groupBy("word", "k").agg(F.sum("n").alias("n"))
+
+
+def choose_classes(cells: DataFrame, n_words: int, classes: np.ndarray, first_ending: int, f: np.ndarray) -> DataFrame:
+    """word, old, class: each word of cells (word, k, n) is moved from the class of its ending to that of the highest likelihood, by the
+    exchange of its group of about GROUP words, dealt by a hash of the word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, row = np.unique(np.array(table.column("word").to_pylist(), object), return_inverse=True)
+        counts = np.zeros((len(words), 2 * CLASSES))
+        counts[row, table.column("k").to_numpy()] = table.column("n").to_numpy()
+        old = classes[[first_ending + ending(w.encode()) for w in words]]
+        moved = exchange(np.arange(len(words)), counts[:, :CLASSES], counts[:, CLASSES:], np.zeros(len(words)), old, f)
+        return pa.table({"word": pa.array(words.tolist(), pa.string()), "old": pa.array(old.astype(np.int32)), "class": pa.array(moved.astype(np.int32))})
+
+    groups = max(1, -(-n_words // GROUP))
+    dealt = cells.withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(run, "word string, old int, class int")
+
+
+def moved_pairs(cells: DataFrame, chosen: DataFrame, f: np.ndarray) -> np.ndarray:
+    """Class bigram counts after the words' moves, from at most 2 * CLASSES ** 2 sums. A pair of two moved words goes half each way."""
+    both = cells.join(chosen.withColumnRenamed("word", "w"), F.col("word") == F.col("w"))
+    parts = both.select("k", F.explode(F.array(F.struct(F.col("old").alias("c"), (-F.col("n")).alias("n")), F.struct(F.col("class").alias("c"), F.col("n").alias("n")))).alias("x"))
+    out = f.copy()
+    for r in parts.groupBy("k", "x.c").agg(F.sum("x.n").alias("n")).collect():
+        at = (r["c"], r["k"]) if r["k"] < CLASSES else (r["k"] - CLASSES, r["c"])
+        out[at] += r["n"]
+    return np.maximum(out, 0)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
+    #: Of the words with classes of their own, then of the endings, then of the end of the text.
     classes: np.ndarray
     #: log10 of P(class | class before), P(unit | class), P(word | its ending) and P(no known word | ending)
     step: np.ndarray
     emit: np.ndarray
     within: np.ndarray
     unseen: np.ndarray
+    #: Counts by class, each unit with half a count more.
+    in_class: np.ndarray
 
 
-def probabilities(v: Vocabulary, classes: np.ndarray, f: np.ndarray) -> Model:
+def probabilities(v: Vocabulary, classes: np.ndarray, f: np.ndarray, more: np.ndarray | float = 0.0) -> Model:
     """Smoothed so that each distribution sums to one.
 
     Transitions are mixed with the class frequencies (Witten-Bell); units get half a count more; words that weren't seen share what the
-    words seen once leave to them (Good-Turing) within their ending.
+    words seen once leave to them (Good-Turing) within their ending. more is what words that aren't known add to the classes.
     """
     single = v.n_single
     held = np.concatenate((v.counts[:single], v.ending_tokens, [v.n_ends])) + 0.5
-    in_class = np.bincount(classes, weights=held, minlength=CLASSES)
+    in_class = np.bincount(classes, weights=held, minlength=CLASSES) + more
     share = in_class / in_class.sum()
     rows, kinds = f.sum(1, keepdims=True), np.maximum((f > 0).sum(1, keepdims=True), 1)
     step = (f + kinds * share[None, :]) / (rows + kinds)
@@ -304,7 +403,34 @@ def probabilities(v: Vocabulary, classes: np.ndarray, f: np.ndarray) -> Model:
     at = np.array([ending(w) for w in v.words[single:]], np.int64)
     within = np.concatenate((np.zeros(single), np.log10(v.counts[single:] * (1 - unseen[at]) / np.maximum(v.ending_tokens[at], 1))))
     with np.errstate(divide="ignore"):
-        return Model(v, classes, np.log10(step), np.log10(held / in_class[classes]), within, np.log10(unseen))
+        return Model(v, classes, np.log10(step), np.log10(held / in_class[classes]), within, np.log10(unseen), in_class)
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all texts, the counts of all words (word, n), and the classes that words chose (word, n, class).
+
+    First the exchange of the most frequent words, and of all others by their endings, makes the classes. Then every further word counted
+    LEAST times or more chooses its class by its own neighbours. The classes of at most KNOWN words come to the driver.
+    """
+    counts = stash(count_words(docs), "word-counts")
+    v = vocabulary(counts, docs.count())
+    coarse = replace(v, n_single=min(WORDS, v.n_single))
+    pairs = stash(count_pairs(docs, coarse), "unit-pairs")
+    classes, f = cluster(pairs, coarse)
+    often = counts.where(F.col("n") >= LEAST).withColumnsRenamed({"word": "w", "n": "m"})
+    cells = count_neighbours(docs, v, coarse, classes).join(often, F.col("word") == F.col("w"), "left_semi")
+    cells = stash(cells, "word-neighbours")
+    chosen = stash(choose_classes(cells, often.count(), classes, coarse.n_single, f), "word-classes")
+    f = moved_pairs(cells, chosen, f)
+    chosen = stash(chosen.join(often, F.col("word") == F.col("w")).select("word", F.col("m").alias("n"), "class"), "counted-classes")
+    at = {w: i for i, w in enumerate(v.words)}
+    final = np.concatenate((classes[: coarse.n_single], np.zeros(v.n_single - coarse.n_single, np.int64), classes[coarse.n_single :]))
+    for r in chosen.where(F.col("n") >= v.cut).select("word", "class").toLocalIterator():
+        final[at[r["word"].encode()]] = r["class"]
+    more = np.zeros(CLASSES)
+    for r in chosen.where(F.col("n") < v.cut).groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("n")).collect():
+        more[r["class"]] = r["n"]
+    return probabilities(v, final, f, more), counts, chosen
 
 
 def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame:
@@ -312,20 +438,20 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
 
     Learns from the rows whose crc32 of the id, mod 7, isn't 2 (null ids included). Words are lower-cased (A-Z), each text ends with an
     end token; null text has only that. base_score is the add-one unigram log10 probability. score is that of a class bigram model: the
-    class of a token depends on the class before, the word on its class. Words counted by all training rows; the WORDS most frequent are
-    clustered singly, the others by their endings, so that every word has a class. Counts of the KNOWN most frequent words are with
-    every worker (a bounded table); those of rarer words are joined to the documents' rare words.
+    class of a token depends on the class before, the word on its class. Words are counted over all training rows; those counted LEAST
+    times or more each have a class of their own, however many they are, the others that of their ending, so that every word has a
+    class. Counts and classes of the KNOWN most frequent words are with every worker (a bounded table, which changes no result); those
+    of rarer words are joined to the documents' rare words.
 
     Without training rows all words are unknown and the probabilities of classes even. Repeated rows are scored each. Extra columns are
     left out.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(crc_of_id(F.col("doc_id")) % folds == fold, F.lit(False)).alias("held_out"))
-    train = docs.where("not held_out")
-    counts = stash(count_words(train), "word-counts")
-    v = vocabulary(counts, train.count())
-    pairs = stash(count_pairs(train, v), "unit-pairs")
-    model = probabilities(v, *cluster(pairs, v))
+    return _scored(docs, *train(docs.where("not held_out")))
+
+
+def _scored(docs: DataFrame, model: Model, counts: DataFrame, chosen: DataFrame) -> DataFrame:
+    spark, v = docs.sparkSession, model.vocabulary
     shared = spark.sparkContext.broadcast(model)
     norm = v.n_tokens + v.n_types + 1
 
@@ -341,9 +467,15 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
                 begin = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, begin)  # noqa: B023, E731
                 cls = m.classes[unit]
-                seen, end, rare = index >= 0, index == -2, index == -1
+                seen, end = index >= 0, index == -2
+                where, text, words = rare_words(split, index, sizes)
+                # Words that may have a class of their own: what depends on it is left to the join.
+                middle = np.zeros(len(index), bool)
+                middle[where] = np.fromiter(map(reader.own_class, words), bool, len(words))
+                after_middle = np.concatenate(([False], middle[:-1]))
                 tail = seen & (index >= single)
-                gained = m.step[np.concatenate(([CLASSES - 1], cls[:-1])), cls] + m.emit[unit]
+                before = np.concatenate(([CLASSES - 1], cls[:-1]))
+                gained = np.where(middle | after_middle, 0.0, m.step[before, cls]) + np.where(middle, 0.0, m.emit[unit])
                 gained[tail] += m.within[index[tail]]
                 simple = np.where(seen, base[np.maximum(index, 0)], np.where(end, base[-2], 0.0))
                 n, rows = len(texts), row + np.arange(len(texts))
@@ -351,33 +483,56 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
                 known = total(seen.astype(np.int64)) + known_end
                 ids, out = batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n)
                 none = lambda kind, k=n: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, out, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(total(simple)), pa.array(total(gained)), none(pa.string()), none(pa.int64()), none(pa.int32())], NAMES)
-                where = np.flatnonzero(rare)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rows), ids, out, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(total(simple)), pa.array(total(gained)),
+                    none(pa.string()), none(pa.int64()), none(pa.int32()), none(pa.string()), none(pa.int32()), none(pa.int32()),
+                ], NAMES)
                 if len(where):
-                    text = np.searchsorted(begin, where, "right") - 1
-                    inner = where - begin[text]
-                    times = Counter(zip(text.tolist(), [split[t][k] for t, k in zip(text.tolist(), inner.tolist(), strict=True)], strict=True))
-                    of, words = [t for t, _ in times], [w for _, w in times]
-                    k = len(words)
+                    of_place = dict(zip(where[middle[where]].tolist(), [w for w, t in zip(words, middle[where].tolist(), strict=True) if t], strict=True))
+                    times: Counter[tuple] = Counter()
+                    for t, doc, w in zip(where.tolist(), text.tolist(), words, strict=True):
+                        if t in of_place:  # the class before, or the word that it is joined by; the class after, unless that is left to its word
+                            times[doc, w, of_place.get(t - 1), int(before[t]), None if t + 1 in of_place else int(cls[t + 1])] += 1
+                        else:
+                            times[doc, w, None, None, None] += 1
+                    of, found, lefts, before_it, after_it = zip(*times, strict=True)
+                    k = len(found)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(rows[of]), pa.nulls(k, ids.type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                        pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([ending(w) for w in words], pa.int32()),
+                        pa.array(rows[list(of)]), pa.nulls(k, ids.type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())),
+                        pa.array(found, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([ending(w) for w in found], pa.int32()),
+                        pa.array(lefts, pa.binary()).cast(pa.string()), pa.array(before_it, pa.int32()), pa.array(after_it, pa.int32()),
                     ], NAMES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word string, times bigint, e int")
+    rows = docs.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word string, times bigint, e int, left_word string, before int, after int")
     rows = stash(rows, "token-scores")
 
-    ends = spark.createDataFrame([(i, float(np.log10((1 - 10**u) / max(n, 1))) if u < 0 else 0.0, float(u)) for i, (u, n) in enumerate(zip(model.unseen, v.ending_tokens, strict=True))], "e2 int, seen_part double, unseen_part double")
-    rare = rows.where("word is not null").select("row", "word", "times", "e")
-    rare_counts = counts.where(F.col("n") < v.cut).select(F.col("word").alias("w"), "n")
+    # Tables of ENDINGS, CLASSES ** 2 and CLASSES rows.
+    ends = spark.createDataFrame([
+        (i, float(np.log10((1 - 10**u) / max(n, 1))) if u < 0 else 0.0, float(u), int(model.classes[v.n_single + i]), float(model.emit[v.n_single + i]))
+        for i, (u, n) in enumerate(zip(model.unseen, v.ending_tokens, strict=True))
+    ], "e2 int, seen_part double, unseen_part double, e_class int, e_emit double")
+    steps = spark.createDataFrame([(i * CLASSES + j, float(model.step[i, j])) for i in range(CLASSES) for j in range(CLASSES)], "pair int, step double")
+    sizes = spark.createDataFrame([(i, float(n)) for i, n in enumerate(model.in_class)], "c int, held double")
+    own = chosen.where(F.col("n") < v.cut).join(F.broadcast(sizes), F.col("class") == F.col("c")).select("word", "class", F.log10((F.col("n") + 0.5) / F.col("held")).alias("own_emit"))
+    rare_counts = counts.where(F.col("n") < v.cut).select(F.col("word").alias("w"), "n").join(own.withColumnRenamed("word", "w4"), F.col("w") == F.col("w4"), "left").drop("w4")
+    rare = rows.where("word is not null").select("row", "word", "times", "e", "left_word", "before", "after")
+    # A word before that has a class of its own; the class of its ending is there already.
+    alone = rare.where("left_word is null").drop("left_word")
+    after_own = rare.where("left_word is not null").join(own.select(F.col("word").alias("w5"), F.col("class").alias("c5")), F.col("left_word") == F.col("w5"), "left")
+    rare = alone.unionByName(after_own.withColumn("before", F.coalesce("c5", "before")).drop("left_word", "w5", "c5"))
     joined = rare.join(rare_counts, F.col("word") == F.col("w"), "left").join(F.broadcast(ends), F.col("e") == F.col("e2"))
     n = F.coalesce("n", F.lit(0))
+    cls = F.coalesce("class", "e_class")
+    for name, pair in (("in", F.col("before") * CLASSES + cls), ("on", cls * CLASSES + F.col("after"))):
+        joined = joined.join(F.broadcast(steps.select(F.col("pair").alias(f"{name}_pair"), F.col("step").alias(name))), pair == F.col(f"{name}_pair"), "left")
+    zero = F.lit(0.0)
+    of_ending = F.when(n > 0, F.log10(n) + F.col("seen_part")).otherwise(F.col("unseen_part"))
+    # Without a class before the word wasn't left to the join: only its part of the ending is missing.
+    gained = F.when(F.col("before").isNull(), of_ending).otherwise(F.coalesce("own_emit", F.col("e_emit") + of_ending) + F.coalesce("in", zero) + F.coalesce("on", zero))
     extra = joined.groupBy(F.col("row").alias("r")).agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(n + 1)).alias("b"), F.sum("times").alias("t"),
-        F.sum(F.col("times") * F.when(n > 0, F.log10(n) + F.col("seen_part")).otherwise(F.col("unseen_part"))).alias("s"),
+        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(n + 1)).alias("b"), F.sum("times").alias("t"), F.sum(F.col("times") * gained).alias("s"),
     )
-    zero = F.lit(0.0)
     final = rows.where("word is null").join(extra, F.col("row") == F.col("r"), "left")
     base = F.col("base") + F.coalesce("b", zero) - F.coalesce("t", F.lit(0)) * F.log10(F.lit(float(norm)))
     return final.select(
@@ -386,4 +541,4 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
     )
 
 
-NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "times", "e"]
+NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "times", "e", "left_word", "before", "after"]
