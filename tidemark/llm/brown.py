@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ STEPS = 16
 #: Bytes of text, or tokens, that are worked on at once.
 BATCH = 1 << 20
 PENDING = 2_000_000
+#: Classes before and after.
+WIDTH = 2 * CLASSES
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -131,13 +134,12 @@ class Reader:
         self.first_ending = v.n_single
         self.filter = v.filter.view(np.uint8)
 
-    def own_class(self, word: bytes) -> bool:
-        """Whether an unknown word may have a class of its own."""
-        h = zlib.crc32(word) % FILTER
-        return bool(self.filter[h >> 3] >> (h & 7) & 1)
+    def own_class(self, words: list[bytes]) -> np.ndarray:
+        """Which unknown words may have a class of their own."""
+        h = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % FILTER
+        return (self.filter[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
-    def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-        """Words per text; then over all tokens, an end after each text: index and unit; and the length of each text with its end."""
+    def read(self, texts: list[str | None]) -> Tokens:
         split = [tokens(t) for t in texts]
         get = self.at.get
         flat: list[int] = []
@@ -147,22 +149,26 @@ class Reader:
         index = np.array(flat, np.int64)
         unit = self.unit[np.maximum(index, 0)]
         unit[index == -2] = self.end
-        rare = np.flatnonzero(index == -1)
-        if len(rare):
-            sizes = np.array([len(w) + 1 for w in split])
-            begin = np.cumsum(sizes) - sizes
-            text = np.searchsorted(begin, rare, "right") - 1
-            inner = (rare - begin[text]).tolist()
-            unit[rare] = [self.first_ending + ending(split[t][k]) for t, k in zip(text.tolist(), inner, strict=True)]
-        return split, index, unit, np.array([len(w) + 1 for w in split])
+        sizes = np.array([len(w) + 1 for w in split])
+        begin = np.cumsum(sizes) - sizes
+        where = np.flatnonzero(index == -1)
+        text = np.searchsorted(begin, where, "right") - 1
+        rare = [split[t][k] for t, k in zip(text.tolist(), (where - begin[text]).tolist(), strict=True)]
+        unit[where] = self.first_ending + np.fromiter(map(zlib.crc32, [w[-3:] for w in rare]), np.int64, len(rare)) % ENDINGS
+        return Tokens(index, unit, sizes, where, text, rare)
 
 
-def rare_words(split: list[list[bytes]], index: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Places of the unknown words among all tokens, their texts, and the words."""
-    begin = np.cumsum(sizes) - sizes
-    where = np.flatnonzero(index == -1)
-    text = np.searchsorted(begin, where, "right") - 1
-    return where, text, [split[t][k] for t, k in zip(text.tolist(), (where - begin[text]).tolist(), strict=True)]
+@dataclass(frozen=True)
+class Tokens:
+    """All tokens of some texts, an end after each text: index among known words (-1: none, -2: an end) and unit of each; the length of
+    each text with its end; and the unknown words, with their places among all tokens and their texts."""
+
+    index: np.ndarray
+    unit: np.ndarray
+    sizes: np.ndarray
+    where: np.ndarray
+    text: np.ndarray
+    rare: list[bytes]
 
 
 def by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
@@ -192,7 +198,7 @@ def count_pairs(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
         for batch in batches:
             for _, texts in by_size(batch):
-                unit = reader.read(texts)[2]
+                unit = reader.read(texts).unit
                 held.append(np.concatenate(([reader.end], unit[:-1])) * units + unit)
                 if sum(map(len, held)) > PENDING:
                     yield flush()
@@ -303,71 +309,112 @@ def cluster(pairs: DataFrame, v: Vocabulary, sweeps: int = SWEEPS, groups: int =
     return classes, transitions(class_counts(pairs, classes), classes)
 
 
+def _rows_of(names: list, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row a word, of sorted codes (number of the word times WIDTH, plus class) and their counts: word, cells (count times WIDTH, plus
+    class)."""
+    word = codes // WIDTH
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    cells = pa.ListArray.from_arrays(np.append(starts, len(codes)).astype(np.int32), pa.array(n * WIDTH + codes % WIDTH))
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in word[starts].tolist()], pa.binary()).cast(pa.string()), cells], ["word", "cells"])
+
+
 def count_neighbours(docs: DataFrame, v: Vocabulary, coarse: Vocabulary, classes: np.ndarray) -> DataFrame:
-    """word, k, n: how often the words that are to choose a class stand before (k = class) or after (k = CLASSES + class) each class.
+    """word, cells: how often the words that are to choose a class stand before (class) or after (CLASSES + class) each class.
 
-    classes are those of the coarse units. Words that aren't known come along if the filter has them.
+    classes are those of the coarse units. Words that aren't known come along if the filter has them. A word's counts are summed within
+    tasks, dealt by word, and summed as they pass by in order, so that no more than a batch is held.
     """
     shared = docs.sparkSession.sparkContext.broadcast((v, coarse, classes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, coarse, classes = shared.value
         reader = Reader(coarse)
         held: list[np.ndarray] = []
-        middle: Counter[tuple[bytes, int]] = Counter()
+        names, more = list(v.words), {}
 
         def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-            words = [v.words[i] for i in (codes // (2 * CLASSES)).tolist()] + [w for w, _ in middle]
-            k = np.concatenate((codes % (2 * CLASSES), np.array([k for _, k in middle], np.int64)))
-            n = np.concatenate((n, np.array(list(middle.values()), np.int64)))
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            out = _rows_of(names, codes, n)
             held.clear()
-            middle.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], ["word", "k", "n"])
+            more.clear()
+            del names[len(v.words) :]
+            return out
 
         for batch in batches:
             for _, texts in by_size(batch):
-                split, index, unit, sizes = reader.read(texts)
-                cls = classes[unit]
+                t = reader.read(texts)
+                cls = classes[t.unit]
                 before, after = np.concatenate(([CLASSES - 1], cls[:-1])) + CLASSES, np.concatenate((cls[1:], [CLASSES - 1]))
-                at = np.flatnonzero((index >= coarse.n_single) & (index < v.n_single))
-                held += [index[at] * (2 * CLASSES) + k[at] for k in (before, after)]
-                where, _, words = rare_words(split, index, sizes)
-                for t, w in zip(where.tolist(), words, strict=True):
-                    if reader.own_class(w):
-                        middle[w, int(before[t])] += 1
-                        middle[w, int(after[t])] += 1
-                if sum(map(len, held)) > PENDING or len(middle) > 400_000:
+                index = t.index.copy()
+                own = reader.own_class(t.rare)
+                for i, w in zip(t.where[own].tolist(), [w for w, o in zip(t.rare, own.tolist(), strict=True) if o], strict=True):
+                    if w not in more:
+                        more[w] = len(names)
+                        names.append(w)
+                    index[i] = more[w]
+                at = np.flatnonzero((index >= coarse.n_single) & ((index < v.n_single) | (index >= len(v.words))))
+                held += [index[at] * WIDTH + k[at] for k in (before, after)]
+                if sum(map(len, held)) > 2 * PENDING:
                     yield flush()
-        yield flush()
+        if held:
+            yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, k int, n bigint").groupBy("word", "k").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the last word may go on in the next batch
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            words = pc.dictionary_encode(both.column("word"))  # numbered as they come, that is in order
+            row = np.repeat(words.indices.to_numpy(), np.diff(both.column("cells").offsets.to_numpy()))
+            values = both.column("cells").flatten().to_numpy()
+            codes, at = np.unique(row.astype(np.int64) * WIDTH + values % WIDTH, return_inverse=True)
+            n = np.bincount(at, weights=values // WIDTH, minlength=len(codes)).astype(np.int64)
+            done = _rows_of([w.encode() for w in words.dictionary.to_pylist()], codes, n)
+            last = done.slice(done.num_rows - 1)
+            if done.num_rows > 1:
+                yield done.slice(0, done.num_rows - 1)
+        if last is not None:
+            yield last
+
+    kind = "word string, cells array<bigint>"
+    return docs.select("text").mapInArrow(count, kind).repartition("word").sortWithinPartitions("word").mapInArrow(add, kind)
 
 
 def choose_classes(cells: DataFrame, n_words: int, classes: np.ndarray, first_ending: int, f: np.ndarray) -> DataFrame:
-    """word, old, class: each word of cells (word, k, n) is moved from the class of its ending to that of the highest likelihood, by the
-    exchange of its group of about GROUP words, dealt by a hash of the word."""
+    """word, n, class: each word of cells (word, n, cells) is moved from the class of its ending to that of the highest likelihood, by the
+    exchange of its group of about GROUP words, dealt by a hash of the word.
+
+    Rows without a word tell how a group's moves change the class bigrams: n is added at class and k (as in cells).
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        words, row = np.unique(np.array(table.column("word").to_pylist(), object), return_inverse=True)
-        counts = np.zeros((len(words), 2 * CLASSES))
-        counts[row, table.column("k").to_numpy()] = table.column("n").to_numpy()
+        table = table.sort_by("word").combine_chunks()
+        words, lists = table.column("word").to_pylist(), table.column("cells").combine_chunks()
+        values = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
+        counts = np.bincount(row * WIDTH + values % WIDTH, weights=values // WIDTH, minlength=len(words) * WIDTH).reshape(-1, WIDTH)
         old = classes[[first_ending + ending(w.encode()) for w in words]]
         moved = exchange(np.arange(len(words)), counts[:, :CLASSES], counts[:, CLASSES:], np.zeros(len(words)), old, f)
-        return pa.table({"word": pa.array(words.tolist(), pa.string()), "old": pa.array(old.astype(np.int32)), "class": pa.array(moved.astype(np.int32))})
+        change = np.zeros((CLASSES, WIDTH))
+        np.add.at(change, moved, counts)
+        np.subtract.at(change, old, counts)
+        c, k = np.nonzero(change)
+        return pa.table({
+            "word": pa.array(words + [None] * len(c), pa.string()), "n": pa.array(np.concatenate((table.column("n").to_numpy(), change[c, k].astype(np.int64)))),
+            "class": pa.array(np.concatenate((moved, c)).astype(np.int32)), "k": pa.array(np.concatenate((np.full(len(words), -1), k)).astype(np.int32)),
+        })
 
     groups = max(1, -(-n_words // GROUP))
     dealt = cells.withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(run, "word string, old int, class int")
+    return dealt.groupBy("g").applyInArrow(run, "word string, n bigint, class int, k int")
 
 
-def moved_pairs(cells: DataFrame, chosen: DataFrame, f: np.ndarray) -> np.ndarray:
+def moved_pairs(changes: DataFrame, f: np.ndarray) -> np.ndarray:
     """Class bigram counts after the words' moves, from at most 2 * CLASSES ** 2 sums. A pair of two moved words goes half each way."""
-    both = cells.join(chosen.withColumnRenamed("word", "w"), F.col("word") == F.col("w"))
-    parts = both.select("k", F.explode(F.array(F.struct(F.col("old").alias("c"), (-F.col("n")).alias("n")), F.struct(F.col("class").alias("c"), F.col("n").alias("n")))).alias("x"))
     out = f.copy()
-    for r in parts.groupBy("k", "x.c").agg(F.sum("x.n").alias("n")).collect():
-        at = (r["c"], r["k"]) if r["k"] < CLASSES else (r["k"] - CLASSES, r["c"])
+    for r in changes.groupBy("class", "k").agg(F.sum("n").alias("n")).collect():
+        at = (r["class"], r["k"]) if r["k"] < CLASSES else (r["k"] - CLASSES, r["class"])
         out[at] += r["n"]
     return np.maximum(out, 0)
 
@@ -417,12 +464,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     coarse = replace(v, n_single=min(WORDS, v.n_single))
     pairs = stash(count_pairs(docs, coarse), "unit-pairs")
     classes, f = cluster(pairs, coarse)
-    often = counts.where(F.col("n") >= LEAST).withColumnsRenamed({"word": "w", "n": "m"})
-    cells = count_neighbours(docs, v, coarse, classes).join(often, F.col("word") == F.col("w"), "left_semi")
-    cells = stash(cells, "word-neighbours")
-    chosen = stash(choose_classes(cells, often.count(), classes, coarse.n_single, f), "word-classes")
-    f = moved_pairs(cells, chosen, f)
-    chosen = stash(chosen.join(often, F.col("word") == F.col("w")).select("word", F.col("m").alias("n"), "class"), "counted-classes")
+    often = counts.where(F.col("n") >= LEAST).withColumnRenamed("word", "w")
+    cells = stash(count_neighbours(docs, v, coarse, classes).join(often, F.col("word") == F.col("w")).drop("w"), "word-neighbours")
+    chosen = stash(choose_classes(cells, cells.count(), classes, coarse.n_single, f), "word-classes")
+    f = moved_pairs(chosen.where("word is null"), f)
+    chosen = chosen.where("word is not null").drop("k")
     at = {w: i for i, w in enumerate(v.words)}
     final = np.concatenate((classes[: coarse.n_single], np.zeros(v.n_single - coarse.n_single, np.int64), classes[coarse.n_single :]))
     for r in chosen.where(F.col("n") >= v.cut).select("word", "class").toLocalIterator():
@@ -463,15 +509,16 @@ def _scored(docs: DataFrame, model: Model, counts: DataFrame, chosen: DataFrame)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, texts in by_size(batch):
-                split, index, unit, sizes = reader.read(texts)
+                t = reader.read(texts)
+                index, unit, sizes = t.index, t.unit, t.sizes
                 begin = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, begin)  # noqa: B023, E731
                 cls = m.classes[unit]
                 seen, end = index >= 0, index == -2
-                where, text, words = rare_words(split, index, sizes)
                 # Words that may have a class of their own: what depends on it is left to the join.
+                own = reader.own_class(t.rare)
                 middle = np.zeros(len(index), bool)
-                middle[where] = np.fromiter(map(reader.own_class, words), bool, len(words))
+                middle[t.where] = own
                 after_middle = np.concatenate(([False], middle[:-1]))
                 tail = seen & (index >= single)
                 before = np.concatenate(([CLASSES - 1], cls[:-1]))
@@ -487,14 +534,14 @@ def _scored(docs: DataFrame, model: Model, counts: DataFrame, chosen: DataFrame)
                     pa.array(rows), ids, out, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(total(simple)), pa.array(total(gained)),
                     none(pa.string()), none(pa.int64()), none(pa.int32()), none(pa.string()), none(pa.int32()), none(pa.int32()),
                 ], NAMES)
-                if len(where):
-                    of_place = dict(zip(where[middle[where]].tolist(), [w for w, t in zip(words, middle[where].tolist(), strict=True) if t], strict=True))
+                if len(t.where):
                     times: Counter[tuple] = Counter()
-                    for t, doc, w in zip(where.tolist(), text.tolist(), words, strict=True):
-                        if t in of_place:  # the class before, or the word that it is joined by; the class after, unless that is left to its word
-                            times[doc, w, of_place.get(t - 1), int(before[t]), None if t + 1 in of_place else int(cls[t + 1])] += 1
-                        else:
-                            times[doc, w, None, None, None] += 1
+                    listed = list(zip(t.text.tolist(), t.rare, own.tolist(), t.where.tolist(), strict=True))
+                    times.update([(doc, w, None, None, None) for doc, w, o, _ in listed if not o])
+                    of_place = {place: w for _, w, o, place in listed if o}
+                    for doc, w, o, place in listed:
+                        if o:  # the class before, or the word that it is joined by; the class after, unless that is left to its word
+                            times[doc, w, of_place.get(place - 1), int(before[place]), None if place + 1 in of_place else int(cls[place + 1])] += 1
                     of, found, lefts, before_it, after_it = zip(*times, strict=True)
                     k = len(found)
                     yield pa.RecordBatch.from_arrays([
