@@ -36,7 +36,7 @@ KNOWN = 1 << 17
 STEPS = 16
 #: Bytes of text, or tokens, that are worked on at once.
 BATCH = 1 << 20
-PENDING = 2_000_000
+PENDING = 5_000_000
 #: Classes before and after.
 WIDTH = 2 * CLASSES
 
@@ -354,7 +354,7 @@ def count_neighbours(docs: DataFrame, v: Vocabulary, coarse: Vocabulary, classes
                     index[i] = more[w]
                 at = np.flatnonzero((index >= coarse.n_single) & ((index < v.n_single) | (index >= len(v.words))))
                 held += [index[at] * WIDTH + k[at] for k in (before, after)]
-                if sum(map(len, held)) > 2 * PENDING:
+                if sum(map(len, held)) > PENDING:
                     yield flush()
         if held:
             yield flush()
@@ -534,16 +534,17 @@ def _scored(docs: DataFrame, model: Model, counts: DataFrame, chosen: DataFrame)
                     pa.array(rows), ids, out, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(total(simple)), pa.array(total(gained)),
                     none(pa.string()), none(pa.int64()), none(pa.int32()), none(pa.string()), none(pa.int32()), none(pa.int32()),
                 ], NAMES)
-                if len(t.where):
-                    times: Counter[tuple] = Counter()
-                    listed = list(zip(t.text.tolist(), t.rare, own.tolist(), t.where.tolist(), strict=True))
-                    times.update([(doc, w, None, None, None) for doc, w, o, _ in listed if not o])
-                    of_place = {place: w for _, w, o, place in listed if o}
-                    for doc, w, o, place in listed:
-                        if o:  # the class before, or the word that it is joined by; the class after, unless that is left to its word
-                            times[doc, w, of_place.get(place - 1), int(before[place]), None if place + 1 in of_place else int(cls[place + 1])] += 1
-                    of, found, lefts, before_it, after_it = zip(*times, strict=True)
+                docs_of, places = t.text.tolist(), t.where.tolist()
+                some = [Counter([(d, w) for d, w, o in zip(docs_of, t.rare, own.tolist(), strict=True) if not o])]
+                if own.any():  # the class before, or the word that it is joined by; the class after, unless that is left to its word
+                    of_place = {place: w for place, w, o in zip(places, t.rare, own.tolist(), strict=True) if o}
+                    some.append(Counter([
+                        (d, of_place[p], of_place.get(p - 1), int(before[p]), None if p + 1 in of_place else int(cls[p + 1])) for d, p in zip(docs_of, places, strict=True) if p in of_place
+                    ]))
+                for times in filter(None, some):
+                    of, found, *beside = zip(*times, strict=True)
                     k = len(found)
+                    lefts, before_it, after_it = beside or (none(pa.binary(), k), none(pa.int32(), k), none(pa.int32(), k))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(rows[list(of)]), pa.nulls(k, ids.type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())),
                         pa.array(found, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([ending(w) for w in found], pa.int32()),
