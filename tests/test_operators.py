@@ -150,7 +150,45 @@ def test_bridge_line_and_tiles(spark):
     assert grid.tile_starts(50, 32, 16) == [0, 16, 18] and grid.tile_starts(20, 32, 16) == [0] and grid.tile_starts(64, 32, 16) == [0, 16, 32]
     g = grid_of(spark, "..#..", "..#..", ".....", "..#..", "..#..").withColumn("p", F.lit(0.9))
     joined = grid.bridge_gaps(g.where("v = 1"), g.select("image", "y", "x", F.col("p").alias("v")), 4, 1)
-    assert {r["y"] for r in joined.collect()} == {0, 1, 2, 3, 4}
+    assert {r["y"] for r in joined.collect()} == {0, 1, 3, 4}  # a row between has no end, which stops the search
+    # Ends at rows 1 and 9 of the third column, and an end in each row between, further right.
+    lit, p = np.zeros((11, 12), np.uint8), np.full((11, 12), 0.9)
+    lit[[0, 1, 9, 10], 2] = 1
+    for y in range(2, 9):
+        lit[y, 6:8] = 1 if y % 2 == 0 else 0
+        lit[y, 10:12] = 1 if y % 2 else 0
+    assert grid._bridged(lit, p, 18, 0, 0.11, 2000)[:, 2].tolist() == [1] * 11
+    assert grid._bridged(lit, p, 7, 0, 0.11, 2000)[:, 2].sum() == 4  # too far
+    assert grid._bridged(lit, p, 18, 0, 0.95, 2000)[:, 2].sum() == 4  # too unlikely
+    gap = lit.copy()
+    gap[5] = 0  # a row without an end
+    assert grid._bridged(gap, p, 18, 0, 0.11, 2000)[:, 2].sum() == 4
+    short = np.zeros((6, 8), np.uint8)
+    short[[0, 1, 4, 5], 2] = 1
+    short[2:4, 6:8] = [[1, 1], [0, 0]]
+    assert (grid._bridged(short, np.ones((6, 8)), 18, 0, 0.11, 2000) == short).all()  # over a quarter of the line is set
+
+
+def test_shave_and_hysteresis(spark):
+    solid = grid_of(spark, ".....", ".###.", ".###.", ".###.", ".....")
+    prob = solid.withColumn("v", F.when((F.col("y") == 2) & (F.col("x") == 2), 0.05).otherwise(0.9))
+    # A weak pixel among strong ones is a line of one, so it goes.
+    assert shown(grid.shave_weak(solid, prob, 0.1).where("v = 1"), 5, 5) == [".....", ".###.", ".#.#.", ".###.", "....."]
+    assert shown(grid.shave_weak(solid, solid.withColumn("v", F.lit(0.05)), 0.1).where("v = 1"), 5, 5) == [".....", ".###.", ".###.", ".###.", "....."]
+    steps = grid_of(spark, "##.##").withColumn("v", F.when(F.col("x") == 0, 0.2).when(F.col("x") == 3, 0.21).when(F.col("x") == 2, 0.1).otherwise(0.15))
+    assert {r["x"] for r in grid.hysteresis(steps, 0.1, 0.2).collect()} == {3, 4}
+
+
+def test_fallback_peaks(spark):
+    nan = float("nan")
+    values = {1: [0.0, nan, 3.0, 1.0, 3.0], 2: [nan, nan, nan], 3: [0.0, 9.0, 0.0, 5.0, 0.0]}
+    df = spark.createDataFrame([(t, i, float(i), v, v) for t, vs in values.items() for i, v in enumerate(vs)], "track_index long, i int, frame double, position double, residual double")
+    none = df.select("track_index", F.col("i").alias("peak_i"), "frame", "position", "residual", F.col("residual").alias("prominence"))
+    got = {(r["track_index"], r["peak_i"]): (r["prominence"], r["fallback_peak"]) for r in tracks.with_fallback(df, none.where("1 = 0")).collect()}
+    assert got == {(1, 2): (1.0, True), (2, 1): (None, True), (3, 1): (9.0, True)}
+    one = none.where("track_index = 3 and peak_i = 3")
+    assert {(r["peak_i"], r["fallback_peak"]) for r in tracks.with_fallback(df, one, 2).where("track_index = 3").collect()} == {(3, False), (1, True)}
+    assert tracks.with_fallback(df, one, 1).where("track_index = 3").count() == 1
 
 
 def test_dedupe_is_idempotent(spark):

@@ -7,8 +7,9 @@ Python, one image a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,10 +116,12 @@ def morphology(df: DataFrame, mode: str = "directional", kv: int = 5, kh: int =
 
 
 def shave_weak(mask: DataFrame, prob: DataFrame, below: float) -> DataFrame:
-    """Opens the mask with 1 x 3 and 3 x 1 lines where the probability is low; the rest stays."""
-    opened = open_along(open_along(mask, "x", 3), "y", 3).withColumnRenamed("v", "_o")
-    both = mask.join(opened, ["image", "y", "x"]).join(prob.select("image", "y", "x", F.col("v").alias("_p")), ["image", "y", "x"])
-    return both.withColumn("v", F.when(F.col("_p") < below, F.col("_o")).otherwise(F.col("v"))).drop("_o", "_p")
+    """Opens the part of the mask where the probability is low, along the columns, then along the rows, with lines of three; set pixels
+    of higher probability stay and don't hold up their weak neighbours."""
+    both = mask.join(prob.select("image", "y", "x", F.col("v").alias("_p")), ["image", "y", "x"]).withColumn("_strong", F.when(F.col("_p") < below, 0.0).otherwise(F.col("v")))
+    weak = both.withColumn("v", F.when(F.col("_p") < below, F.col("v")).otherwise(0.0)).drop("_p", "_strong")
+    opened = open_along(open_along(weak, "y", 3), "x", 3).select("image", "y", "x", F.col("v").alias("_o"))
+    return both.join(opened, ["image", "y", "x"]).withColumn("v", F.greatest("_o", "_strong")).drop("_o", "_p", "_strong")
 
 
 def neighbours(on: DataFrame) -> DataFrame:
@@ -155,8 +158,8 @@ def large_components(labelled: DataFrame, least_pixels: int, least_rows: int) ->
 
 
 def hysteresis(df: DataFrame, low: float, high: float) -> DataFrame:
-    """Components of pixels of at least `low` that hold one above `high`."""
-    weak = df.where(F.col("v") >= low)
+    """Components of pixels above `low` that hold one above `high`."""
+    weak = df.where(F.col("v") > low)
     named = label(weak).join(weak, ["image", "y", "x"])
     return named.join(named.where(F.col("v") > high).select("label").distinct(), "label", "left_semi").select("image", "y", "x")
 
@@ -246,38 +249,46 @@ def line(y0: int, x0: int, y1: int, x1: int) -> list[tuple[int, int]]:
             err, y0 = err + dx, y0 + sy
 
 
-def bridge_gaps(on: DataFrame, prob: DataFrame, max_gap: int = 6, max_dx: int = 3, least: float = 0.1, most: int = 2000) -> DataFrame:
-    """Joins ends of skeletons across rows where the line between them is mostly off and likely enough; at most `most` an image.
+def _bridged(lit: np.ndarray, p: np.ndarray, max_gap: int, max_dx: int, least: float, most: int) -> np.ndarray:
+    """Draws the lines between ends of one skeleton (rows by columns, 0 and 1)."""
+    around = np.pad(lit, 1)
+    near = sum(around[1 + a : 1 + a + lit.shape[0], 1 + b : 1 + b + lit.shape[1]] for a, b in EIGHT)
+    ys, xs = np.nonzero((lit == 1) & (near == 1))
+    rows = {int(y): xs[ys == y].tolist() for y in np.unique(ys)}
+    out, made = lit.copy(), 0
 
-    Goes through the ends by row and stops at the first row without one, as it always did; each end takes the nearest partner below.
+    def partners(y: int, x: int) -> Iterator[tuple[int, int]]:
+        below = y + 1
+        while below <= y + max_gap and below in rows:
+            yield from ((below, other) for other in rows[below] if abs(other - x) <= max_dx)
+            below += 1
+
+    for start in zip(ys.tolist(), xs.tolist(), strict=True):
+        for end in partners(*start):
+            at = tuple(np.array(line(*start, *end)).T)
+            if made < most and out[at].mean() <= 0.25 and p[at].mean() >= least:
+                out[at] = 1
+                made += 1
+    return out
+
+
+def bridge_gaps(on: DataFrame, prob: DataFrame, max_gap: int = 18, max_dx: int = 7, least: float = 0.11, most: int = 2000) -> DataFrame:
+    """Joins ends of skeletons across rows by lines that are mostly off (a quarter of the pixels set at most) and likely enough on
+    average; at most `most` an image. The result is thinned.
+
+    An end looks for partners in the rows below it, up to max_gap, and only as far as every row on the way has an end somewhere; it may be
+    joined with several. on are set pixels, prob all pixels of the images.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pixels = {(int(y), int(x)) for y, x in zip(pdf["y"], pdf["x"], strict=True) if True}
-        lit = {(int(y), int(x)) for y, x, s in zip(pdf["y"], pdf["x"], pdf["on"], strict=True) if s}
-        p = {(int(y), int(x)): float(v) for y, x, v in zip(pdf["y"], pdf["x"], pdf["v"], strict=True)}
-        ends = sorted(q for q in lit if sum((q[0] + a, q[1] + b) in lit for a, b in EIGHT) == 1)
-        rows: dict[int, list[tuple[int, int]]] = {}
-        for q in ends:
-            rows.setdefault(q[0], []).append(q)
-        made = 0
-        for y in range(min(rows, default=0), max(rows, default=-1) + 1):
-            if y not in rows:
-                break
-            for a in rows[y]:
-                near = [b for d in range(1, max_gap + 1) for b in rows.get(y + d, []) if abs(b[1] - a[1]) <= max_dx]
-                for b in near:
-                    path = line(*a, *b)
-                    inner = [q for q in path if q in pixels]
-                    if made < most and sum(q in lit for q in path) <= 0.25 * len(path) + 2 and inner and sum(p[q] for q in inner) / len(inner) >= least:
-                        lit.update(inner)
-                        made += 1
-                        break
-        out = sorted(lit)
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "y": [q[0] for q in out], "x": [q[1] for q in out]})
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        lit, p = np.zeros((y.max() + 1, x.max() + 1), np.uint8), np.zeros((y.max() + 1, x.max() + 1))
+        lit[y, x], p[y, x] = pdf["on"], pdf["v"]
+        ys, xs = np.nonzero(_bridged(lit, p, max_gap, max_dx, least, most))
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "y": ys.astype("int32"), "x": xs.astype("int32")})
 
     marked = prob.select("image", "y", "x", "v").join(on.select("image", "y", "x", F.lit(True).alias("on")), ["image", "y", "x"], "left").na.fill(False, ["on"])
-    return marked.groupBy("image").applyInPandas(run, "image long, y int, x int")
+    return thin(marked.groupBy("image").applyInPandas(run, "image long, y int, x int"))
 
 
 def trace(on: DataFrame, least_points: int = 3) -> DataFrame:

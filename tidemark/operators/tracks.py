@@ -136,17 +136,24 @@ def prominences(tracks: DataFrame) -> DataFrame:
     return again.groupBy(*keys).agg(low.alias("_low")).select(*keys, (F.col("residual") - F.col("_low")).alias("prominence"))
 
 
-def with_fallback(tracks: DataFrame, peaks: DataFrame) -> DataFrame:
-    """peaks plus, for tracks without any, their first highest sample, with its height above the median as prominence."""
-    spare = tracks.join(peaks.select("track_index").distinct(), "track_index", "left_anti")
-    top = spare.groupBy("track_index").agg(F.max_by(F.struct("i", "frame", "position", "residual"), F.struct("residual", -F.col("i"))).alias("t"), F.median("residual").alias("m"))
-    top = top.select("track_index", F.col("t.i").alias("peak_i"), "t.frame", "t.position", "t.residual", (F.col("t.residual") - F.col("m")).alias("prominence"), F.lit(True).alias("fallback_peak"))
-    return peaks.withColumn("fallback_peak", F.lit(False)).unionByName(top)
+def with_fallback(tracks: DataFrame, peaks: DataFrame, minimum: int = 1) -> DataFrame:
+    """peaks plus, for tracks with fewer than `minimum`, their first highest finite sample (if it isn't among them), with its height above
+    the median of the finite ones as prominence. A track without a finite sample gets its middle one, without a prominence."""
+    enough = peaks.groupBy("track_index").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum)
+    value = F.when(F.abs("residual") < float("inf"), F.col("residual"))
+    spare = tracks.join(enough, "track_index", "left_anti").withColumn("_v", value).withColumn("_mid", F.floor(F.count(F.lit(1)).over(track()) / 2))
+    sample = F.struct("i", "frame", "position", "residual")
+    top = spare.groupBy("track_index").agg(
+        F.coalesce(F.max_by(sample, F.when(F.col("_v").isNotNull(), F.struct("_v", -F.col("i")))), F.max_by(sample, -F.abs(F.col("i") - F.col("_mid")))).alias("t"), F.max("_v").alias("v"), F.median("_v").alias("m")
+    )
+    top = top.select("track_index", F.col("t.i").alias("peak_i"), "t.frame", "t.position", "t.residual", (F.col("v") - F.col("m")).alias("prominence"), F.lit(True).alias("fallback_peak"))
+    added = top.join(peaks.select("track_index", "peak_i"), ["track_index", "peak_i"], "left_anti")
+    return peaks.withColumn("fallback_peak", F.lit(False)).unionByName(added)
 
 
-def find_peaks(tracks: DataFrame, prominence: float) -> DataFrame:
-    """Peaks of at least this prominence, one at least per track, with ordinal, neighbours and the local period in frames."""
-    peaks = with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence))
+def find_peaks(tracks: DataFrame, prominence: float, minimum: int = 1) -> DataFrame:
+    """Peaks of at least this prominence, one at least per track with fewer than `minimum` of them, with ordinal, neighbours and the local period in frames."""
+    peaks = with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence), minimum)
     w = track().orderBy("peak_i")
     peaks = peaks.select(
         "*", F.row_number().over(w).alias("peak_ord"), F.lag("peak_i").over(w).alias("prev_i"), F.lead("peak_i").over(w).alias("next_i"),

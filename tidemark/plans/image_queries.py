@@ -195,7 +195,7 @@ def classic(spark: SparkSession, d: str) -> DataFrame:
     return pixels(G.morphology(images(spark, d), "classic"))
 
 
-@query("i11_weak_shave", IMG + ", mk AS (SELECT image, y, x, CASE WHEN v >= 5 THEN 1.0 ELSE 0.0 END AS v FROM img)" + frame_sql("s1", "mk", "x", 1, 1, "min") + frame_sql("s2", "s1", "x", 1, 1, "max") + frame_sql("s3", "s2", "y", 1, 1, "min") + frame_sql("s4", "s3", "y", 1, 1, "max") + " SELECT image, y, x, CASE WHEN img.v < 10 THEN s4.v ELSE mk.v END AS v FROM mk JOIN s4 USING (image, y, x) JOIN img USING (image, y, x)")
+@query("i11_weak_shave", IMG + ", mk AS (SELECT image, y, x, CASE WHEN v >= 5 AND v < 10 THEN 1.0 ELSE 0.0 END AS v FROM img)" + frame_sql("s1", "mk", "y", 1, 1, "min") + frame_sql("s2", "s1", "y", 1, 1, "max") + frame_sql("s3", "s2", "x", 1, 1, "min") + frame_sql("s4", "s3", "x", 1, 1, "max") + " SELECT image, y, x, CASE WHEN img.v >= 10 THEN 1.0 ELSE s4.v END AS v FROM s4 JOIN img USING (image, y, x)")
 def weak_shave(spark: SparkSession, d: str) -> DataFrame:
     img = images(spark, d)
     return G.shave_weak(img.withColumn("v", (F.col("v") >= 5).cast("double")), img, 10.0).select("image", "y", "x", "v")
