@@ -22,7 +22,7 @@ LONG_WORDS = 4
 #: Share of the pairs of just the similarity asked for that are to meet in some band. With 0.87 at 0.8 it is about 0.92 at 0.825, 0.96
 #: at 0.85 and 0.99 at 0.9.
 MEET = 0.87
-#: Buckets of at most so many fingerprints are compared by a join; larger ones in cells of two sides of about SIDE rows each.
+#: Buckets of at most so many fingerprints are compared as one row each; larger ones in cells of two sides of about SIDE rows each.
 FEW = 32
 SIDE = 2048
 #: Tables of at most this many short rows are broadcast; larger ones are joined by shuffle.
@@ -209,31 +209,55 @@ def _distance(a: str, b: str, words: int) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _joined(limit: int, words: int):
-    """Pairs from the two sides of a cell, for applyInArrow: of rows of different groups at most `limit` bits apart, for each stray row
-    and each other group the nearest."""
+def _near(ids: np.ndarray, roots: np.ndarray, fp: np.ndarray, own: np.ndarray, others: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, bits between them: for each row of own and each other group among others the nearest row, at most `limit` bits apart."""
+    a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for k in range(0, len(own), 256):
+        some = own[k : k + 256]
+        apart = sum(np.bitwise_count(fp[some, None, w] ^ fp[None, others, w]).astype(np.int16) for w in range(fp.shape[1]))
+        i, j = np.nonzero((apart <= limit) & (roots[some, None] != roots[None, others]))
+        order = np.argsort(apart[i, j], kind="stable")
+        i, j = some[i[order]], others[j[order]]
+        once = np.unique(np.stack((i, roots[j]), 1), axis=0, return_index=True)[1]
+        a.append(ids[i[once]])
+        b.append(ids[j[once]])
+        d.append(np.bitwise_count(fp[i[once]] ^ fp[j[once]]).sum(1, dtype=np.int32))
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b), np.concatenate(d)
+
+
+def _numbers(table: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, roots, fingerprints and marks of the rows of a cell or of the members of buckets."""
+    ids, roots, stray = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("id", "root", "stray"))
+    flat = table.column("fp").combine_chunks() if isinstance(table, pa.Table) else table.column("fp")
+    return ids, roots, flat.flatten().to_numpy().view(np.uint64).reshape(-1, words), stray
+
+
+def _in_cells(limit: int, words: int):
+    """Pairs between the two sides of a cell, for applyInArrow."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots, stray = (table.column(c).to_numpy() for c in ("id", "root", "stray"))
-        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
-        own, others = np.flatnonzero(stray), np.flatnonzero(~stray)
-        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for k in range(0, len(own), 256):
-            some = own[k : k + 256]
-            apart = sum(np.bitwise_count(fp[some, None, w] ^ fp[None, others, w]).astype(np.int16) for w in range(words))
-            i, j = np.nonzero((apart <= limit) & (roots[some, None] != roots[None, others]))
-            order = np.argsort(apart[i, j], kind="stable")
-            i, j = some[i[order]], others[j[order]]
-            once = np.unique(np.stack((i, roots[j]), 1), axis=0, return_index=True)[1]
-            a.append(ids[i[once]])
-            b.append(ids[j[once]])
-            d.append(np.bitwise_count(fp[i[once]] ^ fp[j[once]]).sum(1, dtype=np.int32))
-        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "d": pa.array(d)})
+        ids, roots, fp, stray = _numbers(table, words)
+        return pa.table(dict(zip(("a", "b", "d"), map(pa.array, _near(ids, roots, fp, np.flatnonzero(stray), np.flatnonzero(~stray), limit)), strict=True)))
 
     return run
 
 
+def _in_buckets(buckets: DataFrame, limit: int, words: int) -> DataFrame:
+    """Pairs inside buckets (column members, at most FEW): strays with members of other groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            ids, roots, fp, stray = _numbers(pa.RecordBatch.from_struct_array(members.flatten()), words)
+            ends = np.cumsum([len(x) for x in members]).tolist()
+            found = [_near(ids, roots, fp, a + np.flatnonzero(stray[a:b]), np.arange(a, b), limit) for a, b in zip([0, *ends], ends, strict=False)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "d"])
+
+    return buckets.select("members").mapInArrow(run, "a bigint, b bigint, d int")
+
+
 def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, words: int) -> DataFrame:
     """Pairs (a, b, d: bits between them) of members (columns id, variant) of one bucket that the edges so far leave in different groups.
 
@@ -249,11 +273,8 @@ def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, w
     rows = rows.join(once, F.col("variant") == F.col("v")).drop("v").join(fps.select(F.col("id").alias("i2"), "fp"), F.col("id") == F.col("i2")).drop("i2")
     rows = stash(rows.withColumn("outside", F.col("root") != F.col("most")), "open-rows")
 
-    few = rows.where(F.col("n") <= FEW)
-    left = few.where("outside").select("variant", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("fp").alias("fa"))
-    right = few.select(F.col("variant").alias("v"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("fp").alias("fb"))
-    near = left.join(right, (F.col("variant") == F.col("v")) & (F.col("ra") != F.col("rb"))).where(_distance("fa", "fb", words) <= limit)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _distance("fa", "fb", words).alias("d"))
+    few = rows.where(F.col("n") <= FEW).groupBy("variant").agg(F.collect_list(F.struct("id", "root", "fp", F.col("outside").alias("stray"))).alias("members"))
+    near = _in_buckets(few, limit, words)
 
     many = rows.where(F.col("n") > FEW)
     sides = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil((F.col("n") - F.col("n_most")) / SIDE).cast("int")
@@ -261,7 +282,7 @@ def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, w
     upto = [F.explode(F.sequence(F.lit(0), k - 1)) for k in sides]
     cells = many.select("variant", "id", "root", "fp", F.lit(False).alias("stray"), at[0].alias("i"), upto[1].alias("j"))
     cells = cells.unionByName(many.where("outside").select("variant", "id", "root", "fp", F.lit(True).alias("stray"), upto[0].alias("i"), at[1].alias("j")))
-    return near.unionByName(cells.groupBy("variant", "i", "j").applyInArrow(_joined(limit, words), "a bigint, b bigint, d int")).distinct()
+    return near.unionByName(cells.groupBy("variant", "i", "j").applyInArrow(_in_cells(limit, words), "a bigint, b bigint, d int")).distinct()
 
 
 def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None = None, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
