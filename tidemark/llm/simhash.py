@@ -226,18 +226,25 @@ def _near(ids: np.ndarray, roots: np.ndarray, fp: np.ndarray, own: np.ndarray, o
     return np.minimum(a, b), np.maximum(a, b), np.concatenate(d)
 
 
-def _numbers(table: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, roots, fingerprints and marks of the rows of a cell or of the members of buckets."""
-    ids, roots, stray = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("id", "root", "stray"))
+def _numbers(table: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, roots and fingerprints of the rows of a cell or of the members of buckets."""
+    ids, roots = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("id", "root"))
     flat = table.column("fp").combine_chunks() if isinstance(table, pa.Table) else table.column("fp")
-    return ids, roots, flat.flatten().to_numpy().view(np.uint64).reshape(-1, words), stray
+    return ids, roots, flat.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+
+
+def _strays(roots: np.ndarray) -> np.ndarray:
+    """Which members of a bucket are outside its largest group; of groups of one size, the one of the highest root is taken for it."""
+    groups, counts = np.unique(roots, return_counts=True)
+    return roots != groups[len(groups) - 1 - np.argmax(counts[::-1])]
 
 
 def _in_cells(limit: int, words: int):
     """Pairs between the two sides of a cell, for applyInArrow."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots, fp, stray = _numbers(table, words)
+        ids, roots, fp = _numbers(table, words)
+        stray = table.column("stray").to_numpy()
         return pa.table(dict(zip(("a", "b", "d"), map(pa.array, _near(ids, roots, fp, np.flatnonzero(stray), np.flatnonzero(~stray), limit)), strict=True)))
 
     return run
@@ -249,9 +256,9 @@ def _in_buckets(buckets: DataFrame, limit: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
-            ids, roots, fp, stray = _numbers(pa.RecordBatch.from_struct_array(members.flatten()), words)
+            ids, roots, fp = _numbers(pa.RecordBatch.from_struct_array(members.flatten()), words)
             ends = np.cumsum([len(x) for x in members]).tolist()
-            found = [_near(ids, roots, fp, a + np.flatnonzero(stray[a:b]), np.arange(a, b), limit) for a, b in zip([0, *ends], ends, strict=False)]
+            found = [_near(ids, roots, fp, a + np.flatnonzero(_strays(roots[a:b])), np.arange(a, b), limit) for a, b in zip([0, *ends], ends, strict=False)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "d"])
 
@@ -259,24 +266,28 @@ def _in_buckets(buckets: DataFrame, limit: int, words: int) -> DataFrame:
 
 
 def _cross_links(met: DataFrame, fps: DataFrame, edges: DataFrame, limit: int, words: int) -> DataFrame:
-    """Pairs (a, b, d: bits between them) of members (columns id, variant) of one bucket that the edges so far leave in different groups.
+    """Pairs (a, b, d: bits between them) of members (columns id, variant, n: members of the bucket, FEW + 1 standing for more) of one
+    bucket that the edges so far leave in different groups.
 
     Members of one group are connected already, and the two of a bucket of two have been compared. In each bucket those outside its largest group are compared with all that are in
     another group than they, so that afterwards every two members are connected, paired, or known to be too far apart. A bucket that is
-    one group, as most families of near copies are, costs nothing, and buckets of the same members are looked at once.
+    one group, as most families of near copies are, is dropped once its groups are known, and buckets of the same members are looked at
+    once. A bucket of at most FEW members is gathered as one row; the members of larger ones stay rows.
     """
-    rows = met.join(components(edges), F.col("id") == F.col("node"), "left").select("variant", "id", F.coalesce("root", "id").alias("root"))
-    rows = stash(rows, "grouped-rows")
-    held = rows.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
-    buckets = held.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > most.n and n > 2")
-    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("variant", "most")).alias("o")).select(F.col("o.variant").alias("v"), "n", F.col("o.most.n").alias("n_most"), F.col("o.most.root").alias("most"))
-    rows = rows.join(once, F.col("variant") == F.col("v")).drop("v").join(fps.select(F.col("id").alias("i2"), "fp"), F.col("id") == F.col("i2")).drop("i2")
-    rows = stash(rows.withColumn("outside", F.col("root") != F.col("most")), "open-rows")
+    groups = components(edges)
+    grouped = stash(fps.join(groups, F.col("id") == F.col("node"), "left").select(F.col("id").alias("i2"), F.coalesce("root", "id").alias("root"), "fp"), "grouped-fingerprints")
+    marks = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")]
 
-    few = rows.where(F.col("n") <= FEW).groupBy("variant").agg(F.collect_list(F.struct("id", "root", "fp", F.col("outside").alias("stray"))).alias("members"))
-    near = _in_buckets(few, limit, words)
+    few = met.where((F.col("n") > 2) & (F.col("n") <= FEW)).join(grouped, F.col("id") == F.col("i2"))
+    few = few.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("id", "root", "fp"))).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
+    near = _in_buckets(few.where("low <> high").dropDuplicates(["x", "y"]), limit, words)
 
-    many = rows.where(F.col("n") > FEW)
+    rows = stash(met.where(F.col("n") > FEW).join(grouped, F.col("id") == F.col("i2")).select("variant", "id", "root"), "grouped-rows")
+    held = rows.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n"), *marks)
+    buckets = held.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > most.n")
+    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("variant", "most")).alias("o")).select(F.col("o.variant").alias("v"), "n", F.col("o.most.n").alias("n_most"), F.col("o.most.root").alias("most"))
+    rows = rows.join(once, F.col("variant") == F.col("v")).drop("v").join(grouped.select("i2", "fp"), F.col("id") == F.col("i2")).drop("i2")
+    many = stash(rows.withColumn("outside", F.col("root") != F.col("most")), "open-rows")
     sides = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil((F.col("n") - F.col("n_most")) / SIDE).cast("int")
     at = [F.pmod(F.xxhash64(F.lit(3), "id"), k).cast("int") for k in sides]
     upto = [F.explode(F.sequence(F.lit(0), k - 1)) for k in sides]
@@ -301,9 +312,9 @@ def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None =
     dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
     spread = dealt.select("id", F.explode(bands.variants()).alias("variant"))
     # A fingerprint has each of its variants once, so a variant counted twice has two fingerprints.
-    met = spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("variant").alias("v"))
+    met = spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("variant").alias("v"), F.least("n", F.lit(FEW + 1)).cast("int").alias("n"))
     met = small(stash(met, "met-variants"), MET_ROWS)
-    rows = stash(spread.join(met, F.col("variant") == F.col("v"), "left_semi"), "met-rows")
+    rows = stash(spread.join(met, F.col("variant") == F.col("v")).select("id", "variant", "n"), "met-rows")
     lead = rows.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
     pairs = rows.join(lead, F.col("variant") == F.col("v")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
