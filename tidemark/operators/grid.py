@@ -13,6 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from tidemark.sources.stash import stash
 
 from tidemark.operators.components import components
 
@@ -249,6 +252,12 @@ def line(y0: int, x0: int, y1: int, x1: int) -> list[tuple[int, int]]:
             err, y0 = err + dx, y0 + sy
 
 
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def line_points(y0: pd.Series, x0: pd.Series, y1: pd.Series, x1: pd.Series) -> pd.Series:
+    """The points of `line` as [y, x] pairs."""
+    return pd.Series([[list(p) for p in line(*ends)] for ends in zip(y0.tolist(), x0.tolist(), y1.tolist(), x1.tolist(), strict=True)])
+
+
 def _bridged(lit: np.ndarray, p: np.ndarray, max_gap: int, max_dx: int, least: float, most: int) -> np.ndarray:
     """Draws the lines between ends of one skeleton (rows by columns, 0 and 1)."""
     around = np.pad(lit, 1)
@@ -386,6 +395,93 @@ def gap_candidates(ends: DataFrame, max_gap: int, max_dx: float) -> DataFrame:
     return met.where((gap > 0) & (gap <= max_gap) & (F.abs(F.col("x0") - F.col("x1")) <= max_dx) & (F.col("a") != F.col("b"))).select("image", "a", "b", gap.alias("gap"))
 
 
+def extend_ends(ends: DataFrame, prob: DataFrame, rows: int = 10, dx: int = 3, least: float = 0.12) -> DataFrame:
+    """image, track, side (-1 above the start, 1 below the end), i, y, x: the points by which tracks grow.
+
+    From each end (columns as of merge_chains) a walk goes row by row to the most probable pixel at most dx aside, the leftmost of equals,
+    until that is below `least`, the image ends, or `rows` steps are made. prob has image, y, x, v; pixels it lacks count as 0. An image is
+    one group, its tracks walk together.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=["image", "track", "side", "i", "y", "x"])
+        if left.empty or right.empty:
+            return empty
+        h, w = int(right["y"].max()) + 1, int(right["x"].max()) + 1
+        grid = np.full((h, w + 2 * dx), -np.inf)
+        grid[:, dx : dx + w] = 0.0
+        grid[right["y"], right["x"] + dx] = right["v"]
+        found = [empty]
+        for side, cy, cx in ((-1, "y0", "x0"), (1, "y1", "x1")):
+            on = left[["track", cy, cx]].set_axis(["track", "y", "x"], axis=1)
+            for i in range(rows):
+                on = on.assign(y=on["y"] + side)
+                on = on[on["y"].between(0, h - 1) & on["x"].between(-dx, w - 1 + dx)]
+                if on.empty:
+                    break
+                at = on["x"].to_numpy()[:, None] + np.arange(-dx, dx + 1)
+                near = np.where((at >= 0) & (at < w), grid[on["y"].to_numpy()[:, None], np.clip(at, -dx, w - 1 + dx) + dx], -np.inf)
+                best = near.argmax(1)
+                on = on.assign(x=on["x"] - dx + best)[near[np.arange(len(on)), best] >= least]
+                found.append(on.assign(side=side, i=i))
+        out = pd.concat([f for f in found if len(f)] or [empty])
+        return out.assign(image=left["image"].iloc[0])[["image", "track", "side", "i", "y", "x"]]
+
+    return ends.groupBy("image").cogroup(prob.select("image", "y", "x", "v").groupBy("image")).applyInPandas(run, "image long, track long, side int, i int, y int, x int")
+
+
+def track_limits(points: DataFrame) -> DataFrame:
+    """image, track, y0, x0, y1, x1: the first and the last point of each track (image, track, y, x) by row, then column."""
+    g = points.groupBy("image", "track").agg(F.min(F.struct("y", "x")).alias("a"), F.max(F.struct("y", "x")).alias("b"))
+    return g.select("image", "track", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"))
+
+
+def bridges(ends: DataFrame, prob: DataFrame, max_gap: int, max_dx: int, least: float) -> DataFrame:
+    """image, a, ya, b, yb: gap_candidates whose straight bridge (as many points as rows to go, between the ends) has a mean probability of
+    at least `least`; ya and yb are the rows in which the two tracks start."""
+    e, s = ends.select("image", F.col("track").alias("a"), F.col("y0").alias("ya"), F.col("x1").alias("xa"), F.col("y1").alias("ea")), ends.select("image", F.col("track").alias("b"), F.col("y0").alias("yb"), F.col("x0").alias("xb"))
+    c = gap_candidates(ends, max_gap, max_dx).join(e, ["image", "a"]).join(s, ["image", "b"])
+    part = F.explode(F.sequence(F.lit(1), F.col("gap").cast("int"))).alias("k")
+    k = c.select("image", "a", "ya", "b", "yb", "gap", "ea", "xa", "xb", part)
+    on = lambda u, v: F.floor(F.col(u) + F.col("k") * (F.col(v) - F.col(u)) / (F.col("gap") + 1)).cast("int")
+    k = k.withColumn("y", on("ea", "yb")).withColumn("x", on("xa", "xb")).join(prob.select("image", "y", "x", "v"), ["image", "y", "x"], "left")
+    mean = k.groupBy("image", "a", "ya", "b", "yb").agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("p"))
+    return mean.where(F.col("p") >= least).drop("p")
+
+
+def chained(pairs: DataFrame) -> DataFrame:
+    """image, track, chain of tracks that follow another: heads in order of their start take the first free follower, then its follower.
+
+    pairs as of bridges; those of an image are few and are folded in one group. Tracks that are no one's follower don't come out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        follow = {a: g["b"].tolist() for a, g in pdf.sort_values(["yb", "b"]).groupby("a")}
+        used: set[int] = set()
+        rows = []
+        for head in pdf[["ya", "a"]].drop_duplicates().sort_values(["ya", "a"])["a"]:
+            here = None if head in used else head
+            while here is not None:
+                here = next((b for b in follow.get(here, ()) if b not in used), None)
+                if here is not None:
+                    used.add(here)
+                    rows.append((pdf["image"].iloc[0], here, head))
+            used.add(head)
+        return pd.DataFrame(rows, columns=["image", "track", "chain"])
+
+    return pairs.groupBy("image").applyInPandas(run, "image long, track long, chain long")
+
+
+def refine(points: DataFrame, prob: DataFrame, rows: int = 10, dx: int = 3, least: float = 0.12, max_gap: int = 6, max_dx: int = 4, bridge_least: float = 0.10) -> DataFrame:
+    """image, track, y, x: tracks grown at both ends, joined where one ends shortly above another and the bridge is probable enough.
+
+    A row may hold several points afterwards; kernels.collapse leaves one. A joined track keeps its topmost part's name.
+    """
+    grown = stash(points.unionByName(extend_ends(track_limits(points), prob, rows, dx, least).select("image", "track", "y", "x")), "grown-tracks")
+    chains = chained(bridges(track_limits(grown), prob, max_gap, max_dx, bridge_least))
+    return grown.join(chains, ["image", "track"], "left").select("image", F.coalesce("chain", "track").alias("track"), "y", "x")
+
+
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """q, track, dist: the nearest point (other than q itself) within the radius."""
     cell = lambda c: F.floor(F.col(c) / radius)

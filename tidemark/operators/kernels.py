@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.tracks import numbered
+
 
 def mad(x: np.ndarray) -> float:
     return float(np.median(np.abs(x - np.median(x)))) if len(x) else 0.0
@@ -212,3 +214,58 @@ def collapse(points: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<y:int,x:int>>")
     step = lambda s, r: F.concat(s, F.array(F.struct(r["y"].alias("y"), F.when(F.size(s) == 0, middle(r["xs"])).otherwise(nearest(r["xs"], F.element_at(s, -1)["x"])).cast("int").alias("x"))))
     return lines.select("image", "track", F.explode(F.aggregate("rows", empty, step)).alias("p")).select("image", "track", "p.y", "p.x")
+
+
+def robust_tracks(tracks: DataFrame, **how) -> DataFrame:
+    """tracks with baseline and residual by robust lines, in one pass over each track."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        y = pdf["position"].to_numpy(float)
+        base = robust_line(pdf["frame"].to_numpy(float), y, **how)
+        return pdf.assign(baseline=base, residual=y - base)
+
+    t = tracks.select("track_index", "i", "frame", "position")
+    kind = t.schema["i"].dataType.simpleString()
+    return t.groupBy("track_index").applyInPandas(run, f"track_index long, i {kind}, frame double, position double, baseline double, residual double")
+
+
+def chosen_peaks(x: np.ndarray, how: dict, frames_per_period: float | None) -> pd.DataFrame:
+    """Peaks by the thresholds a configuration asks for, plus the highest finite sample where they leave fewer than its minimum.
+
+    The added peak has no width; its prominence is its height above the median. It isn't added where it is a peak already.
+    """
+    if how.get("adaptive"):
+        names = {"distance_frac": "distance_frac", "width_frac": "width_frac", "rel_mad_k": "k", "abs_min_prom_px": "least", "nms_enable": "nms", "nms_dominance_frac": "dominance"}
+        out = find_peaks_adaptive(x, frames_per_period, **{b: how[a] for a, b in names.items() if a in how})
+    else:
+        out = find_peaks(x, how.get("prominence", 1.0), how.get("width", 1.0), how.get("distance"))
+    out = out.assign(fallback_peak=False)
+    if not len(x) or len(out) >= how.get("minimum_per_track", 1):
+        return out
+    known = np.isfinite(x)
+    at = int(np.argmax(np.where(known, x, -np.inf))) if known.any() else len(x) // 2
+    if at in set(out["peak_i"]):
+        return out
+    height = float(x[at] - np.median(x[known])) if known.any() else math.nan
+    spare = {"peak_i": [at], "prominence": [height], "width": [math.nan], "fallback_peak": [True]}
+    return pd.concat([out, pd.DataFrame(spare)]).sort_values("peak_i") if len(out) else pd.DataFrame(spare)
+
+
+def detect(tracks: DataFrame, how: dict, freq: DataFrame, sampling_rate: float = 1.0) -> DataFrame:
+    """Peaks of tracks (with residual) as the `peaks` part of a configuration asks: fixed or adaptive thresholds, with prominence, width,
+    ordinal, neighbours and local period. freq (track_index, frequency) gives the adaptive thresholds their period.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        f = pdf["frequency"].iloc[0]
+        out = chosen_peaks(pdf["residual"].to_numpy(float), how, sampling_rate / f if f and f > 0 else None)
+        at = pdf.iloc[out["peak_i"].to_numpy(int)]
+        columns = {c: at[c].to_numpy() for c in ("track_index", "frame", "position", "residual")}
+        return out.reset_index(drop=True).assign(**columns)
+
+    t = tracks.select("track_index", "i", "frame", "position", "residual").join(freq.select("track_index", "frequency"), "track_index", "left")
+    found = t.groupBy("track_index").applyInPandas(run, "track_index long, peak_i int, frame double, position double, residual double, prominence double, width double, fallback_peak boolean")
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return numbered(found.withColumns({"prominence": known("prominence"), "width": known("width")}))

@@ -125,3 +125,34 @@ def ema(values: Column, alpha: float) -> Column:
     """Exponential moving average of an array in order; the first value starts it."""
     first = F.get(values, F.lit(0))
     return F.aggregate(values, first, lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s)
+
+
+def loose_number(fields: Column, key: str) -> Column:
+    """A JSON object's field as a finite number, as browsers convert it: null and empty text are 0, true and false 1 and 0, a missing
+    field, other text and infinities none. fields is a map of raw texts."""
+    raw = F.trim(F.element_at(fields, key))
+    plain = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), raw.try_cast("double"))
+    value = F.when(raw.isNull() | (raw == ""), F.lit(0.0)).when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(plain)
+    return F.when(F.map_contains_key(fields, key) & (F.abs(value) < float("inf")), value)
+
+
+def overlay_tracks(payload: Column) -> Column:
+    """A track event's JSON text as a struct: track_index, sample, poly, peaks, mean_amplitude, dominant_frequency, period, num_peaks.
+
+    Points without two finite coordinates go, as do entries that aren't objects; the mean is over the amplitudes of the peaks that stay.
+    Null if the text isn't an object or has no finite track_index.
+    """
+    parsed = lambda c, kind: F.from_json(c, kind)
+    top = parsed(payload, "map<string,string>")
+    entries = lambda key: F.coalesce(F.transform(parsed(F.element_at(top, key), "array<string>"), lambda e: parsed(e, "map<string,string>")), F.array().cast("array<map<string,string>>"))
+    point = lambda m: F.struct(loose_number(m, "x").alias("x"), loose_number(m, "y").alias("y"))
+    peak = lambda m: F.struct(loose_number(m, "x").alias("x"), loose_number(m, "y").alias("y"), loose_number(m, "amp").alias("amp"))
+    placed = lambda p: p["x"].isNotNull() & p["y"].isNotNull()
+    poly, peaks = F.filter(F.transform(entries("poly"), point), placed), F.filter(F.transform(entries("peaks"), peak), placed)
+    amps = F.filter(F.transform(peaks, lambda p: p["amp"]), lambda a: a.isNotNull())
+    mean = F.when(F.size(amps) > 0, F.aggregate(amps, F.lit(0.0), lambda s, a: s + a) / F.size(amps))
+    index = loose_number(top, "track_index")
+    return F.when(index.isNotNull(), F.struct(
+        index.alias("track_index"), F.element_at(top, "sample").alias("sample"), poly.alias("poly"), peaks.alias("peaks"), mean.alias("mean_amplitude"),
+        loose_number(top, "freq_hz").alias("dominant_frequency"), loose_number(top, "period").alias("period"), F.size(peaks).alias("num_peaks"),
+    ))

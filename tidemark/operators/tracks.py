@@ -136,6 +136,28 @@ def prominences(tracks: DataFrame) -> DataFrame:
     return again.groupBy(*keys).agg(low.alias("_low")).select(*keys, (F.col("residual") - F.col("_low")).alias("prominence"))
 
 
+def widths(tracks: DataFrame, peaks: DataFrame) -> DataFrame:
+    """peaks with their width in frames at half prominence: on each side the nearest sample at or below that height, and from there a
+    straight line to the next one. Fallback peaks, and those without a prominence above 0, have no width.
+    """
+    s = tracks.select(F.col("track_index").alias("_t"), F.col("i").alias("_i"), F.col("residual").alias("_r"), F.lag("residual").over(ordered()).alias("_b"), F.lead("residual").over(ordered()).alias("_a"))
+    level = F.col("residual") - F.col("prominence") / 2
+    shaped = peaks.where("prominence > 0 AND NOT fallback_peak") if "fallback_peak" in peaks.columns else peaks.where("prominence > 0")
+    met = shaped.select("track_index", "peak_i", level.alias("_level")).join(s, (F.col("track_index") == F.col("_t")) & (F.col("_r") <= F.col("_level")) & (F.col("_i") != F.col("peak_i")))
+    edges = met.groupBy("track_index", "peak_i", "_level").agg(
+        F.max(F.when(F.col("_i") < F.col("peak_i"), F.struct("_i", "_r", "_a"))).alias("_left"), F.min(F.when(F.col("_i") > F.col("peak_i"), F.struct("_i", "_r", "_b"))).alias("_right")
+    )
+    left = F.col("_left._i") + (F.col("_level") - F.col("_left._r")) / (F.col("_left._a") - F.col("_left._r"))
+    right = F.col("_right._i") - (F.col("_level") - F.col("_right._r")) / (F.col("_right._b") - F.col("_right._r"))
+    return peaks.join(edges.select("track_index", "peak_i", (right - left).alias("width")), ["track_index", "peak_i"], "left")
+
+
+def bulge(peaks: DataFrame, sampling_rate: float = 1.0) -> DataFrame:
+    """peaks (prominence, width) with the bulge's height in pixels and its width in frames and seconds."""
+    seconds = F.col("width") / F.lit(sampling_rate) if sampling_rate else F.lit(None).cast("double")
+    return peaks.withColumns({"bulge_prominence_px": F.col("prominence"), "bulge_width_frames": F.col("width"), "bulge_width_s": seconds})
+
+
 def with_fallback(tracks: DataFrame, peaks: DataFrame, minimum: int = 1) -> DataFrame:
     """peaks plus, for tracks with fewer than `minimum`, their first highest finite sample (if it isn't among them), with its height above
     the median of the finite ones as prominence. A track without a finite sample gets its middle one, without a prominence."""
@@ -153,7 +175,11 @@ def with_fallback(tracks: DataFrame, peaks: DataFrame, minimum: int = 1) -> Data
 
 def find_peaks(tracks: DataFrame, prominence: float, minimum: int = 1) -> DataFrame:
     """Peaks of at least this prominence, one at least per track with fewer than `minimum` of them, with ordinal, neighbours and the local period in frames."""
-    peaks = with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence), minimum)
+    return numbered(with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence), minimum))
+
+
+def numbered(peaks: DataFrame) -> DataFrame:
+    """peaks with ordinal, neighbours and the local period in frames."""
     w = track().orderBy("peak_i")
     peaks = peaks.select(
         "*", F.row_number().over(w).alias("peak_ord"), F.lag("peak_i").over(w).alias("prev_i"), F.lead("peak_i").over(w).alias("next_i"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import grid as G
+from tidemark.operators import kernels as K
 from tidemark.plans.registry import query, r6, table
 
 IMG = "WITH e AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings), img AS (SELECT CAST(vec_id // 50 AS BIGINT) AS image, CAST(vec_id % 50 AS INTEGER) AS y, CAST(k AS INTEGER) AS x, CAST(embedding[k + 1] AS DOUBLE) * 100.0 AS v FROM e)"
@@ -365,6 +366,30 @@ def end_start_merge(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_chains(track_ends(spark, d), 4, 2)
 
 
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of tracks inside the image."""
+    p = points(spark, d).withColumn("track", F.col("track") * 10 + F.floor(F.col("y") / 8))
+    return p.withColumn("x", F.least(F.greatest("x", F.lit(0)), F.lit(63)))
+
+
+PIECES = "pc AS (SELECT image, track * 10 + y // 8 AS track, y, least(greatest(x, 0), 63) AS x FROM trk)"
+
+
+@query("i24_end_extension", "WITH RECURSIVE " + TRK.strip().removeprefix("WITH") + ", " + UNIT.strip().removeprefix("WITH").strip().replace("e AS (", "e2 AS (", 1).replace("FROM e)", "FROM e2)", 1) + ", " + PIECES + """,
+nxt AS (SELECT c.image, c.y, c.x, s.side, arg_max(n.x, (n.v, -n.x)) AS nx, max(n.v) AS nv FROM unit c, (VALUES (-1), (1)) s(side), unit n WHERE n.image = c.image AND n.y = c.y + s.side AND n.x BETWEEN c.x - 3 AND c.x + 3 GROUP BY ALL),
+fr AS (SELECT image, track, -1 AS side, arg_min(y, (y, x)) AS y, arg_min(x, (y, x)) AS x FROM pc GROUP BY 1, 2 UNION ALL SELECT image, track, 1, arg_max(y, (y, x)), arg_max(x, (y, x)) FROM pc GROUP BY 1, 2),
+walk AS (SELECT image, track, side, -1 AS i, y, x FROM fr UNION ALL SELECT w.image, w.track, w.side, w.i + 1, w.y + w.side, n.nx FROM walk w JOIN nxt n ON n.image = w.image AND n.y = w.y AND n.x = w.x AND n.side = w.side AND n.nv >= 0.12 WHERE w.i < 9)
+SELECT image, track, side, i, y, x FROM walk WHERE i >= 0""")
+def end_extension(spark: SparkSession, d: str) -> DataFrame:
+    return G.extend_ends(G.track_limits(pieces(spark, d)), unit(spark, d))
+
+
+@query("i25_refine")
+def refine(spark: SparkSession, d: str) -> DataFrame:
+    """Ends extended, pieces joined over probable bridges, one point a row."""
+    return K.collapse(G.refine(pieces(spark, d), unit(spark, d)))
+
+
 @query("e9_track_score", TRK + " SELECT image, track, median(x) AS score FROM trk GROUP BY 1, 2")
 def track_score(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("image", "track", "score")

@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.operators import kernels as K
 from tidemark.operators import tracks as T
 from tidemark.plans import image_queries, track_queries
 from tidemark.plans.registry import query, r6
+from tidemark.sources.stash import stash
 
 W = track_queries
 #: Fixed value: the wavelet's norm divides by the square root of three widths and the fourth root of pi.
@@ -106,6 +108,38 @@ def process_ransac(spark: SparkSession, d: str) -> DataFrame:
     return T.track_rows(res, T.find_peaks(res, W.PROMINENCE), T.dominant_frequency(res, W.RATE, W.LEAST, W.MOST), W.RATE)
 
 
+def configured(spark: SparkSession, d: str, adaptive: bool = False):
+    """Robust residuals, peaks as a configuration asks, frequencies. The residuals are written once, since all three come from them."""
+    res = stash(K.robust_tracks(W.tracks(spark, d)), "robust-tracks")
+    freq = T.dominant_frequency(res, W.RATE, W.LEAST, W.MOST)
+    how = config.effective({"peaks": {"prominence": W.PROMINENCE, "adaptive": adaptive}})["peaks"]
+    return res, T.bulge(K.detect(res, how, freq, W.RATE), W.RATE), freq
+
+
+BULGE = ["bulge_prominence_px", "bulge_width_frames", "bulge_width_s"]
+
+
+@query("n7_peak_dispatch")
+def dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Adaptive peaks over robust baselines, one a track at least."""
+    return configured(spark, d, adaptive=True)[1].select("track_index", "peak_ord", "peak_i", r6("residual"), r6("prominence"), r6("width"), "fallback_peak")
+
+
+@query("h1_peak_rows_robust")
+def peak_rows_robust(spark: SparkSession, d: str) -> DataFrame:
+    """Peak rows over robust baselines and full peak finding, with bulge columns."""
+    p = T.peak_rows(*configured(spark, d), W.RATE, W.FRAC, local=True)
+    rest = p.select("track_index", F.col("peak_ord").alias("peak_index"), *[r6(c) for c in BULGE])
+    return W.peak_select(p).join(rest, ["track_index", "peak_index"])
+
+
+@query("h2_wave_rows_robust")
+def wave_rows_robust(spark: SparkSession, d: str) -> DataFrame:
+    """Wave rows over robust baselines and full peak finding, with bulge columns."""
+    w = T.wave_rows(*configured(spark, d), W.RATE, W.FRAC)
+    return w.select("track_index", F.col("peak_ord").alias("wave_index"), "peak_i", r6("residual", "amplitude"), *[r6(c) for c in [*W.WAVE_COLUMNS, *BULGE]], "wave_type", "boundary")
+
+
 @query("e15_nearest_collapse")
 def nearest_collapse(spark: SparkSession, d: str) -> DataFrame:
     p = image_queries.lit(spark, d).withColumn("track", F.floor(F.col("x") / 16))

@@ -36,11 +36,11 @@ def text_decode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", files.decoded(F.when(k == 0, marked).when(k == 1, plain).otherwise(latin)).alias("text"))
 
 
-@query("a4_table_scan", "WITH e AS (SELECT vec_id, embedding, unnest(range(16)) AS k FROM embeddings) SELECT CAST(vec_id AS VARCHAR) AS path, CAST(k // 4 AS INTEGER) AS row, CAST(k % 4 AS INTEGER) AS col, round(CAST(embedding[k + 1] AS DOUBLE), 6) AS v FROM e")
+@query("a4_table_scan", "WITH e AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings) SELECT CAST(vec_id AS VARCHAR) AS path, CAST(k // 8 AS INTEGER) AS row, CAST(k % 8 AS INTEGER) AS col, round(CAST(embedding[k + 1] AS DOUBLE), 6) AS v FROM e")
 def table_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Each array's first 16 numbers, written as a text of four rows with a delimiter that is to be found, and read again."""
+    """Each array, written as a text of rows of eight numbers with a delimiter that is to be found, and read again."""
     sep = F.element_at(F.array(*[F.lit(x) for x in ",\t;|"]), (F.col("vec_id") % 4 + 1).cast("int"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_join(F.transform(F.slice("embedding", i * 4 + 1, 4), lambda x: x.cast("double").cast("string")), "~"))
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 8).cast("int")), lambda i: F.array_join(F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double").cast("string")), "~"))
     text = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.encode(F.replace(F.array_join(rows, "\n"), F.lit("~"), sep), "UTF-8").alias("content"))
     return files.table_cells(text).select("path", "row", "col", r6("v"))
 
@@ -62,11 +62,11 @@ def heatmap_png(spark: SparkSession, d: str) -> DataFrame:
     return files.image_files(image_queries.unit(spark, d)).select("path", F.length("content").alias("bytes"))
 
 
-@query("a11_braced_tracks", "WITH e AS (SELECT vec_id, embedding, unnest(range(3)) AS k FROM embeddings WHERE vec_id % 5 <> 0) SELECT vec_id, CAST(k AS INTEGER) AS i, CAST(k AS DOUBLE) AS frame, round(CAST(embedding[k + 1] AS DOUBLE) * 100) AS position FROM e")
+@query("a11_braced_tracks", "WITH e AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings WHERE vec_id % 5 <> 0) SELECT vec_id, CAST(k AS INTEGER) AS i, CAST(k AS DOUBLE) AS frame, round(CAST(embedding[k + 1] AS DOUBLE) * 100) AS position FROM e")
 def braced(spark: SparkSession, d: str) -> DataFrame:
     """Tracks printed in braces among other output."""
-    point = lambda k: F.format_string("{%d, %d}", F.lit(k), F.round(F.get("embedding", F.lit(k)).cast("double") * 100).cast("int"))
-    text = F.concat(F.lit("loading {x}\n"), F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("{{"), F.concat_ws(", ", *[point(k) for k in range(3)]), F.lit("}} done {1}"))).otherwise("nothing"))
+    point = lambda v, k: F.format_string("{%d, %d}", k, F.round(v.cast("double") * 100).cast("int"))
+    text = F.concat(F.lit("loading {x}\n"), F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("{{"), F.array_join(F.transform("embedding", point), ", "), F.lit("}} done {1}"))).otherwise("nothing"))
     t = table(spark, d, "embeddings").select("vec_id", files.braced_tracks(text).alias("t")).select("vec_id", F.explode("t").alias("p")).select("vec_id", F.posexplode("p").alias("i", "q"))
     return t.select("vec_id", "i", F.get("q", F.lit(0)).alias("frame"), F.get("q", F.lit(1)).alias("position"))
 
@@ -103,6 +103,19 @@ def track_arrays(spark: SparkSession, d: str) -> DataFrame:
     return t.where(F.size("points") >= 60).select("track_index", F.size("points").cast("long").alias("points"))
 
 
+@query("a7_npy_scan", track_queries.TR + " SELECT CAST(track_index AS VARCHAR) || '.npy' AS path, i, frame, round(position, 6) AS position FROM tr")
+def npy_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks written as .npy files' bytes, and read again."""
+    return files.array_tracks(files.array_files(track_queries.tracks(spark, d))).select("path", "i", "frame", r6("position"))
+
+
+@query("a12_blob_read")
+def blob_read(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a table as blobs."""
+    b = files.read_blobs(spark, f"{d}/nation.parquet", "*.parquet")
+    return b.select("name", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("b5_tracks_csv", image_queries.TRK + " SELECT CAST(image AS VARCHAR) || ',' || CAST(track AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ',' || CAST(x AS VARCHAR) AS line FROM trk")
 def tracks_csv(spark: SparkSession, d: str) -> DataFrame:
     return image_queries.points(spark, d).select(F.concat_ws(",", "image", "track", "y", "x").alias("line"))
@@ -122,6 +135,6 @@ def area_resize(spark: SparkSession, d: str) -> DataFrame:
 @query("i19_line_points")
 def line_points(spark: SparkSession, d: str) -> DataFrame:
     """Integer lines between each part's two points, as a table function would give them."""
-    t = F.pandas_udf(lambda y0, x0, y1, x1: __import__("pandas").Series([[list(p) for p in G.line(*q)] for q in zip(y0.tolist(), x0.tolist(), y1.tolist(), x1.tolist(), strict=True)]), "array<array<int>>")
-    p = table(spark, d, "part").select("p_partkey", F.posexplode(t((F.col("p_partkey") % 13).cast("int"), F.lit(0), F.col("p_size").cast("int"), (F.col("p_partkey") % 7).cast("int"))).alias("i", "p"))
+    ends = (F.col("p_partkey") % 13).cast("int"), F.lit(0), F.col("p_size").cast("int"), (F.col("p_partkey") % 7).cast("int")
+    p = table(spark, d, "part").select("p_partkey", F.posexplode(G.line_points(*ends)).alias("i", "p"))
     return p.select("p_partkey", "i", F.get("p", F.lit(0)).alias("y"), F.get("p", F.lit(1)).alias("x"))

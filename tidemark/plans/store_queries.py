@@ -119,6 +119,20 @@ def coordinate_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r6(F.when(lower & (height > 0), height - 1 - F.col("value")).otherwise(F.col("value")), "y"))
 
 
+@query("c21_overlay_payload", "SELECT CAST(event_id AS DOUBLE) AS track_index, event_type AS sample, CASE WHEN user_id % 3 <> 0 THEN round(value, 6) END AS mean_amplitude, CASE WHEN user_id % 4 = 0 THEN 0.0 ELSE round(value, 6) END AS dominant_frequency, CAST(2 AS INTEGER) AS num_peaks, CAST(1 AS INTEGER) AS points FROM events WHERE user_id % 7 <> 0")
+def overlay_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Track events as JSON, with peaks and points that lack a coordinate or hold text in its place."""
+    amp = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit(', "amp": '), F.col("value").cast("string"))).otherwise("")
+    freq = F.when(F.col("user_id") % 4 == 0, "null").otherwise(F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"')))
+    index = F.when(F.col("user_id") % 7 == 0, F.lit('"none"')).otherwise(F.col("event_id").cast("string"))
+    text = F.concat(
+        F.lit('{"track_index": '), index, F.lit(', "sample": "'), F.col("event_type"), F.lit('", "freq_hz": '), freq, F.lit(', "poly": [{"x": 1, "y": 2.5}, {"x": "?", "y": 1}, {"y": 2}, 5]'),
+        F.lit(', "peaks": [{"x": 1, "y": 2'), amp, F.lit('}, {"x": null, "y": 3}, {"x": "oops", "y": 0, "amp": 4}]}'),
+    )
+    t = table(spark, d, "events").select(R.overlay_tracks(text).alias("t")).where("t IS NOT NULL").select("t.*")
+    return t.select("track_index", "sample", r6("mean_amplitude"), r6("dominant_frequency"), "num_peaks", F.size("poly").alias("points"))
+
+
 @query("c22_artifact_filter", "WITH " + ARTIFACTS + ", a AS (SELECT job_id, split_part(filename, '_', 2) AS label, filename, created_at, nr FROM artifacts WHERE kind <> 'track' AND NOT ends_with(filename, '9.csv')) SELECT job_id, label, arg_max(filename, (created_at, nr)) AS url FROM a GROUP BY 1, 2")
 def artifact_filter(spark: SparkSession, d: str) -> DataFrame:
     a = artifacts(spark, d).where((F.col("kind") != "track") & ~F.col("filename").endswith("9.csv"))

@@ -354,3 +354,15 @@ def gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = tracks(spark, sf_dir).groupBy("track_index").agg((F.max("frame") - F.min("frame") + 1 + F.col("track_index") % 9).alias("length"))
     return n.agg(r6(F.percentile("length", F.lit(0.5)), "p50"), r6(F.percentile("length", F.lit(0.9)), "p90"), F.max("length").alias("most"))
+
+
+@query("g23_bulge_metrics", BASE + """, around AS (SELECT track_index, i, residual AS r, lag(residual) OVER w AS b, lead(residual) OVER w AS a FROM res WINDOW w AS (PARTITION BY track_index ORDER BY i)),
+ed AS (SELECT p.track_index, p.peak_i, p.prominence, p.residual - p.prominence / 2 AS level,
+       arg_max({'i': s.i, 'r': s.r, 'o': s.a}, s.i) FILTER (s.i < p.peak_i) AS l, arg_min({'i': s.i, 'r': s.r, 'o': s.b}, s.i) FILTER (s.i > p.peak_i) AS h
+       FROM peaks p LEFT JOIN around s ON s.track_index = p.track_index AND s.i <> p.peak_i AND s.r <= p.residual - p.prominence / 2 AND NOT p.fallback_peak GROUP BY ALL),
+wd AS (SELECT track_index, peak_i, prominence, (h.i - (level - h.r) / (h.o - h.r)) - (l.i + (level - l.r) / (l.o - l.r)) AS width FROM ed)
+SELECT track_index, peak_i, round(prominence, 6) AS bulge_prominence_px, round(width, 6) AS bulge_width_frames, round(width / 1.0, 6) AS bulge_width_s FROM wd""")
+def bulge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = residuals(spark, sf_dir)
+    p = T.bulge(T.widths(res, T.find_peaks(res, PROMINENCE)), RATE)
+    return p.select("track_index", "peak_i", r6("bulge_prominence_px"), r6("bulge_width_frames"), r6("bulge_width_s"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First bytes of file formats.
@@ -119,6 +120,51 @@ def image_files(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").applyInPandas(run, "path string, content binary")
 
 
+def read_blobs(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """path, name, content of the files below a folder (or of one file) on any file system Spark reads, whose names fit the pattern."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def array_files(tracks: DataFrame, least: int = 1) -> DataFrame:
+    """path, content: one .npy file of (n, 2) doubles, frame and position, for each track (track_index, i, frame, position) of at least
+    `least` points, named after the track."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < least:
+            return pd.DataFrame(columns=["path", "content"])
+        out = io.BytesIO()
+        np.save(out, pdf.sort_values("i")[["frame", "position"]].to_numpy(float))
+        return pd.DataFrame({"path": [f"{pdf['track_index'].iloc[0]}.npy"], "content": [out.getvalue()]})
+
+    return tracks.select("track_index", "i", "frame", "position").groupBy("track_index").applyInPandas(run, "path string, content binary")
+
+
+def array_tracks(files: DataFrame, order: str = "yx") -> DataFrame:
+    """path, i, frame, position of .npy files (path, content): two columns or more in 'yx' or 'xy' order, sorted stably by frame, or one
+    dimension, whose frames count from 0. Any other shape fails. Pickled objects aren't read.
+    """
+
+    def one(path: str, content: bytes) -> pd.DataFrame:
+        a = np.load(io.BytesIO(content), allow_pickle=False)
+        if a.ndim == 1:
+            frame, position = np.arange(len(a), dtype=float), a.astype(float)
+        elif a.ndim == 2 and a.shape[1] >= 2:
+            frame, position = (a[:, k].astype(float) for k in ((0, 1) if order == "yx" else (1, 0)))
+            by = np.argsort(frame, kind="stable")
+            frame, position = frame[by], position[by]
+        else:
+            raise ValueError(f"{path}: a track has one dimension or two columns, not the shape {a.shape}")
+        return pd.DataFrame({"path": path, "i": np.arange(len(frame), dtype=np.int32), "frame": frame, "position": position})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                yield one(path, bytes(content))
+
+    return files.select("path", "content").mapInPandas(run, "path string, i int, frame double, position double")
+
+
 def braced_tracks(text: Column) -> Column:
     """array<array<array<double>>> of the first balanced {{{...}}} block in a text; null if there is none."""
     start = F.instr(text, "{{{")
