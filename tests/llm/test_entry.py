@@ -10,14 +10,14 @@ import corpus_pipeline
 
 def test_names():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op6_certified_rules", "op8_url_rules"])
+@pytest.mark.parametrize("name", ["op6_certified_rules", "op8_url_rules", "op11_fill_in_middle", "op12_importance_resampling", "op13_chat_format"])
 def test_sql_twin(spark, small, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "labels"):
+    for t in ("pages", "documents", "labels", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     want = con.execute(entry.oracle_sql()[name]).fetchall()
     got = entry.queries()[name](spark, small)

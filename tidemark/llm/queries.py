@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import brown, fingerprints, line_dedup, mixing, packing, quality_model, quality_rules, repeats, simhash, url_filter
+from tidemark.llm import brown, chat, fim, fingerprints, line_dedup, mixing, packing, quality_model, quality_rules, repeats, resample, simhash, url_filter
 from tidemark.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: What both turns of the added conversation say.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +62,35 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(known.unionByName(made))
+    read = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt"))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), chat.turns_digest(F.col("turns")).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pareto_mix, op2_line_alignment, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op9_brown_scores, op10_repeated_bytes]
+    found = [op1_pareto_mix, op2_line_alignment, op3_ffd_packing, op4_bradley_terry_quality, op5_simhash_ball, op6_certified_rules, op7_canonical_digest, op8_url_rules, op9_brown_scores, op10_repeated_bytes, op11_fill_in_middle, op12_importance_resampling, op13_chat_format]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_certified_rules": op6_sql(), "op8_url_rules": OP8_SQL}
+    return {"op6_certified_rules": op6_sql(), "op8_url_rules": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_chat_format": OP13_SQL}
 
 
 def op6_sql(risk: float = 0.02, confidence: float = 0.95) -> str:
@@ -145,3 +169,80 @@ WITH parts AS (
 SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.rverdict, 'allow') AS verdict
 FROM split s LEFT JOIN fits f ON f.rid = s.rid AND f.nth = 1
 """
+
+
+#: Lines by string_split and their lengths; the outputs are cut out of the text by places, not joined from lists.
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), split AS (
+  SELECT *, string_split(t, chr(10)) AS raw FROM texts
+), lines AS (
+  SELECT *, CASE WHEN raw[-1] = '' THEN len(raw) - 1 ELSE len(raw) END::BIGINT AS n FROM split
+), cuts AS (
+  SELECT *, ('0x' || hex[1:8])::UBIGINT % (n + 1)::UBIGINT AS a, ('0x' || hex[9:16])::UBIGINT % (n + 1)::UBIGINT AS b FROM lines
+), places AS (
+  SELECT *, least(length(t), coalesce(list_sum(list_transform(raw[1:least(a, b)::BIGINT], lambda x: length(x) + 1)), 0))::BIGINT AS p,
+         least(length(t), coalesce(list_sum(list_transform(raw[1:greatest(a, b)::BIGINT], lambda x: length(x) + 1)), 0))::BIGINT AS q,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, ('0x' || hex[25:32])::UBIGINT % 100 < 50 AS spm
+  FROM cuts
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN p END AS prefix_chars, CASE WHEN NOT plain THEN q - p END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || substr(t, q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q - p)
+                   ELSE '<P>' || substr(t, 1, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM places
+"""
+
+#: DuckDB has no crc32: the table of its 256 steps is made by the rule, and bytes are folded by list_reduce, once per distinct word.
+OP12_SQL = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS k FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)
+  )
+), texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT rid, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), vocabulary AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM words UNION SELECT w FROM wanted)
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+                            lambda c, b: xor(c // 256, k[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM vocabulary, tab
+), s AS (
+  SELECT bucket, count(*) AS s FROM words JOIN hashed USING (w) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (w) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT count(*) FROM words)::DOUBLE + 10000 AS of_docs, (SELECT count(*) FROM wanted)::DOUBLE + 10000 AS of_target
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * of_docs / ((s + 1)::DOUBLE * of_target)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), totals
+), summed AS (
+  SELECT rid, count(*)::BIGINT AS n, sum(gain)::BIGINT AS g FROM words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(g / n), 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::UBIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS noise
+  FROM texts LEFT JOIN summed USING (rid)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, rid) AS nth, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_features >= 20 AND nth <= able * 10 // 100 THEN nth END::BIGINT AS rank FROM placed
+"""
+
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '{CONTROL_TEXT}'
+), beside AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) IS DISTINCT FROM role AS opens FROM turns
+), sized AS (
+  SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<turn:', ''))) // 6 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+            + (length(text) - length(replace(text, '<next>', ''))) // 6 + CASE WHEN opens THEN length('<turn:') + length(role) + 1 + length('</turn>') + 1 ELSE length('<next>') END AS chars
+  FROM beside
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
