@@ -75,7 +75,8 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    made = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     out = chat.format_conversations(known.unionByName(made))
     read = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt"))
     return read.select(
