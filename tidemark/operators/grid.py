@@ -1,19 +1,19 @@
 """Images as pixel rows (image, y, x, v): neighbourhoods, morphology, components, tiles, skeletons.
 
 Everything is keyed by image, so images are independent of each other and spread over the cluster. Neighbourhoods along an axis are
-window frames on a dense grid; others are equi-joins on shifted coordinates. Only thinning and tracing, which go pixel by pixel, run in
-Python, one image a group.
+window frames on a dense grid; others are equi-joins on shifted coordinates. Only thinning, bridging and growing, which go pixel by pixel,
+run in Python, one image a group. Tracing is in tracing.py.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from tidemark.sources.stash import stash
 
@@ -95,10 +95,27 @@ def shifted(df: DataFrame, offsets: Iterable[tuple[int, int]], how: str) -> Data
     return df.select("image", "y", "x").join(near, ["image", "y", "x"])
 
 
-def classic(df: DataFrame) -> DataFrame:
-    """Close, open, close with the 3 x 3 ellipse (a cross)."""
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """(dy, reach) of the rows of an elliptical element of size x size pixels, size odd: how far it reaches to each side."""
+    r = size // 2
+    return [(dy, round(r * math.sqrt((r * r - dy * dy) / (r * r))) if r else 0) for dy in range(-r, r + 1)]
+
+
+def ellipse_extreme(df: DataFrame, size: int, how: str) -> DataFrame:
+    """The largest or smallest value under an ellipse, of a dense grid: a sliding extreme along the row for each reach that the ellipse
+    has, then the extremes of the rows around. Two exchanges, whatever the size."""
+    f, best = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+    spans = ellipse(size)
+    row, column = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    wide = df.select("image", "y", "x", *[f("v").over(row.rowsBetween(-reach, reach)).alias(f"_r{reach}") for reach in sorted({r for _, r in spans})])
+    around = [F.col(f"_r{r}") if dy == 0 else F.lag(f"_r{r}", -dy).over(column) for dy, r in spans]
+    return wide.select("image", "y", "x", (best(*around) if len(around) > 1 else around[0]).alias("v"))
+
+
+def classic(df: DataFrame, size: int = 3) -> DataFrame:
+    """Close, open, close with an ellipse of size x size pixels (3: a cross)."""
     for how in ("max", "min", "min", "max", "max", "min"):
-        df = shifted(df, CROSS, how)
+        df = ellipse_extreme(df, size, how)
     return df
 
 
@@ -114,8 +131,8 @@ def close_along_square(df: DataFrame) -> DataFrame:
     return df
 
 
-def morphology(df: DataFrame, mode: str = "directional", kv: int = 5, kh: int = 5, bridge: bool = True) -> DataFrame:
-    return df if mode == "none" else classic(df) if mode == "classic" else directional(df, kv, kh, bridge)
+def morphology(df: DataFrame, mode: str = "directional", kv: int = 5, kh: int = 5, bridge: bool = True, size: int = 3) -> DataFrame:
+    return df if mode == "none" else classic(df, size) if mode == "classic" else directional(df, kv, kh, bridge)
 
 
 def shave_weak(mask: DataFrame, prob: DataFrame, below: float) -> DataFrame:
@@ -202,9 +219,11 @@ def blend(tiles: DataFrame, size: int) -> DataFrame:
     return tiles.groupBy("image", "y", "x").agg((F.sum(F.col("v") * w) / F.greatest(F.sum(w), F.lit(1e-6))).alias("v"))
 
 
-def auto_threshold(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
-    """image, threshold: of n thresholds from 0.05 to 0.95 the first whose coverage is nearest the middle of [low, high] percent."""
-    t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(0.05) + k * F.lit(0.9 / (n - 1)))
+def auto_threshold(df: DataFrame, low: float = 15.0, high: float = 25.0, sweep: tuple[float, float, int] = (0.12, 0.30, 19)) -> DataFrame:
+    """image, threshold: of the sweep's thresholds (first, last, how many; two at least) the first whose coverage is nearest the middle of
+    [low, high] percent."""
+    first, last, n = sweep[0], sweep[1], max(2, sweep[2])
+    t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(float(first)) + k * F.lit((last - first) / (n - 1)))
     # Each pixel adds to the thresholds it reaches: n counts per image and task before the exchange.
     size = df.groupBy("image").agg(F.count(F.lit(1)).alias("_n"))
     hit = df.select("image", "v", F.posexplode(t).alias("k", "t")).groupBy("image", "k", "t").agg(F.count_if(F.col("v") >= F.col("t")).alias("c"))
@@ -212,6 +231,44 @@ def auto_threshold(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
     return hit.join(size, "image").groupBy("image").agg(F.min_by("t", F.struct(off, F.col("k"))).alias("threshold"))
 
 
+def resize_weights(n: int, to: int, how: str) -> list[tuple[int, int, float]]:
+    """(out, at, w): how much of each of n samples goes into each of `to` new ones.
+
+    area: by the share of the new cell that a sample covers. linear: the two samples beside the new cell's middle, no smoothing.
+    bilinear: a triangle around the middle as wide as two cells of the coarser grid.
+    """
+    scale, out = n / to, []
+    for o in range(to):
+        middle = (o + 0.5) * scale
+        if how == "area":
+            w = {i: min((o + 1) * scale, i + 1) - max(o * scale, i) for i in range(math.floor(o * scale), min(n, math.ceil((o + 1) * scale)))}
+        elif how == "linear":
+            at = min(max(middle - 0.5, 0.0), n - 1.0)
+            i = min(math.floor(at), max(n - 2, 0))
+            w = {i: 1 - (at - i), min(i + 1, n - 1): at - i} if n > 1 else {0: 1.0}
+        elif how == "bilinear":
+            reach = max(scale, 1.0)
+            w = {i: max(0.0, 1 - abs(i + 0.5 - middle) / reach) for i in range(max(0, int(middle - reach + 0.5)), min(n, int(middle + reach + 0.5)))}
+        else:
+            raise ValueError(f"no such resampling: {how}")
+        total = sum(w.values())
+        out += [(o, i, x / total) for i, x in w.items() if x > 1e-12]
+    return out
+
+
+def resize(df: DataFrame, height: int, width: int, to_height: int, to_width: int, how: str = "area") -> DataFrame:
+    """Images of height x width pixels resampled to any other size: rows by a table of weights, then columns by another.
+
+    The tables have a few rows for each row and column of an image and are broadcast; a sum of rows is combined before the exchange.
+    """
+    spark = df.sparkSession
+    for axis, other, n, to in (("y", "x", height, to_height), ("x", "y", width, to_width)):
+        table = spark.createDataFrame(resize_weights(n, to, how), "out int, at int, w double")
+        met = df.join(F.broadcast(table), F.col(axis) == F.col("at"))
+        df = met.groupBy("image", other, F.col("out").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return df.select("image", "y", "x", "v")
+
+
 def thin(on: DataFrame) -> DataFrame:
     """One-pixel skeletons by two-subiteration parallel thinning; one image a group."""
 
@@ -252,10 +309,16 @@ def line(y0: int, x0: int, y1: int, x1: int) -> list[tuple[int, int]]:
             err, y0 = err + dx, y0 + sy
 
 
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def line_points(y0: pd.Series, x0: pd.Series, y1: pd.Series, x1: pd.Series) -> pd.Series:
-    """The points of `line` as [y, x] pairs."""
-    return pd.Series([[list(p) for p in line(*ends)] for ends in zip(y0.tolist(), x0.tolist(), y1.tolist(), x1.tolist(), strict=True)])
+def line_points(y0: Column, x0: Column, y1: Column, x1: Column) -> Column:
+    """The points of `line` as [y, x] pairs: one for each step of the longer side, the other side rounded, halves to the start's side."""
+    dy, dx = F.abs(y1 - y0), F.abs(x1 - x0)
+    n = F.greatest(dy, dx)
+
+    def at(k: Column, start: Column, end: Column, side: Column) -> Column:
+        steps = F.when(n == 0, 0).otherwise(F.floor((2 * k * side + n - 1) / F.greatest(2 * n, F.lit(1))))
+        return (start + F.when(end >= start, steps).otherwise(-steps)).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), n.cast("int")), lambda k: F.array(at(k, y0, y1, dy), at(k, x0, x1, dx)))
 
 
 def _bridged(lit: np.ndarray, p: np.ndarray, max_gap: int, max_dx: int, least: float, most: int) -> np.ndarray:
@@ -300,41 +363,6 @@ def bridge_gaps(on: DataFrame, prob: DataFrame, max_gap: int = 18, max_dx: int =
     return thin(marked.groupBy("image").applyInPandas(run, "image long, y int, x int"))
 
 
-def trace(on: DataFrame, least_points: int = 3) -> DataFrame:
-    """image, track, i, y, x: walks along skeletons.
-
-    Each walk starts at an end (then at any pixel that is left), goes straight on where it can, uses every edge once and leaves the
-    pixels it has visited to no other walk.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(int(y), int(x)) for y, x in zip(pdf["y"], pdf["x"], strict=True)}
-        rows = []
-        track = 0
-        while left:
-            degree = {q: sum((q[0] + a, q[1] + b) in left for a, b in EIGHT) for q in left}
-            start = min((q for q in left if degree[q] == 1), default=min(left))
-            path, step, here = [start], (1, 0), start
-            seen = {start}
-            while True:
-                options = [(a, b) for a, b in EIGHT if (here[0] + a, here[1] + b) in left and (here[0] + a, here[1] + b) not in seen]
-                if not options:
-                    break
-                step = max(options, key=lambda m: ((m[0] * step[0] + m[1] * step[1]) / (m[0] ** 2 + m[1] ** 2) ** 0.5, m))  # noqa: B023
-                here = (here[0] + step[0], here[1] + step[1])
-                seen.add(here)
-                path.append(here)
-            left -= seen
-            if len(path) >= least_points:
-                rows += [(track, i, y, x) for i, (y, x) in enumerate(path)]
-                track += 1
-        out = pd.DataFrame(rows, columns=["track", "i", "y", "x"])
-        out.insert(0, "image", pdf["image"].iloc[0])
-        return out
-
-    return on.select("image", "y", "x").groupBy("image").applyInPandas(run, "image long, track int, i int, y int, x int")
-
-
 def overlaps(points: DataFrame) -> DataFrame:
     """a, b, shared, overlap, mean_dx of tracks (image, track, y, x) that share rows: shared rows over those of the shorter track."""
     size = points.groupBy("image", "track").agg(F.count(F.lit(1)).alias("n"))
@@ -365,27 +393,6 @@ def greedy_dedupe(tracks: DataFrame, pairs: DataFrame, overlap: float, dx: float
     return rows.groupBy("image").applyInPandas(run, "image long, track long, score double, n long")
 
 
-def merge_chains(ends: DataFrame, max_gap: int, max_dx: float) -> DataFrame:
-    """image, track, chain: a track's end meets the nearest start that follows within max_gap rows and max_dx, each used once.
-
-    ends has image, track, y0, x0 (start) and y1, x1 (end).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "track"]).reset_index(drop=True)
-        chain = {t: t for t in pdf["track"]}
-        used: set[int] = set()
-        for a in pdf.itertuples():
-            fits = [(b.y0 - a.y1, abs(b.x0 - a.x1), b.track) for b in pdf.itertuples() if b.track != a.track and b.track not in used and 0 < b.y0 - a.y1 <= max_gap and abs(b.x0 - a.x1) <= max_dx]
-            if fits:
-                t = min(fits)[2]
-                used.add(t)
-                chain[t] = chain[a.track]
-        return pd.DataFrame({"image": pdf["image"], "track": pdf["track"], "chain": [chain[t] for t in pdf["track"]]})
-
-    return ends.groupBy("image").applyInPandas(run, "image long, track long, chain long")
-
-
 def gap_candidates(ends: DataFrame, max_gap: int, max_dx: float) -> DataFrame:
     """Pairs of an end and a start below it: a band join on rows, dealt by bands of max_gap rows."""
     a = ends.select("image", F.col("track").alias("a"), "y1", "x1", F.explode(F.array(F.floor(F.col("y1") / max_gap), F.floor(F.col("y1") / max_gap) + 1)).alias("band"))

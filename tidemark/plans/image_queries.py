@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import grid as G
 from tidemark.operators import kernels as K
+from tidemark.operators import patterns as P
+from tidemark.operators import tracing as R
 from tidemark.plans.registry import query, r6, table
+from tidemark.sources.stash import stash
 
 IMG = "WITH e AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings), img AS (SELECT CAST(vec_id // 50 AS BIGINT) AS image, CAST(vec_id % 50 AS INTEGER) AS y, CAST(k AS INTEGER) AS x, CAST(embedding[k + 1] AS DOUBLE) * 100.0 AS v FROM e)"
 UNIT = IMG + ", top AS (SELECT image, max(v) AS m FROM img GROUP BY 1), unit AS (SELECT image, y, x, least(1.0, greatest(0.0, v / m)) AS v FROM img JOIN top USING (image))"
 ON = IMG + ", lit AS (SELECT image, y, x FROM img WHERE v >= 12)"
+#: Tracks over an image: one per array of 25, over 31 rows that begin at a multiple of three.
+TRK = "WITH e AS (SELECT vec_id, embedding, unnest(range(31)) AS k FROM embeddings), trk AS (SELECT CAST(vec_id // 25 AS BIGINT) AS image, CAST(vec_id % 25 AS BIGINT) AS track, CAST(k + (vec_id % 7) * 3 AS INTEGER) AS y, CAST(round(CAST(embedding[k + 1] AS DOUBLE) * 20) + vec_id % 5 AS INTEGER) AS x FROM e)"
 MOVES = ", mv AS (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(dy, dx))"
 
 
@@ -196,6 +201,25 @@ def classic(spark: SparkSession, d: str) -> DataFrame:
     return pixels(G.morphology(images(spark, d), "classic"))
 
 
+def ellipse_sql(name: str, source: str, how: str, spans: dict[int, int]) -> str:
+    cells = ", ".join(f"({dy}, {dx})" for dy, reach in spans.items() for dx in range(-reach, reach + 1))
+    return f", {name} AS (SELECT image, y, x, {how}(v) AS v FROM (SELECT image, y + dy AS y, x + dx AS x, v FROM {source}, (VALUES {cells}) t(dy, dx)) WHERE y BETWEEN 0 AND 49 AND x BETWEEN 0 AND 63 GROUP BY 1, 2, 3)"
+
+
+def classic_sql(spans: dict[int, int]) -> str:
+    return IMG + "".join(ellipse_sql(f"c{k + 1}", f"c{k}" if k else "img", how, spans) for k, how in enumerate(("max", "min", "min", "max", "max", "min"))) + PIX + "c6"
+
+
+@query("i9_classic_morphology_5", classic_sql({-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}))
+def classic_5(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(G.classic(images(spark, d), 5))
+
+
+@query("i9_classic_morphology_7", classic_sql({-3: 0, -2: 2, -1: 3, 0: 3, 1: 3, 2: 2, 3: 0}))
+def classic_7(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(G.morphology(images(spark, d), "classic", size=7))
+
+
 @query("i11_weak_shave", IMG + ", mk AS (SELECT image, y, x, CASE WHEN v >= 5 AND v < 10 THEN 1.0 ELSE 0.0 END AS v FROM img)" + frame_sql("s1", "mk", "y", 1, 1, "min") + frame_sql("s2", "s1", "y", 1, 1, "max") + frame_sql("s3", "s2", "x", 1, 1, "min") + frame_sql("s4", "s3", "x", 1, 1, "max") + " SELECT image, y, x, CASE WHEN img.v >= 10 THEN 1.0 ELSE s4.v END AS v FROM s4 JOIN img USING (image, y, x)")
 def weak_shave(spark: SparkSession, d: str) -> DataFrame:
     img = images(spark, d)
@@ -268,7 +292,93 @@ def bridging(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i23_graph_walk")
 def graph_walk(spark: SparkSession, d: str) -> DataFrame:
-    return G.trace(G.thin(lit(spark, d, 6.0)))
+    """Tracks through crossings: each step between pixels of the skeleton in one track, crossings in several."""
+    return R.trace(G.thin(lit(spark, d, 6.0)))
+
+
+@query("i23_harvest")
+def harvest(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of eight points or more, round by round."""
+    return R.harvest(G.thin(lit(spark, d, 6.0)), 8)
+
+
+#: Steps between set pixels, each once: to the right, or to the row below; diagonal ones only where no set pixel lies beside both.
+STEPS_SQL = """, st AS (SELECT a.image, a.y, a.x, b.y AS ny, b.x AS nx FROM lit a JOIN (VALUES (0,1),(1,-1),(1,0),(1,1)) m(dy, dx) ON true JOIN lit b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx
+WHERE dy = 0 OR dx = 0 OR NOT EXISTS (SELECT 1 FROM lit c WHERE c.image = a.image AND ((c.y = a.y AND c.x = b.x) OR (c.y = b.y AND c.x = a.x))))"""
+
+
+@query("n14_visited_steps", ON + STEPS_SQL + " SELECT image, y, x, ny, nx, CAST(1 AS BIGINT) AS times FROM st")
+def visited_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How often tracks take each step, in either direction."""
+    t = stash(R.trace(lit(spark, d), 2), "n14-tracks")
+    to = t.select("image", "track", (F.col("i") - 1).alias("i"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    # Circles are closed by the step back to their first pixel.
+    ends = t.groupBy("image", "track").agg(F.max_by(F.struct("y", "x"), "i").alias("e"), F.min_by(F.struct("y", "x"), "i").alias("s"), F.max("i").alias("n"))
+    met = t.join(to, ["image", "track", "i"]).select("image", "y", "x", "y2", "x2")
+    apart = lambda c: F.abs(F.col(f"e.{c}") - F.col(f"s.{c}"))
+    open_steps = R.open_steps(lit(spark, d)).select("image", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("ny").alias("_ny"), F.col("nx").alias("_nx"))
+    close = ends.where((F.col("n") > 1) & (apart("y") <= 1) & (apart("x") <= 1)).select("image", F.col("e.y").alias("y"), F.col("e.x").alias("x"), F.col("s.y").alias("y2"), F.col("s.x").alias("x2"))
+    sides = lambda p: p.select("image", F.least(F.struct("y", "x"), F.struct(F.col("y2").alias("y"), F.col("x2").alias("x"))).alias("p"), F.greatest(F.struct("y", "x"), F.struct(F.col("y2").alias("y"), F.col("x2").alias("x"))).alias("q"))
+    flat = lambda p: sides(p).select("image", "p.y", "p.x", F.col("q.y").alias("ny"), F.col("q.x").alias("nx"))
+    taken = flat(met)
+    closing = flat(close).join(taken, ["image", "y", "x", "ny", "nx"], "left_anti")
+    closing = closing.join(open_steps, (closing["image"] == open_steps["image"]) & (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x")) & (F.col("ny") == F.col("_ny")) & (F.col("nx") == F.col("_nx")), "left_semi")
+    return taken.unionByName(closing).groupBy("image", "y", "x", "ny", "nx").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("g24_branch_straightness", ON + MOVES + """, nb AS (SELECT a.image, a.y, a.x, row_number() OVER (PARTITION BY a.image, a.y, a.x ORDER BY dy, dx) - 1 AS nth, dy, dx, count(*) OVER (PARTITION BY a.image, a.y, a.x) AS degree FROM lit a JOIN mv ON true JOIN lit b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx),
+best AS (SELECT c.image, c.y, c.x, c.dy AS cy, c.dx AS cx, g.dy AS gy, g.dx AS gx, row_number() OVER (PARTITION BY c.image, c.y, c.x, c.dy, c.dx ORDER BY c.dy * g.dy + c.dx * g.dx, g.nth) AS place FROM nb c JOIN nb g ON g.image = c.image AND g.y = c.y AND g.x = c.x AND g.nth <> c.nth WHERE c.degree >= 3)
+SELECT image, y, x, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx FROM best WHERE place = 1""")
+def branch_straightness(spark: SparkSession, d: str) -> DataFrame:
+    """At each junction, for each neighbour that a track may come from, the neighbour that goes straightest on."""
+    step = lambda k, i: F.element_at(F.array(*[F.lit(s[i]) for s in R.STEPS]), F.col(k) + 1)
+    return R.straightest(lit(spark, d)).select("image", "y", "x", step("came", 0).alias("cy"), step("came", 1).alias("cx"), step("goes", 0).alias("gy"), step("goes", 1).alias("gx"))
+
+
+CROP_SQL = IMG + """, spot AS (SELECT image, y, x FROM img WHERE v >= 30), win AS (SELECT image, y, x, dy, dx FROM spot, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-5, 6)) AS dx))
+SELECT w.image, w.y, w.x, CAST((dy + 3) * 11 + dx + 5 AS INTEGER) AS k, round(coalesce(i.v, 0), 6) AS v FROM win w LEFT JOIN img i ON i.image = w.image AND i.y = w.y + dy AND i.x = w.x + dx"""
+
+
+@query("i21_crops", CROP_SQL)
+def crops(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 7 x 11 pixels around bright pixels, zeros outside the image: the input of a decision function."""
+    img = stash(images(spark, d), "crop-images")
+    at = img.where("v >= 30").select("image", "y", "x")
+    return R.crops(at, img, 3, 5).select("image", "y", "x", F.posexplode("crop").alias("k", "_v")).select("image", "y", "x", "k", r6("_v", "v"))
+
+
+@query("i21_path_mask", TRK + " SELECT DISTINCT image, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM trk, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE track = 3 AND (abs(dy) < 2 OR dx = 0) AND y + dy BETWEEN 0 AND 49 AND x + dx BETWEEN 0 AND 63")
+def path_mask(spark: SparkSession, d: str) -> DataFrame:
+    """The corridor of two pixels around one track of each image."""
+    return R.path_mask(points(spark, d).where("track = 3"), 2, 50, 64)
+
+
+@query("i29_smooth_sides", ON + """, cand AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM lit, (VALUES (-1,0),(1,0),(0,-1),(0,1)) m(dy, dx)), sides AS (SELECT c.image, c.y, c.x, count(*) AS n FROM cand c JOIN (VALUES (-1,0),(1,0),(0,-1),(0,1)) m(dy, dx) ON true JOIN lit l ON l.image = c.image AND l.y = c.y + dy AND l.x = c.x + dx GROUP BY 1, 2, 3)
+SELECT image, y, x FROM lit UNION SELECT image, CAST(y AS INTEGER), CAST(x AS INTEGER) FROM sides WHERE n >= 3""")
+def smooth_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps with three of four sides set are filled."""
+    return P.smooth_sides(lit(spark, d))
+
+
+HALF = "((s.n AND s.ne AND s.e AND s.se AND s.s) OR (s.nw AND s.n AND s.ne AND s.w AND s.e) OR (s.n AND s.nw AND s.w AND s.sw AND s.s) OR (s.w AND s.e AND s.sw AND s.s AND s.se))"
+
+
+@query("i29_smooth_halves", IMG + ", b AS (SELECT image, y, x, v >= 12 AS o FROM img), r AS (SELECT *, coalesce(lag(o) OVER w, false) AS w_, coalesce(lead(o) OVER w, false) AS e_ FROM b WINDOW w AS (PARTITION BY image, y ORDER BY x)), s AS (SELECT image, y, x, o, w_ AS w, e_ AS e, coalesce(lag(o) OVER c, false) AS n, coalesce(lag(w_) OVER c, false) AS nw, coalesce(lag(e_) OVER c, false) AS ne, "
+       "coalesce(lead(o) OVER c, false) AS s, coalesce(lead(w_) OVER c, false) AS sw, coalesce(lead(e_) OVER c, false) AS se FROM r WINDOW c AS (PARTITION BY image, x ORDER BY y)) SELECT image, y, x FROM s WHERE CASE WHEN o THEN NOT " + HALF.replace("s.", "NOT s.") + " ELSE " + HALF + " END")
+def smooth_halves(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps with a full half around them are filled, pixels with an empty half around them go."""
+    return P.smooth_halves(lit(spark, d))
+
+
+@query("i29_chew_ends")
+def chew_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Horizontal ends taken off until none is left."""
+    return P.chew_ends(lit(spark, d))
+
+
+@query("i30_one_way_tracks")
+def one_way_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return P.one_way_tracks(images(spark, d), 6.0)
 
 
 @query("e10_mask_coverage", IMG + " SELECT image, round(100.0 * count(CASE WHEN v >= 12 THEN 1 END) / count(*), 6) AS coverage FROM img GROUP BY 1")
@@ -276,9 +386,15 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return images(spark, d).groupBy("image").agg(r6(100 * F.count_if(F.col("v") >= 12) / F.count(F.lit(1)), "coverage"))
 
 
-@query("e11_auto_threshold", UNIT + ", th AS (SELECT k, 0.05 + k * (0.9 / 18) AS t FROM (SELECT unnest(range(19)) AS k)), c AS (SELECT image, k, t, round(abs(100.0 * count(CASE WHEN v >= t THEN 1 END) / count(*) - 10.0), 9) AS off FROM unit, th GROUP BY 1, 2, 3) SELECT image, round(t, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY off, k) AS n FROM c) WHERE n = 1")
+@query("e11_auto_threshold", UNIT + ", th AS (SELECT k, 0.12 + k * (0.18 / 18) AS t FROM (SELECT unnest(range(19)) AS k)), c AS (SELECT image, k, t, round(abs(100.0 * count(CASE WHEN v >= t THEN 1 END) / count(*) - 20.0), 9) AS off FROM unit, th GROUP BY 1, 2, 3) SELECT image, round(t, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY off, k) AS n FROM c) WHERE n = 1")
 def auto_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return G.auto_threshold(unit(spark, d), 5, 15, 19).select("image", r6("threshold"))
+    return G.auto_threshold(unit(spark, d), 15, 25, (0.12, 0.30, 19)).select("image", r6("threshold"))
+
+
+@query("e11_auto_threshold_sweep", UNIT + ", th AS (SELECT k, 0.3 + k * (0.6 / 6) AS t FROM (SELECT unnest(range(7)) AS k)), c AS (SELECT image, k, t, round(abs(100.0 * count(CASE WHEN v >= t THEN 1 END) / count(*) - 5.0), 9) AS off FROM unit, th GROUP BY 1, 2, 3) SELECT image, round(t, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY off, k) AS n FROM c) WHERE n = 1")
+def auto_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Another sweep and target."""
+    return G.auto_threshold(unit(spark, d), 2, 8, (0.3, 0.9, 7)).select("image", r6("threshold"))
 
 
 @query("e13_bounding_box", ON + " SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lit GROUP BY 1")
@@ -317,8 +433,6 @@ def polarity_test(spark: SparkSession, d: str) -> DataFrame:
     return unit(spark, d).groupBy("image").agg((F.count_if(F.col("v") >= 0.5) > F.count_if(1 - F.col("v") >= 0.5)).alias("inverted"))
 
 
-#: Tracks over an image: one per array of 25, over 31 rows that begin at a multiple of three.
-TRK = "WITH e AS (SELECT vec_id, embedding, unnest(range(31)) AS k FROM embeddings), trk AS (SELECT CAST(vec_id // 25 AS BIGINT) AS image, CAST(vec_id % 25 AS BIGINT) AS track, CAST(k + (vec_id % 7) * 3 AS INTEGER) AS y, CAST(round(CAST(embedding[k + 1] AS DOUBLE) * 20) + vec_id % 5 AS INTEGER) AS x FROM e)"
 OVER = TRK + ", pr AS (SELECT a.image, a.track AS a, b.track AS b, count(*) AS shared, round(count(*) / 31.0, 6) AS overlap, round(avg(abs(a.x - b.x)), 6) AS mean_dx FROM trk a JOIN trk b ON a.image = b.image AND a.y = b.y AND a.track < b.track GROUP BY 1, 2, 3)"
 
 
@@ -363,7 +477,10 @@ def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d3_end_start_merge")
 def end_start_merge(spark: SparkSession, d: str) -> DataFrame:
-    return G.merge_chains(track_ends(spark, d), 4, 2)
+    """Pieces joined to the piece that follows, where the bridge between them is probable enough."""
+    limits = stash(G.track_limits(pieces(spark, d)), "d3-limits")
+    chains = G.chained(G.bridges(limits, unit(spark, d), 6, 4, 0.10))
+    return limits.select("image", "track").join(chains, ["image", "track"], "left").select("image", "track", F.coalesce("chain", "track").alias("chain"))
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -132,7 +132,35 @@ def area_resize(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(r6(F.avg("v"), "v"))
 
 
-@query("i19_line_points")
+AREA = "ax AS (SELECT o, i, greatest(0.0, least((o + 1) * s, i + 1) - greatest(o * s, i)) / s AS w FROM (SELECT unnest(range({to})) AS o), (SELECT unnest(range({n})) AS i), (SELECT {n} / {to}.0 AS s))"
+LINEAR = "ax AS (SELECT o, i, greatest(0.0, 1 - abs(least(greatest((o + 0.5) * s - 0.5, 0), {n} - 1) - i)) AS w FROM (SELECT unnest(range({to})) AS o), (SELECT unnest(range({n})) AS i), (SELECT {n} / {to}.0 AS s))"
+BILINEAR = "ax AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, greatest(0.0, 1 - abs(i + 0.5 - (o + 0.5) * s) / greatest(s, 1)) AS w FROM (SELECT unnest(range({to})) AS o), (SELECT unnest(range({n})) AS i), (SELECT {n} / {to}.0 AS s)))"
+
+
+def resize_sql(kind: str, to_height: int, to_width: int) -> str:
+    ys, xs = (kind.replace("ax AS", f"{a} AS").format(n=n, to=to) for a, n, to in (("wy", 50, to_height), ("wx", 64, to_width)))
+    return image_queries.IMG + f", {ys}, {xs} SELECT image, CAST(wy.o AS INTEGER) AS y, CAST(wx.o AS INTEGER) AS x, round(sum(v * wy.w * wx.w), 6) AS v FROM img JOIN wy ON wy.i = img.y AND wy.w > 0 JOIN wx ON wx.i = img.x AND wx.w > 0 GROUP BY 1, 2, 3"
+
+
+@query("i4_resize_area", resize_sql(AREA, 37, 41))
+def resize_area(spark: SparkSession, d: str) -> DataFrame:
+    """By no whole factor."""
+    return image_queries.pixels(G.resize(image_queries.images(spark, d), 50, 64, 37, 41, "area"))
+
+
+@query("i4_resize_linear", resize_sql(LINEAR, 73, 41))
+def resize_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Larger one way, smaller the other."""
+    return image_queries.pixels(G.resize(image_queries.images(spark, d), 50, 64, 73, 41, "linear"))
+
+
+@query("i4_resize_bilinear", resize_sql(BILINEAR, 21, 90))
+def resize_bilinear(spark: SparkSession, d: str) -> DataFrame:
+    return image_queries.pixels(G.resize(image_queries.images(spark, d), 50, 64, 21, 90, "bilinear"))
+
+
+@query("i19_line_points", "WITH e AS (SELECT p_partkey, CAST(p_partkey % 13 AS INTEGER) AS y0, CAST(p_size AS INTEGER) AS y1, 0 AS x0, CAST(p_partkey % 7 AS INTEGER) AS x1 FROM part), n AS (SELECT *, greatest(abs(y1 - y0), abs(x1 - x0)) AS n FROM e), k AS (SELECT *, unnest(range(n + 1)) AS i FROM n) "
+       "SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(CASE WHEN n = 0 THEN y0 ELSE y0 + sign(y1 - y0) * ceil(i * abs(y1 - y0) / CAST(n AS DOUBLE) - 0.5) END AS INTEGER) AS y, CAST(CASE WHEN n = 0 THEN x0 ELSE x0 + sign(x1 - x0) * ceil(i * abs(x1 - x0) / CAST(n AS DOUBLE) - 0.5) END AS INTEGER) AS x FROM k")
 def line_points(spark: SparkSession, d: str) -> DataFrame:
     """Integer lines between each part's two points, as a table function would give them."""
     ends = (F.col("p_partkey") % 13).cast("int"), F.lit(0), F.col("p_size").cast("int"), (F.col("p_partkey") % 7).cast("int")
