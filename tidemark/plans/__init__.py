@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import image_queries, kernel_queries, registry, source_queries, store_queries, stream_queries, track_queries
+from tidemark.plans import image_queries, kernel_queries, registry, run_queries, source_queries, store_queries, stream_queries, track_queries
 
-__all__ = ["image_queries", "kernel_queries", "oracle_sql", "queries", "source_queries", "store_queries", "stream_queries", "track_queries"]
+__all__ = ["image_queries", "kernel_queries", "oracle_sql", "queries", "run_queries", "source_queries", "store_queries", "stream_queries", "track_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

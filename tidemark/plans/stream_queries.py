@@ -46,6 +46,19 @@ def progress_merge(spark: SparkSession, d: str) -> DataFrame:
     return E.progress(batch(spark, d)).select("job_id", F.array_join(entries, ",").alias("progress"))
 
 
+@query("k6_progress_stream", "SELECT job_id, string_agg(type || '=' || CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY type) AS progress FROM (SELECT user_id AS job_id, event_type AS type, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
+def progress_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge, kept as state of a stream."""
+    merged = E.newest(E.drain(E.progress_stream(E.event_stream(spark, d)), "progress", mode="update"), ["job_id"])
+    entries = F.transform(F.array_sort(F.map_entries("progress")), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 1000).cast("long").cast("string")))
+    return merged.select("job_id", F.array_join(entries, ",").alias("progress"))
+
+
+@query("k8_progress_stream")
+def progress_cadence_stream(spark: SparkSession, d: str) -> DataFrame:
+    return E.drain(E.paced_stream(E.event_stream(spark, d), 3600.0), "paced", mode="update").drop("batch")
+
+
 @query("k8_progress_cadence")
 def progress_cadence(spark: SparkSession, d: str) -> DataFrame:
     return E.paced(batch(spark, d), 3600.0)

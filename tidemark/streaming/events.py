@@ -6,10 +6,14 @@ the last run ended and no result passes through the driver.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.stash import shared_dir
 
@@ -107,3 +111,62 @@ def paced(events: DataFrame, seconds: float, alpha: float = 0.2) -> DataFrame:
 
     folded = steps.select("job_id", F.aggregate("l", start, step, lambda s: s["out"]).alias("o"))
     return folded.select("job_id", F.explode("o").alias("o")).select("job_id", "o.*")
+
+
+def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A job's rows of one micro-batch by seq: a few numbers a row, and no more rows than the trigger lets in."""
+    return pd.concat([p[columns] for p in parts]).sort_values("seq", kind="stable")
+
+
+def progress_stream(events: DataFrame) -> DataFrame:
+    """job_id, seq, progress as a stream: after each micro-batch the shallow merge of all progress messages of the jobs it touched.
+
+    The state of a job is its merged map with the seq that each entry came from, so that messages which arrive late replace nothing
+    newer. Run in update mode; the newest row of a job is what `progress` gives for the whole log.
+    """
+
+    def merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {}
+        rows = _in_order(parts, ["seq", "type", "value"])
+        for seq, kind, value in zip(rows["seq"].tolist(), rows["type"].tolist(), rows["value"].tolist(), strict=True):
+            if seq >= known.get(kind, [seq])[0]:
+                known[kind] = [seq, value]
+        state.update((json.dumps(known),))
+        yield pd.DataFrame({"job_id": [key[0]], "seq": [max(s for s, _ in known.values())], "progress": [{k: v for k, (_, v) in sorted(known.items())}]})
+
+    return events.groupBy("job_id").applyInPandasWithState(merge, "job_id long, seq long, progress map<string,double>", "known string", "update", GroupStateTimeout.NoTimeout)
+
+
+def paced_stream(events: DataFrame, seconds: float, alpha: float = 0.2, idle: str | None = None) -> DataFrame:
+    """job_id, seq, done, rate as a stream: what `paced` gives, however the log is cut into micro-batches, as long as a job's events come
+    in the order of seq.
+
+    A job's state is four numbers: events so far, time and number of events at the last report, smoothed rate. With idle (such as
+    '1 day') the state of a job is dropped once other events are newer than its last one by so much, and events that come later than
+    that are left out; else all are kept for ever.
+    """
+
+    def pace(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last, at, rate = state.get if state.exists else (0, None, 0, None)
+        rows, out = _in_order(parts, ["seq", "t"]), []
+        for seq, t in zip(rows["seq"].tolist(), rows["t"].tolist(), strict=True):
+            n += 1
+            if last is None:
+                last, at = t, n
+            elif t - last >= seconds:
+                now = (n - at) / (t - last)
+                rate = now if rate is None else alpha * now + (1 - alpha) * rate
+                last, at = t, n
+                out.append((key[0], seq, n, rate))
+        state.update((n, last, at, rate))
+        if idle:
+            state.setTimeoutTimestamp(max(int(1000 * rows["t"].max()), state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "seq", "done", "rate"])
+
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    timed = (events.withWatermark("ts", idle) if idle else events).withColumn("t", F.col("ts").cast("double"))
+    return timed.groupBy("job_id").applyInPandasWithState(pace, "job_id long, seq long, done int, rate double", "n long, t double, at long, rate double", "update", timeout)
