@@ -236,3 +236,24 @@ def test_no_nested_loops(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = plans.queries()["h5_track_detail"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(vec_id,7)" in plan
+
+
+def test_polynomials_of_any_degree(spark):
+    rng = np.random.default_rng(8)
+    made = {k: (np.sort(rng.choice(np.arange(400.0), n, replace=False)), rng.normal(size=n) * 50) for k, n in enumerate((1, 2, 3, 6, 40, 200))}
+    rows = [(k, i, float(x), float(y)) for k, (xs, ys) in made.items() for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    df = spark.createDataFrame(rows, "track_index long, i int, frame double, position double")
+    for degree in (0, 1, 2, 5, 9):
+        got = {}
+        for r in tracks.detrend_polynomial(df, degree).orderBy("track_index", "i").collect():
+            got.setdefault(r["track_index"], []).append(r["baseline"])
+        for k, (xs, ys) in made.items():
+            fit = np.polynomial.Polynomial.fit(xs, ys, degree)(xs) if len(xs) > degree else ys
+            assert np.allclose(got[k], fit, atol=1e-8 * max(1, np.abs(ys).max()))
+    plan = tracks.detrend_polynomial(df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
+    gap = df.where("track_index = 4").withColumn("position", F.when(F.col("i") != 7, F.col("position")))
+    xs, ys = made[4]
+    keep = np.arange(len(xs)) != 7
+    want = np.polynomial.Polynomial.fit(xs[keep], ys[keep], 3)(xs)
+    assert np.allclose([r["baseline"] for r in tracks.detrend_polynomial(gap, 3).orderBy("i").collect()], want)

@@ -69,6 +69,32 @@ def detrend_quadratic(tracks: DataFrame) -> DataFrame:
     return t.drop("_x", "_s2", "_s3", "_s4", "_y0", "_y1", "_y2")
 
 
+def detrend_polynomial(tracks: DataFrame, degree: int) -> DataFrame:
+    """Adds baseline and residual of the least-squares polynomial of any degree.
+
+    Polynomials that are orthogonal over a track's frames come one from the two before (p_k+1 = (x - a_k) p_k - b_k p_k-1), and each adds
+    its own part of the positions, so that no equations are solved and high degrees lose no digits. Frames are first mapped to [-1, 1].
+    All sums are windows over a track: one exchange, whatever the degree. Samples without a position have a baseline but no weight; a
+    track with no more than `degree` frames is its own baseline.
+    """
+    w, names = track(), tracks.columns
+    low, high = F.min("frame").over(w), F.max("frame").over(w)
+    known = F.col("position").isNotNull() & ~F.isnan("position")
+    t = tracks.withColumn("_x", F.when(high > low, (2 * F.col("frame") - low - high) / (high - low)).otherwise(0.0)).withColumn("_y", F.when(known, F.col("position")))
+    total = lambda c: F.sum(F.when(F.col("_y").isNotNull(), c)).over(w)
+    t = t.withColumns({"_p": F.lit(1.0), "_q": F.lit(0.0), "_before": F.lit(1.0), "_base": F.lit(0.0)})
+    for k in range(degree + 1):
+        p = F.col("_p")
+        t = t.withColumns({"_norm": total(p * p), "_a": total(F.col("_x") * p * p), "_c": total(F.col("_y") * p)})
+        # Where all frames are roots of p, what is left are rounding errors.
+        real = F.col("_norm") > 1e-18
+        t = t.withColumn("_base", F.col("_base") + F.when(real, F.col("_c") / F.col("_norm") * p).otherwise(0.0))
+        if k < degree:
+            nxt = F.when(real, (F.col("_x") - F.col("_a") / F.col("_norm")) * p - F.col("_norm") / F.col("_before") * F.col("_q") * (1.0 if k else 0.0)).otherwise(0.0)
+            t = t.withColumns({"_next": nxt}).withColumns({"_q": p, "_p": F.col("_next"), "_before": F.when(real, F.col("_norm")).otherwise(1.0)})
+    return t.select(*names, F.col("_base").alias("baseline"), (F.col("position") - F.col("_base")).alias("residual"))
+
+
 def spectrum(tracks: DataFrame, sampling_rate: float = 1.0) -> DataFrame:
     """track_index, k, frequency, magnitude: the discrete Fourier transform of the mean-free residual, up to half the rate.
 

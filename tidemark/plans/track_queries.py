@@ -190,6 +190,26 @@ def quadratic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.detrend_quadratic(tracks(spark, sf_dir)).select("track_index", "i", r6("baseline"))
 
 
+def gram_schmidt_sql(degree: int) -> str:
+    """Powers of the frame made orthogonal to all before them, one window each."""
+    ctes = ["c0 AS (SELECT *, (2 * frame - min(frame) OVER w - max(frame) OVER w) / (max(frame) OVER w - min(frame) OVER w) AS x, 1.0::DOUBLE AS p0 FROM tr WINDOW w AS (PARTITION BY track_index))"]
+    for k in range(1, degree + 1):
+        taken = " - ".join([f"power(x, {k})", *[f"sum(power(x, {k}) * p{j}) OVER w / sum(p{j} * p{j}) OVER w * p{j}" for j in range(k)]])
+        ctes.append(f"c{k} AS (SELECT *, {taken} AS p{k} FROM c{k - 1} WINDOW w AS (PARTITION BY track_index))")
+    base = " + ".join(f"sum(position * p{k}) OVER w / sum(p{k} * p{k}) OVER w * p{k}" for k in range(degree + 1))
+    return TR + ", " + ", ".join(ctes) + f" SELECT track_index, i, round({base}, 6) AS baseline FROM c{degree} WINDOW w AS (PARTITION BY track_index)"
+
+
+@query("g1_polynomial_baseline_3", gram_schmidt_sql(3))
+def cubic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.detrend_polynomial(tracks(spark, sf_dir), 3).select("track_index", "i", r6("baseline"))
+
+
+@query("g1_polynomial_baseline_5", gram_schmidt_sql(5))
+def quintic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.detrend_polynomial(tracks(spark, sf_dir), 5).select("track_index", "i", r6("baseline"))
+
+
 @query("g9_spectrum_table", SPEC + " SELECT track_index, k, frequency, round(magnitude, 6) AS magnitude FROM spec")
 def spectrum_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.spectrum(residuals(spark, sf_dir)).select("track_index", "k", "frequency", r6("magnitude"))
