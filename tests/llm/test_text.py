@@ -437,30 +437,83 @@ def test_lines_of_later_documents_go(spark):
     assert whole.columns == df.columns and all(r["removed"] == "clash" and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in whole.collect())
 
 
-def test_blocks_of_another_order_or_document_go(spark):
+def removed_lines(spark, rows, **how):
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
+    return {r["doc_id"]: r["removed"] for r in got}
+
+
+def test_moved_blocks_stay(spark):
+    """A filter of lines seen before would empty documents 1 to 3; an alignment keeps one order."""
+    line = lambda k: " ".join(f"o{k}x{j}" for j in range(7))
+    p, q = [line(k) for k in range(4)], [line(k) for k in range(10, 13)]
+    rows = [(0, "\n".join([*p, *q])), (1, "\n".join([*q, *p])), (2, "\n".join([*q, *p, line(20)])), (3, "\n".join([*p, *p]))]
+    one = removed_lines(spark, rows, rounds=1)
+    assert one == {0: [], 1: [3, 4, 5, 6], 2: [3, 4, 5, 6], 3: [0, 1, 2, 3]}
+    # The block that stays in 2 is aligned with the next document that has it. The repeated block of 3 finds a second holder too.
+    assert removed_lines(spark, rows) == {0: [], 1: [3, 4, 5, 6], 2: [0, 1, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4, 5, 6, 7]}
+    assert shared_blocks(rows)[1] == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_runs_of_short_lines(spark):
+    """Each line stands in another document, but only 6 has them together."""
     line = lambda k: " ".join(f"o{k}x{j}" for j in range(7))
-    p, q = [line(k) for k in range(3)], [line(k) for k in range(10, 13)]
-    rows = [(0, [*p, *q]), (1, [*q, *p]), (2, [*q, *p, line(20)])]
-    # Runs of short lines, each line of which another document has first; only 6 has them together.
-    rows += [(3, [line(30), "aa bb"]), (4, ["cc dd", line(31)]), (5, [line(32), "ee"]), (6, [line(33), "aa bb", "", "cc dd", "ee"]), (7, ["aa bb", "cc dd", "ee", line(34)]), (8, ["cc dd", "aa bb", "ee", line(35)])]
-    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")).collect()}
-    assert got == {0: [], 1: [0, 1, 2, 3, 4, 5], 2: [0, 1, 2, 3, 4, 5], 3: [], 4: [], 5: [], 6: [], 7: [0, 1, 2], 8: []}
+    rows = [(3, [line(30), "aa bb"]), (4, ["cc dd", line(31)]), (5, [line(32), "ee"]), (6, [line(33), "aa bb", "", "cc dd", "ee"]), (7, ["aa bb", "cc dd", "ee", line(34)]), (8, ["cc dd", "aa bb", "ee", line(35)])]
+    assert removed_lines(spark, [(i, "\n".join(x)) for i, x in rows]) == {3: [], 4: [], 5: [], 6: [], 7: [0, 1, 2], 8: []}
+
+
+def runs_of(text, least=5):
+    """Places of lines with words, and (start, stop, lines) of the shortest runs from each line on and up to each line."""
+    lines = [(k, x.strip()) for k, x in enumerate((text or "").split("\n")) if x.split()]
+    size, found = [len(x.split()) for _, x in lines], set()
+    for k in range(len(lines)):
+        on = next((e for e in range(k, len(lines)) if sum(size[k : e + 1]) >= least), None)
+        back = next((e for e in range(k, -1, -1) if sum(size[e : k + 1]) >= least), None)
+        found |= ({(k, on)} if on is not None else set()) | ({(back, k)} if back is not None else set())
+    return [k for k, _ in lines], sorted((a, b, tuple(x for _, x in lines[a : b + 1])) for a, b in found)
 
 
 def shared_blocks(rows, least=5):
-    """Plain version: the lines of each document within runs of at least so many words that stand in an earlier one."""
+    """What a filter of runs seen before removes, in any order."""
     found, seen = {}, set()
     for i, text in rows:
-        lines = [(k, x.strip()) for k, x in enumerate((text or "").split("\n")) if x.split()]
-        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, min(a + 6, len(lines)) + 1) if sum(len(x.split()) for _, x in lines[a:b]) >= least]
-        named = {(a, b): tuple(x for _, x in lines[a:b]) for a, b in runs}
-        found[i] = sorted({lines[k][0] for (a, b), name in named.items() if name in seen for k in range(a, b)})
-        seen |= set(named.values())
+        at, runs = runs_of(text, least)
+        found[i] = sorted({at[k] for a, b, name in runs if name in seen for k in range(a, b + 1)})
+        seen |= {name for _, _, name in runs}
     return found
 
 
-def test_alignment_of_all_pairs_removes_no_more(spark):
-    """Against patience diff of the lines of every two documents, block by block: nothing that it removes is left."""
+def aligned_blocks(rows, rounds=2):
+    """Plain version: patience diff of each document with the earlier ones that its runs name, one holder after the other."""
+    known = {i: runs_of(text) for i, text in rows}
+    found = {i: set() for i in known}
+    for i, (at, runs) in known.items():
+        left = runs
+        for k in range(rounds):
+            by_holder = {}
+            for a, b, name in left:
+                holders = [j for j in sorted(known) if any(n == name for _, _, n in known[j][1])]
+                if k < len(holders) and holders[k] < i:
+                    by_holder.setdefault(holders[k], []).append((a, b, name))
+            left = []
+            for j, mine in by_holder.items():
+                names = {n for _, _, n in mine}
+                first = {}
+                for a, b, n in known[j][1]:
+                    if n in names:
+                        first.setdefault(n, (a, b))
+                theirs = sorted(names, key=lambda n: first[n])
+                matched = {y for _, y in line_dedup.patience([hash(n) for n in theirs], [hash(n) for _, _, n in mine])}
+                for y, (a, b, name) in enumerate(mine):
+                    if y in matched:
+                        found[i] |= {at[x] for x in range(a, b + 1)}
+                    else:
+                        left.append((a, b, name))
+            left.sort()
+    return {i: sorted(x) for i, x in found.items()}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_alignment_equals_plain_version(spark, rounds):
     r = np.random.default_rng(2)
     pool = [" ".join([f"w{x}"] * (1 + x % 4)) for x in range(40)]
     rows = []
@@ -471,31 +524,15 @@ def test_alignment_of_all_pairs_removes_no_more(spark):
             a, b = sorted(r.integers(0, len(old) + 1, 2).tolist())
             own[3:3] = old[a:b] if i % 3 else old[b:] + old[a:b]
         rows.append((i, "\n".join(own)))
-    want = {}
-    for j, (i, text) in enumerate(rows):
-        b, found = text.split("\n"), set()
-        for _, other in rows[:j]:
-            block, last = [], (-2, -2)
-            for m in [*line_dedup.patience([hash(x) for x in other.split("\n")], [hash(x) for x in b]), (-9, -9)]:
-                if m != (last[0] + 1, last[1] + 1):
-                    if sum(len(b[k].split()) for k in block) >= 5:
-                        found.update(block)
-                    block = []
-                block.append(m[1])
-                last = m
-        want[i] = found
-    got = {x["doc_id"]: set(x["removed"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(want[i] <= got[i] for i in want) and sum(map(len, want.values())) > 150
-    assert {i: sorted(x) for i, x in got.items()} == shared_blocks(rows)
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=20), st.lists(st.integers(0, 6), max_size=20))
-def test_alignments_match_all_that_is_common(a, b):
-    parts = line_dedup.aligned(a, b)
-    assert sorted(j for p in parts for _, j in p) == [j for j, x in enumerate(b) if x in a]
-    assert all(a[i] == b[j] for p in parts for i, j in p)
-    assert all(x[1] < y[1] and x[0] <= y[0] for p in parts for x, y in zip(p, p[1:], strict=False))
+    got, want, all_seen = removed_lines(spark, rows, rounds=rounds), aligned_blocks(rows, rounds), shared_blocks(rows)
+    assert got == want and sum(map(len, got.values())) > 150
+    assert all(set(got[i]) <= set(all_seen[i]) for i in got) and got != all_seen
+
+
+def test_crowded_runs_equal_plain_version(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, "\n".join(" ".join([f"w{x}"] * (1 + x % 4)) for x in r.integers(0, 12, 9).tolist())) for i in range(120)]
+    assert removed_lines(spark, rows) == aligned_blocks(rows)
 
 
 def test_hot_lines(spark, monkeypatch):
@@ -509,13 +546,6 @@ def test_hot_lines(spark, monkeypatch):
     assert Counter(map(str, line_dedup.dedup_lines(df).collect())) == want
 
 
-def test_no_block_is_left(spark):
-    r = np.random.default_rng(11)
-    rows = [(i, "\n".join(" ".join([f"w{x}"] * (1 + x % 4)) for x in r.integers(0, 12, 9).tolist())) for i in range(120)]
-    got = {x["doc_id"]: x["removed"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == shared_blocks(rows)
-
-
 def test_removed_lines_stand_earlier(spark, docs, none, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     rows = {r["doc_id"]: (r["text"] or "").split("\n") for r in d.collect()}
