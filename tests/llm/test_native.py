@@ -214,3 +214,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("1 = 0"), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.where("1 = 0")).collect()} == {"allow"}
     assert len(CLASHING) > 3
+
+
+def test_very_long_hosts(spark):
+    """A host brings as many expressions as the rules have numbers of labels, whatever its own."""
+    import time
+
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    urls = ["http://" + "a." * 100_000 + "com/en/x", "http://" + "." * 50_000 + "net/de/", "http://..com/en/", "http://com./en/", "http://.com/en/", "http://x.example.com/en/7", "http://" + "b" * 300_000 + "/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = Counter((i, *judged(u)) for i, u in enumerate(urls))
+    url_filter.judge_urls(pages.limit(1), rules).collect()
+    began = time.time()
+    assert Counter(tuple(r) for r in url_filter.judge_urls(pages, rules).collect()) == want
+    assert time.time() - began < 10
