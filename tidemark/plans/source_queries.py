@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import runs
 from tidemark.operators import grid as G
 from tidemark.operators import tracks as T
 from tidemark.plans import image_queries, track_queries
@@ -103,6 +104,77 @@ def track_arrays(spark: SparkSession, d: str) -> DataFrame:
     return t.where(F.size("points") >= 60).select("track_index", F.size("points").cast("long").alias("points"))
 
 
+def overlays(spark: SparkSession, d: str) -> DataFrame:
+    out = runs.overlays(*W.analysed(spark, d), 16)
+    return out.withColumn("sample", F.concat(F.lit('sample "'), F.col("track_index").cast("string"), F.lit('", new')))
+
+
+POLY = ", k AS (SELECT CAST(floor(j * 63.0 / 15) AS INTEGER) AS i FROM (SELECT unnest(range(16)) AS j)), poly AS (SELECT track_index, count(*) AS points, round(sum(position), 4) AS x_sum, sum(frame) AS y_sum FROM tr JOIN k USING (i) GROUP BY 1), pp AS (SELECT track_index, count(*) AS peaks, round(avg(residual), 4) AS mean_amplitude, round(sum(residual * peak_i), 3) AS amp_sum FROM peaks GROUP BY 1)"
+
+
+@query("b2_visible_tracks_whole", W.BASE + POLY + " SELECT track_index, 'sample \"' || track_index || '\", new' AS sample, CAST(points AS INTEGER) AS points, CAST(peaks AS INTEGER) AS peaks, mean_amplitude, round(frequency, 6) AS dominant_frequency, round(1 / frequency, 6) AS period, x_sum, y_sum, amp_sum FROM poly JOIN pp USING (track_index) JOIN freq USING (track_index)")
+def visible_tracks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All nine columns as CSV lines, read back by a CSV reader; the arrays are read from their JSON."""
+    lines = files.csv_lines(files.visible_tracks(overlays(spark, d)))
+    kinds = "track_index long, sample string, points int, peaks int, mean_amplitude double, dominant_frequency double, period double, poly string, peak_points string"
+    back = lines.select(F.from_csv("line", kinds, {"escape": '"'}).alias("r")).select("r.*")
+    poly, tops = F.from_json("poly", "array<struct<x:double,y:double>>"), F.from_json("peak_points", "array<struct<i:int,x:double,y:double,amp:double>>")
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, p: s + f(p))
+    return back.select(
+        "track_index", "sample", "points", "peaks", F.round("mean_amplitude", 4).alias("mean_amplitude"), r6("dominant_frequency"), r6("period"), F.round(total(poly, lambda p: p["x"]), 4).alias("x_sum"),
+        total(poly, lambda p: p["y"]).alias("y_sum"), F.round(total(tops, lambda p: p["amp"] * p["i"]), 3).alias("amp_sum"),
+    )
+
+
+@query("b3_track_documents", W.BASE + W.LOCAL + W.fit_sql("src") + ", s AS (SELECT track_index, count(*) AS samples, round(sum(residual * i * i), 2) AS residual_sum FROM res GROUP BY 1) SELECT track_index, any_value(samples) AS samples, any_value(residual_sum) AS residual_sum, count(*) AS peaks, round(sum(fit_amp), 4) AS amp_sum, CAST(sum(fit_lo + 3 * fit_hi) AS DOUBLE) AS window_sum, round(any_value(frequency), 6) AS freq_hz FROM fit JOIN s USING (track_index) JOIN freq USING (track_index) GROUP BY 1")
+def track_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The document of every track, read back from its JSON."""
+    res, peaks, freq = W.analysed(spark, d)
+    docs = files.track_documents(overlays(spark, d), res, T.peak_rows(res, peaks, freq, W.RATE, W.FRAC, local=True))
+    kinds = "track struct<freq_hz:double>, detail struct<track_index:bigint,samples:array<struct<i:int,residual:double>>,peaks:array<struct<fit_amp:double,fit_lo:int,fit_hi:int>>>"
+    j = docs.select(F.from_json("json", kinds).alias("j")).select("j.detail.*", F.col("j.track.freq_hz").alias("freq_hz"))
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, p: s + f(p))
+    return j.select(
+        "track_index", F.size("samples").cast("long").alias("samples"), F.round(total(F.col("samples"), lambda p: p["residual"] * p["i"] * p["i"]), 2).alias("residual_sum"), F.size("peaks").cast("long").alias("peaks"),
+        F.round(total(F.col("peaks"), lambda p: p["fit_amp"]), 4).alias("amp_sum"), total(F.col("peaks"), lambda p: p["fit_lo"] + 3 * p["fit_hi"]).alias("window_sum"), r6("freq_hz"),
+    )
+
+
+@query("b4_track_files", "WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT CAST(user_id AS VARCHAR) || '.npy' AS path, CAST(i AS INTEGER) AS i, CAST(i AS DOUBLE) AS frame, round(value, 6) AS position FROM e WHERE n >= 60")
+def track_files(spark: SparkSession, d: str) -> DataFrame:
+    """One .npy file's bytes for each track of 60 points or more, read again."""
+    t = T.from_rows(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return files.array_tracks(files.array_files(t, 60)).select("path", "i", "frame", r6("position"))
+
+
+@query("b1_waves_csv_whole", W.BASE + W.WAVES + """ SELECT track_index || '-' || peak_ord AS c00, CAST(track_index AS DOUBLE) AS c01, CAST(peak_ord AS DOUBLE) AS c02, round(frame1, 6) AS c03, round(frame2, 6) AS c04, round(period_frames, 6) AS c05, round(period_frames, 6) AS c06, round(freq_hz, 6) AS c07,
+round(pos1, 6) AS c08, round(pos2, 6) AS c09, round(residual, 6) AS c10, round(pos1, 6) AS c11, round(pos2, 6) AS c12, round(frame1, 6) AS c13, round(frame2, 6) AS c14, round(frame1, 6) AS c15, round(frame2, 6) AS c16, round(frame2 - frame1, 6) AS c17, round(delta_pos, 6) AS c18,
+round(CASE WHEN period_frames <> 0 THEN delta_pos / period_frames END, 6) AS c19, round(freq_hz, 6) AS c20, round(abs(delta_pos), 6) AS c21, round(frame, 6) AS c22, round(position, 6) AS c23, round(fit_error, 6) AS c24, 'true' AS c25, wave_type AS c26, round(type_score, 6) AS c27 FROM waves""")
+def waves_csv_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All 28 columns as CSV lines, read back by a CSV reader; their names, some of them twice, give way to numbers."""
+    out = files.wave_export(T.wave_rows(*W.analysed(spark, d), W.RATE, W.FRAC))
+    names = [f"c{k:02d}" for k in range(len(out.columns))]
+    text = {"c00", "c25", "c26"}
+    kinds = ", ".join(f"{c} {'string' if c in text else 'double'}" for c in names)
+    back = files.csv_lines(out.toDF(*names)).select(F.from_csv("line", kinds, {"escape": '"'}).alias("r")).select("r.*")
+    return back.select(*[F.col(c) if c in text else F.round(c, 6).alias(c) for c in names])
+
+
+DEBUG_SQL = image_queries.IMG + ", mk AS (SELECT image, y, x, CASE WHEN v >= 12 THEN 1.0 ELSE 0.0 END AS v FROM img)" + image_queries.DIRECT.replace("FROM img", "FROM mk") + " SELECT image, round(min(img.v), 4) AS low, round(max(img.v), 4) AS high, round(avg(img.v), 4) AS mean, CAST(sum(mk.v) AS BIGINT) AS raw, CAST(sum(a4.v) AS BIGINT) AS clean, round(100.0 * sum(a4.v) / count(*), 4) AS clean_percent FROM img JOIN mk USING (image, y, x) JOIN a4 USING (image, y, x) GROUP BY 1"
+
+
+@query("b7_debug_stages", DEBUG_SQL)
+def debug_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The probabilities, the raw mask and the cleaned one side by side, and their figures."""
+    img = image_queries.images(spark, d)
+    raw = img.withColumn("v", (F.col("v") >= 12).cast("double"))
+    clean = G.directional(raw, 5, 5, False).withColumnRenamed("v", "clean")
+    g = img.withColumn("raw", (F.col("v") >= 12).cast("double")).join(clean, ["image", "y", "x"]).groupBy("image")
+    share = 100.0 * F.sum("clean") / F.count(F.lit(1))
+    r4 = lambda c, name: F.round(c, 4).alias(name)
+    return g.agg(r4(F.min("v"), "low"), r4(F.max("v"), "high"), r4(F.avg("v"), "mean"), F.sum("raw").cast("long").alias("raw"), F.sum("clean").cast("long").alias("clean"), r4(share, "clean_percent"))
+
+
 @query("a7_npy_scan", track_queries.TR + " SELECT CAST(track_index AS VARCHAR) || '.npy' AS path, i, frame, round(position, 6) AS position FROM tr")
 def npy_scan(spark: SparkSession, d: str) -> DataFrame:
     """Tracks written as .npy files' bytes, and read again."""

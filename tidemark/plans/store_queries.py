@@ -252,30 +252,22 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.least(F.greatest(F.floor(F.col("value") / 5), F.lit(-1)), F.lit(20)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e21_ema_rate", "WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 5), f AS (SELECT user_id, k, value AS e FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, 0.2 * s.value + 0.8 * f.e FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1) SELECT user_id, round(arg_max(e, k), 6) AS rate FROM f GROUP BY 1")
-def ema_rate(spark: SparkSession, d: str) -> DataFrame:
-    """The users that the recursive SQL takes, as a check of e21_ema_rate_all."""
-    return ema_rates(table(spark, d, "events").where("user_id < 5"))
+EMA_SQL = "SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda e, x: 0.2 * x + 0.8 * e), 6) AS rate FROM events GROUP BY 1"
 
 
-def ema_rates(events: DataFrame) -> DataFrame:
-    e = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("l"))
+@query("e21_ema_rate_all", EMA_SQL)
+@query("e21_ema_rate", EMA_SQL)
+def ema_rate(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("l"))
     return e.select("user_id", r6(R.ema(F.transform("l", lambda x: x["value"]), 0.2), "rate"))
 
 
-@query("e21_ema_rate_all")
-def ema_rate_all(spark: SparkSession, d: str) -> DataFrame:
-    return ema_rates(table(spark, d, "events"))
+SAMPLE_SQL = "SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296) % 10000000 AS sample_id FROM customer"
 
 
-@query("h6_sample_id", "WITH RECURSIVE n AS (SELECT c_custkey, c_name AS s, 1 AS k, CAST(2166136261 AS HUGEINT) AS h FROM customer WHERE c_custkey <= 100 UNION ALL SELECT c_custkey, s, k + 1, (xor(CAST(h AS BIGINT), CAST(ascii(substr(s, k, 1)) AS BIGINT)) * CAST(16777619 AS HUGEINT)) % 4294967296 FROM n WHERE k <= length(s)) SELECT c_custkey, CAST(arg_max(h, k) % 10000000 AS BIGINT) AS sample_id FROM n GROUP BY 1")
+@query("h6_sample_id_all", SAMPLE_SQL)
+@query("h6_sample_id", SAMPLE_SQL)
 def sample_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The customers that the recursive SQL takes, as a check of h6_sample_id_all."""
-    return sample_id_all(spark, d).where("c_custkey <= 100")
-
-
-@query("h6_sample_id_all")
-def sample_id_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", S.sample_id(F.col("c_name")).alias("sample_id"))
 
 

@@ -203,3 +203,33 @@ def wave_export(waves: DataFrame) -> DataFrame:
 def quoted(c: Column) -> Column:
     """A CSV field: in quotes, doubled inside, if it holds a comma, quote or line end."""
     return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+#: The columns of the table of visible tracks, in order.
+VISIBLE = ("track_index", "sample", "points", "peaks", "mean_amplitude", "dominant_frequency", "period", "poly", "peak_points")
+
+
+def visible_tracks(overlays: DataFrame) -> DataFrame:
+    """The columns VISIBLE of overlays (track_index, sample, poly, peaks with amp, freq_hz, period); poly and peak_points as JSON text."""
+    amps = F.filter(F.transform("peaks", lambda p: p["amp"]), lambda a: a.isNotNull())
+    mean = F.when(F.size(amps) > 0, F.aggregate(amps, F.lit(0.0), lambda s, a: s + a) / F.size(amps))
+    return overlays.select(
+        "track_index", "sample", F.size("poly").alias("points"), F.size("peaks").alias("peaks"), mean.alias("mean_amplitude"), F.col("freq_hz").alias("dominant_frequency"), "period",
+        F.to_json("poly").alias("poly"), F.to_json("peaks").alias("peak_points"),
+    )
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """line: each row's columns as a CSV line, nulls empty, quoted where needed."""
+    text = [F.coalesce(quoted(F.col(c).cast("string")), F.lit("")) for c in df.columns]
+    return df.select(F.concat_ws(",", *text).alias("line"))
+
+
+def track_documents(overlays: DataFrame, samples: DataFrame, peaks: DataFrame) -> DataFrame:
+    """track_index, json: {track, detail} of each track. track is its overlay; detail has the samples (frame, position, baseline, residual)
+    in order and all columns of its peak rows, by peak_ord."""
+    s = samples.groupBy("track_index").agg(F.array_sort(F.collect_list(F.struct("i", "frame", "position", "baseline", "residual"))).alias("samples"))
+    p = peaks.groupBy("track_index").agg(F.array_sort(F.collect_list(F.struct("peak_ord", *[c for c in peaks.columns if c not in ("track_index", "peak_ord")]))).alias("peaks"))
+    both = overlays.withColumnRenamed("peaks", "peak_points").join(s, "track_index").join(p, "track_index", "left")
+    track = F.struct(*[c for c in both.columns if c not in ("samples", "peaks")])
+    return both.select("track_index", F.to_json(F.struct(track.alias("track"), F.struct("track_index", "samples", "peaks").alias("detail"))).alias("json"))
