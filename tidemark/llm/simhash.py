@@ -159,13 +159,20 @@ class Bands:
             low = low.bitwiseOR(F.shiftleft(F.get("fp", word + 1), 64 - shift))
         return low.bitwiseAND(F.lit((1 << self.bits) - 1))
 
+    def exact(self) -> Column:
+        """The bands themselves."""
+        return F.array(*[self._own(k) for k in range(self.count)])
+
     def variants(self) -> Column:
+        """The bands and all that differ from them in one bit."""
         masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(self.bits))]])
         return F.flatten(F.array(*[self._of_band(k, masks) for k in range(self.count)]))
 
+    def _own(self, band: int) -> Column:
+        return self.part(band).bitwiseOR(F.lit(band << self.bits))
+
     def _of_band(self, band: int, masks: Column) -> Column:
-        own = self.part(band).bitwiseOR(F.lit(band << self.bits))
-        return F.transform(masks, lambda m: own.bitwiseXOR(m))
+        return F.transform(masks, lambda m: self._own(band).bitwiseXOR(m))
 
 
 def long_fingerprints(docs: DataFrame, size: int = 5, words: int = LONG_WORDS) -> DataFrame:
@@ -301,25 +308,41 @@ def similar_links(fps: DataFrame, similarity: float = 0.8, bands: Bands | None =
 
     Meet in the middle by bands: of each band a fingerprint emits all variants within one bit, so that two meet if some band differs in
     at most two bits; pairs that meet are verified by the distance of the whole fingerprints, and then by `verify`, which keeps the rows
-    (a, b) of truly similar texts. A bucket's members may differ in other bands, so each is compared with the smallest member first;
-    those that are in different groups after that are compared with each other (_cross_links). Buckets of one group are never expanded
-    into pairs: variants are counted with partial sums, and a member of a bucket is one row of a join.
+    (a, b) of truly similar texts.
+
+    Families of near copies share most of their variants, so they are tied together first: fingerprints that share a whole band are
+    compared with the smallest that has it. Then variants are counted, with the least and the greatest group among those that have
+    them; a variant that a single group has can tell nothing new and goes, without a join. In a bucket of several groups each member is
+    compared with the smallest one first; those that are in different groups after that are compared with each other (_cross_links).
+    Members of one group are never compared again, and no bucket is expanded into its pairs.
     """
     spark = fps.sparkSession
     bands = bands or Bands.of(fps.count(), similarity)
     words, verify = bands.words, verify or (lambda pairs: pairs)
     limit = most_bits(similarity, words)
-    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
-    spread = dealt.select("id", F.explode(bands.variants()).alias("variant"))
-    # A fingerprint has each of its variants once, so a variant counted twice has two fingerprints.
-    met = spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("variant").alias("v"), F.least("n", F.lit(FEW + 1)).cast("int").alias("n"))
-    met = small(stash(met, "met-variants"), MET_ROWS)
-    rows = stash(spread.join(met, F.col("variant") == F.col("v")).select("id", "variant", "n"), "met-rows")
-    lead = rows.groupBy(F.col("variant").alias("v")).agg(F.min("id").alias("a"))
-    pairs = rows.join(lead, F.col("variant") == F.col("v")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-    edges = _linked(sides.select("a", "b", _distance("fa", "fb", words).alias("d")).where(F.col("d") <= limit), verify)
-    return edges.unionByName(_linked(_cross_links(rows, fps, edges, limit, words), verify))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+        return sides.select("a", "b", _distance("fa", "fb", words).alias("d")).where(F.col("d") <= limit)
+
+    whole = fps.select("id", F.explode(bands.exact()).alias("variant"))
+    held = whole.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select(F.col("variant").alias("v"), "a")
+    family = whole.join(small(stash(held, "met-bands"), MET_ROWS), F.col("variant") == F.col("v")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tied = _linked(close(family), verify)
+
+    groups = small(stash(components(tied), "band-groups"), MET_ROWS)
+    rooted = fps.join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "fp")
+    rooted = stash(rooted, "rooted-fingerprints").repartition(parts, F.xxhash64("id"))
+    spread = rooted.select("id", "root", F.explode(bands.variants()).alias("variant"))
+    # A fingerprint has each of its variants once, so what is counted are fingerprints.
+    met = spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = small(stash(met.select(F.col("variant").alias("v"), F.least("n", F.lit(FEW + 1)).cast("int").alias("n")), "met-variants"), MET_ROWS)
+    rows = stash(spread.join(met, F.col("variant") == F.col("v")).select("id", "root", "variant", "n"), "met-rows")
+    lead = rows.groupBy(F.col("variant").alias("v")).agg(F.min(F.struct("id", "root")).alias("a"))
+    pairs = rows.join(lead, F.col("variant") == F.col("v")).where(F.col("root") != F.col("a.root")).select("a.id", F.col("id").alias("b")).toDF("a", "b").distinct()
+    edges = tied.unionByName(_linked(close(pairs), verify))
+    return edges.unionByName(_linked(_cross_links(rows.drop("root"), fps, edges, limit, words), verify))
 
 
 def _linked(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
