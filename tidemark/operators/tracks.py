@@ -6,6 +6,8 @@ samples of different tracks. Extra key columns (a job) can be folded into track_
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -139,27 +141,34 @@ def local_maxima(tracks: DataFrame, k: int = 1) -> DataFrame:
     return tracks.withColumn("_b", before).withColumn("_a", after).where((F.col("residual") > F.col("_b")) & (F.col("residual") > F.col("_a"))).drop("_a", "_b")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates value once per row and hands it to body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prominences(tracks: DataFrame) -> DataFrame:
     """track_index, peak_i, frame, position, residual, prominence of the inner local maxima.
 
     The bases are the nearest strictly higher samples on both sides (or the ends); the prominence is the height above the higher of the
-    two minima on the way. Each peak meets the samples of its own track only.
+    two minima on the way. A track becomes one row, an array of its samples in order, in one exchange; a peak then looks at slices of it.
     """
-    n = F.count(F.lit(1)).over(track())
-    peaks = local_maxima(tracks.withColumn("_n", n)).where((F.col("i") > 0) & (F.col("i") < F.col("_n") - 1))
-    p = peaks.select("track_index", F.col("i").alias("peak_i"), "frame", "position", "residual")
-    s = tracks.select(F.col("track_index").alias("_t"), F.col("i").alias("_i"), F.col("residual").alias("_r"))
-    met = p.join(s, F.col("track_index") == F.col("_t"))
-    keys = ["track_index", "peak_i", "frame", "position", "residual"]
-    higher = F.col("_r") > F.col("residual")
-    bases = met.groupBy(*keys).agg(
-        F.max(F.when(higher & (F.col("_i") < F.col("peak_i")), F.col("_i"))).alias("_left"), F.min(F.when(higher & (F.col("_i") > F.col("peak_i")), F.col("_i"))).alias("_right")
-    )
-    again = bases.join(s, F.col("track_index") == F.col("_t"))
-    left = (F.col("_i") <= F.col("peak_i")) & (F.col("_i") > F.coalesce("_left", F.lit(-1)))
-    right = (F.col("_i") >= F.col("peak_i")) & (F.col("_i") < F.coalesce("_right", F.lit(1 << 30)))
-    low = F.greatest(F.min(F.when(left, F.col("_r"))), F.min(F.when(right, F.col("_r"))))
-    return again.groupBy(*keys).agg(low.alias("_low")).select(*keys, (F.col("residual") - F.col("_low")).alias("prominence"))
+    low = F.lit(float("-inf"))
+
+    def lowest(way: Column, top: Column) -> Column:
+        """The lowest value on a way from a peak to the first that is higher."""
+        until = F.array_position(F.transform(way, lambda x: x > top), F.lit(True)).cast("int")
+        return F.array_min(F.when(until > 0, F.slice(way, F.lit(1), until - 1)).otherwise(way))
+
+    def peaks(r: Column) -> Column:
+        beside = lambda k: F.greatest(F.coalesce(F.get(r, k - 1), low), F.coalesce(F.get(r, k + 1), low))
+        inner = F.when(F.size(r) > 2, F.filter(F.sequence(F.lit(1), F.size(r) - 2), lambda k: F.get(r, k) > beside(k))).otherwise(F.array().cast("array<int>"))
+        height = lambda k, top: top - F.greatest(lowest(F.reverse(F.slice(r, F.lit(1), k + 1)), top), lowest(F.slice(r, k + 1, F.size(r)), top))
+        return F.transform(inner, lambda k: F.struct(k.alias("k"), _let(F.get(r, k), lambda top: height(k, top)).alias("prominence")))
+
+    rows = tracks.groupBy("track_index").agg(F.array_sort(F.collect_list(F.struct("i", "frame", "position", "residual"))).alias("_s"))
+    found = rows.select("track_index", "_s", F.explode(_let(F.transform("_s", lambda x: x["residual"]), peaks)).alias("_p"))
+    at = found.select("track_index", F.get("_s", F.col("_p.k")).alias("_x"), "_p.prominence")
+    return at.select("track_index", F.col("_x.i").alias("peak_i"), "_x.frame", "_x.position", "_x.residual", "prominence")
 
 
 def widths(tracks: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -283,50 +292,48 @@ def wave_windows(peaks: DataFrame, freq: DataFrame, sampling_rate: float = 1.0)
     return p.withColumn("frame1", F.least(a, b)).withColumn("frame2", F.greatest(a, b))
 
 
-def interpolated(side: str) -> tuple[Column, Column]:
-    """Aggregates over a join of waves and samples (_f, _i, _p): the samples at or before, and at or after, the window's end."""
-    t = F.col(side)
-    low = F.max(F.when(F.col("_f") <= t, F.struct("_f", "_i", "_p")))
-    high = F.min(F.when(F.col("_f") >= t, F.struct("_f", "_i", "_p")))
-    return low, high
-
-
-def lerp(low: str, high: str, t: str) -> Column:
-    lf, hf, lp, hp = F.col(f"{low}._f"), F.col(f"{high}._f"), F.col(f"{low}._p"), F.col(f"{high}._p")
-    return F.when(F.col(low).isNull(), hp).when(F.col(high).isNull() | (hf == lf), lp).otherwise(lp + (hp - lp) * (F.col(t) - lf) / (hf - lf))
+def lerp(name: str, t: str) -> Column:
+    """The position at frame t between the samples beside it, whose frames and positions are name_lf, name_lp, name_hf and name_hp."""
+    lf, lp, hf, hp = (F.col(f"{name}_{k}") for k in ("lf", "lp", "hf", "hp"))
+    return F.when(lf.isNull(), hp).when(hf.isNull() | (hf == lf), lp).otherwise(lp + (hp - lp) * (F.col(t) - lf) / (hf - lf))
 
 
 def wave_rows(tracks: DataFrame, peaks: DataFrame, freq: DataFrame, sampling_rate: float = 1.0, frac: float = 0.5) -> DataFrame:
     """One row per peak and wave: window, period, frequency, positions at its ends, velocity, wavelength, box, orientation, fit, type.
 
-    Windows, boxes and interpolations come from one join of each wave with the samples of its track and one aggregation.
+    Windows, boxes and interpolations come from one join of each wave with the samples that lie in its window, next to its peak or on
+    both sides of the window's ends, and one aggregation.
     """
     w = wave_windows(peaks, freq, sampling_rate)
     w = w.withColumn("period_frames", F.col("frame2") - F.col("frame1"))
     w = w.withColumn("freq_hz", F.coalesce(F.when(F.col("period_frames") > 0, F.lit(sampling_rate) / F.col("period_frames")), F.col("global_freq"))).withColumn("fit_freq", F.col("freq_hz"))
     w = anchored_fits(tracks, w, sampling_rate, frac).drop("orientation", "orientation_std")
-    s = tracks.select(F.col("track_index").alias("_t"), F.col("i").alias("_i"), F.col("frame").alias("_f"), F.col("position").alias("_p"), local_angle().alias("_angle"))
-    met = w.select("track_index", "peak_i", "frame1", "frame2").join(s, F.col("track_index") == F.col("_t"))
+    by_frame = track().orderBy("frame", "i")
+    s = tracks.select(
+        F.col("track_index").alias("_t"), F.col("i").alias("_i"), F.col("frame").alias("_f"), F.col("position").alias("_p"), local_angle().alias("_angle"),
+        F.lag("frame").over(by_frame).alias("_prev"), F.lead("frame").over(by_frame).alias("_next"), F.min("frame").over(track()).alias("_lowest"), F.max("frame").over(track()).alias("_highest"),
+    )
     inside = (F.col("_f") >= F.col("frame1")) & (F.col("_f") <= F.col("frame2"))
     near = F.abs(F.col("_i") - F.col("peak_i")) <= 1
-    (l1, h1), (l2, h2) = interpolated("frame1"), interpolated("frame2")
-    aggs = [l1.alias("_l1"), h1.alias("_h1"), l2.alias("_l2"), h2.alias("_h2"), F.count_if(inside).alias("_n"), F.min("_f").alias("_fmin"), F.max("_f").alias("_fmax")]
-    for name, part in (("in", inside), ("by", near)):
+    below = lambda t: (F.col("_f") <= F.col(t)) & F.coalesce(F.col("_next") > F.col(t), F.lit(True))
+    above = lambda t: (F.col("_f") >= F.col(t)) & F.coalesce(F.col("_prev") < F.col(t), F.lit(True))
+    needed = inside | near | below("frame1") | above("frame1") | below("frame2") | above("frame2")
+    met = w.select("track_index", "peak_i", "frame1", "frame2").join(s, (F.col("track_index") == F.col("_t")) & needed)
+    aggs = [F.count_if(inside).alias("_n"), F.min("_lowest").alias("_fmin"), F.max("_highest").alias("_fmax")]
+    # One sample each is next below and above a window's end.
+    aggs += [F.max(F.when(side(f"frame{k}"), F.col(c))).alias(f"_at{k}_{end}{c[1]}") for k in (1, 2) for end, side in (("l", below), ("h", above)) for c in ("_f", "_p")]
+    # A part's first sample has no step inside it.
+    for name, part, inner in (("in", inside, inside & (F.col("_prev") >= F.col("frame1"))), ("by", near, near & (F.col("_i") > F.greatest(F.col("peak_i") - 1, F.lit(0))))):
         of = lambda c, part=part: F.when(part, F.col(c))
-        first = F.min(F.when(part, F.col("_i")))
         aggs += [
             F.regr_slope(of("_p"), of("_f")).alias(f"_slope_{name}"), F.min(of("_p")).alias(f"_x0_{name}"), F.max(of("_p")).alias(f"_x1_{name}"), F.min(of("_f")).alias(f"_y0_{name}"), F.max(of("_f")).alias(f"_y1_{name}"),
-            first.alias(f"_first_{name}"), F.array_sort(F.collect_list(F.when(part, F.struct("_i", "_angle")))).alias(f"_angles_{name}"),
+            F.stddev_pop(of("_angle", inner)).alias(f"_spread_{name}"),
         ]
     box = met.groupBy("track_index", "peak_i", "frame1", "frame2").agg(*aggs)
     pick = lambda c: F.when(F.col("_n") >= 2, F.col(f"_{c}_in")).otherwise(F.col(f"_{c}_by"))
-    angles = F.transform(F.filter(pick("angles"), lambda x: x["_i"] > pick("first")), lambda x: x["_angle"])
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    box = box.withColumn("_a", angles).withColumn("_m", F.when(F.size("_a") > 0, mean(F.col("_a"))))
-    spread = F.when(F.size("_a") > 0, F.sqrt(mean(F.transform("_a", lambda x: (x - F.col("_m")) * (x - F.col("_m")))))).otherwise(0.0)
     box = box.select(
-        "track_index", "peak_i", lerp("_l1", "_h1", "frame1").alias("pos1"), lerp("_l2", "_h2", "frame2").alias("pos2"), pick("x0").alias("xmin"), pick("x1").alias("xmax"), pick("y0").alias("ymin"), pick("y1").alias("ymax"),
-        F.degrees(F.atan(F.abs(F.coalesce(pick("slope"), F.lit(0.0))))).alias("orientation"), F.degrees(spread).alias("orientation_std"), ((F.col("frame1") < F.col("_fmin")) | (F.col("frame2") > F.col("_fmax"))).alias("boundary"),
+        "track_index", "peak_i", lerp("_at1", "frame1").alias("pos1"), lerp("_at2", "frame2").alias("pos2"), pick("x0").alias("xmin"), pick("x1").alias("xmax"), pick("y0").alias("ymin"), pick("y1").alias("ymax"),
+        F.degrees(F.atan(F.abs(F.coalesce(pick("slope"), F.lit(0.0))))).alias("orientation"), F.degrees(F.coalesce(pick("spread"), F.lit(0.0))).alias("orientation_std"), ((F.col("frame1") < F.col("_fmin")) | (F.col("frame2") > F.col("_fmax"))).alias("boundary"),
     )
     out = w.join(box, ["track_index", "peak_i"])
     kind, score = classify(F.col("orientation"), F.col("prominence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import tracks as T
 from tidemark.plans.registry import query, r6, table
+from tidemark.sources.stash import stash
 
 SCALE, RATE, LEAST, MOST, PROMINENCE, FRAC = 100.0, 1.0, 0.02, 0.45, 8.0, 0.5
 
@@ -92,9 +93,9 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Residuals, peaks, frequencies."""
-    res = residuals(spark, sf_dir)
-    return res, T.find_peaks(res, PROMINENCE), T.dominant_frequency(res, RATE, LEAST, MOST)
+    """Residuals, peaks, frequencies, each written once, since all rows come from all three."""
+    res = stash(residuals(spark, sf_dir), "residuals")
+    return res, stash(T.find_peaks(res, PROMINENCE), "peaks"), stash(T.dominant_frequency(res, RATE, LEAST, MOST), "frequencies")
 
 
 WAVE_COLUMNS = ["frame1", "frame2", "period_frames", "freq_hz", "pos1", "pos2", "delta_pos", "velocity", "wavelength", "xmin", "xmax", "ymin", "ymax", "orientation", "orientation_std", "fit_amp", "fit_offset", "fit_error", "prominence", "type_score", "t_start", "t_end"]
