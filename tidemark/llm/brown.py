@@ -487,7 +487,8 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
     class of a token depends on the class before, the word on its class. Words are counted over all training rows; those counted LEAST
     times or more each have a class of their own, however many they are, the others that of their ending, so that every word has a
     class. Counts and classes of the KNOWN most frequent words are with every worker (a bounded table, which changes no result); those
-    of rarer words are joined to the documents' rare words.
+    of rarer words are joined to the documents' rare words. The unseen words of a class share one probability, that of any unseen word
+    of it: score is that of the text with its unknown words folded into one a class, where base_score charges each as a word of its own.
 
     Without training rows all words are unknown and the probabilities of classes even. Repeated rows are scored each. Extra columns are
     left out.
