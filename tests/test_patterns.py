@@ -141,3 +141,18 @@ def test_lines(spark):
     df = spark.createDataFrame([(k, *e) for k, e in enumerate(ends)], "k int, a int, b int, c int, d int")
     for row in df.select("k", grid.line_points(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect():
         assert [tuple(p) for p in row[1]] == grid.line(*ends[row[0]])
+
+
+def test_heatmaps_of_images(spark):
+    rows = [(0, y, x, 40 * y, 30 * x, 7, 255 if x else 0) for y in range(4) for x in range(5)]
+    df = spark.createDataFrame(rows, "image long, y int, x int, r int, g int, b int, a int")
+    plain = {(r["y"], r["x"]): r["v"] for r in grid.heatmap_of_image(df.drop("a"), 4, 5).collect()}
+    assert plain == {(y, x): int((0.2126 * 40 * y + 0.7152 * 30 * x + 0.0722 * 7) / 255 * 255 + 1e-9) for y in range(4) for x in range(5)}
+    clear = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in grid.heatmap_of_image(df, 4, 5, {"grayscale": False, "alpha_background": "#f00"}).collect()}
+    assert clear[2, 0] == (255, 0, 0) and clear[2, 3] == (80, 90, 7)
+    assert grid.heatmap_of_image(df, 4, 5, {"internal_height": 2}).count() == 2 * 2  # five columns halved, to even
+    assert grid.target_size(64, 50, None, None) == (64, 50) and grid.target_size(1000, 1, 3, None) == (3, 1) and grid.target_size(9, 9, 4, 7) == (4, 7)
+    assert grid.hex_color(" ") is None and grid.hex_color("#0aF") == (0, 170, 255)
+    for cfg in ({"binary_threshold": 2}, {"low_hex": "#111", "high_hex": "111111"}, {"low_hex": "#12"}, {"low_hex": "#gggggg"}):
+        with pytest.raises(ValueError):
+            grid.heatmap_of_image(df, 4, 5, cfg)

@@ -32,8 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: for every node of the undirected edges (a, b) the smallest node it is connected with.
 
     Alternates large-star and small-star steps until the edges are stars around their smallest nodes; the number of rounds grows with the
-    logarithm of the longest path. Each round is written to the shared folder. The groups are only reduced by min, so a node with very
-    many neighbours is no burden; self-loops and repeated edges are ignored. Only two counts reach the driver.
+    logarithm of the longest path. Each round is written to the shared folder. The groups are only reduced by min before
+    anything travels; the join that ties a node's neighbours to that minimum has a row for each of them, and where a node has very many, it
+    is left to adaptive execution to split them. Self-loops and repeated edges are ignored. Only two counts reach the driver.
     """
     now = stash(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:

@@ -269,6 +269,75 @@ def resize(df: DataFrame, height: int, width: int, to_height: int, to_width: int
     return df.select("image", "y", "x", "v")
 
 
+def resize_bytes(df: DataFrame, channels: list[str], height: int, width: int, to_height: int, to_width: int) -> DataFrame:
+    """image, y, x and channels of whole numbers (0 to 255), resampled by triangles along the columns, then along the rows, and rounded
+    after each, as image libraries do."""
+    spark = df.sparkSession
+    for axis, other, n, to in (("x", "y", width, to_width), ("y", "x", height, to_height)):
+        if n == to:
+            continue
+        table = spark.createDataFrame(resize_weights(n, to, "bilinear"), "out int, at int, w double")
+        met = df.join(F.broadcast(table), F.col(axis) == F.col("at"))
+        byte = lambda c: F.floor(F.round(F.sum(F.col(c) * F.col("w")), 6) + 0.5).cast("int").alias(c)
+        df = met.groupBy("image", other, F.col("out").alias(axis)).agg(*[byte(c) for c in channels])
+    return df.select("image", "y", "x", *channels)
+
+
+def target_size(width: int, height: int, to_width: int | None, to_height: int | None) -> tuple[int, int]:
+    """Width and height of a resized image: what is asked, the other side in proportion (halves to even), one at least."""
+    if to_width and to_height:
+        return to_width, to_height
+    if to_width:
+        return to_width, max(1, round(height * to_width / max(1, width)))
+    if to_height:
+        return max(1, round(width * to_height / max(1, height))), to_height
+    return width, height
+
+
+def hex_color(value: str | None) -> tuple[int, int, int] | None:
+    """Red, green and blue of #rgb or #rrggbb, with or without the mark; none for none or blank."""
+    raw = (value or "").strip().lstrip("#")
+    if not raw:
+        return None
+    raw = "".join(c * 2 for c in raw) if len(raw) == 3 else raw
+    if len(raw) != 6 or any(c not in "0123456789abcdefABCDEF" for c in raw):
+        raise ValueError(f"not a color of six hexadecimal digits: {value!r}")
+    return int(raw[:2], 16), int(raw[2:4], 16), int(raw[4:], 16)
+
+
+def heatmap_of_image(df: DataFrame, height: int, width: int, cfg: dict | None = None) -> DataFrame:
+    """image, y, x, v (0 to 255), or r, g, b without grayscale: uploads as heatmaps.
+
+    df has image, y, x, r, g, b and, where there is transparency, a, of images of one size. They are laid over alpha_background, resized
+    to target_width and target_height, projected to the axis from low_hex to high_hex or to their luminance, inverted and cut at
+    binary_threshold, as far as cfg asks for each. Two equal axis colors and a threshold outside [0, 1] are refused.
+    """
+    cfg = cfg or {}
+    cut = float(cfg.get("binary_threshold", 0.5))
+    if not 0.0 <= cut <= 1.0:
+        raise ValueError("binary_threshold lies between 0 and 1")
+    rgb, low, high = ["r", "g", "b"], hex_color(cfg.get("low_hex")), hex_color(cfg.get("high_hex"))
+    under = hex_color(cfg.get("alpha_background", "#000000")) or (0, 0, 0)
+    if "a" in df.columns:
+        over = lambda c, k: F.floor((F.col(c) * F.col("a") + F.lit(k) * (255 - F.col("a"))) / 255 + 0.5).cast("int")
+        df = df.withColumns({c: over(c, k) for c, k in zip(rgb, under, strict=True)})
+    to_width, to_height = target_size(width, height, cfg.get("target_width", cfg.get("internal_width")), cfg.get("target_height", cfg.get("internal_height")))
+    df = resize_bytes(df.select("image", "y", "x", *rgb), rgb, height, width, to_height, to_width)
+    if not cfg.get("grayscale", True):
+        return df
+    if low and high:
+        axis = [b - a for a, b in zip(low, high, strict=True)]
+        if not any(axis):
+            raise ValueError("low_hex and high_hex are different colors")
+        along = sum(((F.col(c) - a) * d for c, a, d in zip(rgb, low, axis, strict=True)), F.lit(0)) / sum(d * d for d in axis)
+        gray = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    else:
+        gray = (0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")) / 255
+    gray = 1 - gray if cfg.get("invert") else gray
+    gray = (F.round(gray, 9) >= cut).cast("double") if cfg.get("binary_grayscale") else gray
+    return df.select("image", "y", "x", F.floor(F.round(gray * 255, 6)).cast("int").alias("v"))
+
+
 def thin(on: DataFrame) -> DataFrame:
     """One-pixel skeletons by two-subiteration parallel thinning; one image a group."""
 

@@ -134,6 +134,33 @@ def image_to_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return pixels(unit(spark, d).withColumn("v", lum)).select("image", "y", "x", F.floor((1 - F.col("v")) * 255).cast("int").alias("b"))
 
 
+TRIANGLES = "w{a} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, greatest(0.0, 1 - abs(i + 0.5 - (o + 0.5) * s) / greatest(s, 1)) AS w FROM (SELECT unnest(range({to})) AS o), (SELECT unnest(range({n})) AS i), (SELECT {n} / {to}.0 AS s)) WHERE w > 0)"
+BYTE = "CAST(floor(round(sum({c} * w), 6) + 0.5) AS INTEGER) AS {c}"
+OVER_SQL = UNIT + ", px AS (SELECT image, y, x, CAST(floor(v * 255) AS INTEGER) AS r, CAST(floor((1 - v) * 255) AS INTEGER) AS g, (y * 5) % 256 AS b, 255 - x * 2 AS a FROM unit), ov AS (SELECT image, y, x, CAST(floor((r * a + 16 * (255 - a)) / 255.0 + 0.5) AS INTEGER) AS r, CAST(floor((g * a + 32 * (255 - a)) / 255.0 + 0.5) AS INTEGER) AS g, CAST(floor((b * a + 48 * (255 - a)) / 255.0 + 0.5) AS INTEGER) AS b FROM px)"
+SIZED_SQL = OVER_SQL + ", " + TRIANGLES.format(a="x", n=64, to=40) + ", " + TRIANGLES.format(a="y", n=50, to=31) + ", hx AS (SELECT image, y, o AS x, " + ", ".join(BYTE.format(c=c) for c in "rgb") + " FROM ov JOIN wx ON wx.i = ov.x GROUP BY 1, 2, 3), hy AS (SELECT image, o AS y, x, " + ", ".join(BYTE.format(c=c) for c in "rgb") + " FROM hx JOIN wy ON wy.i = hx.y GROUP BY 1, 2, 3)"
+
+
+def uploaded(spark: SparkSession, d: str) -> DataFrame:
+    """Images with colors and transparency."""
+    v = F.col("v")
+    byte = lambda c: F.floor(c * 255).cast("int")
+    return unit(spark, d).select("image", "y", "x", byte(v).alias("r"), byte(1 - v).alias("g"), ((F.col("y") * 5) % 256).alias("b"), (255 - F.col("x") * 2).alias("a"))
+
+
+@query("n6_image_to_heatmap_axis", SIZED_SQL + " SELECT image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(floor(round((1 - least(1.0, greatest(0.0, ((r - 10) * 190 + (g - 200) * -150 + (b - 30) * 20) / CAST(190 * 190 + 150 * 150 + 20 * 20 AS DOUBLE)))) * 255, 6)) AS INTEGER) AS v FROM hy")
+def image_to_heatmap_axis(spark: SparkSession, d: str) -> DataFrame:
+    """Laid over a background, resized in proportion, projected to an axis of colors, inverted."""
+    cfg = {"alpha_background": "#102030", "target_width": 40, "low_hex": "0ac81e", "high_hex": "#c83232", "invert": True}
+    return G.heatmap_of_image(uploaded(spark, d), 50, 64, cfg)
+
+
+@query("n6_image_to_heatmap_binary", SIZED_SQL + " SELECT image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CASE WHEN round((0.2126 * r + 0.7152 * g + 0.0722 * b) / 255, 9) >= 0.6 THEN 255 ELSE 0 END AS v FROM hy")
+def image_to_heatmap_binary(spark: SparkSession, d: str) -> DataFrame:
+    """The luminance, cut at a threshold."""
+    cfg = {"alpha_background": "#102030", "target_width": 40, "target_height": 31, "binary_grayscale": True, "binary_threshold": 0.6}
+    return G.heatmap_of_image(uploaded(spark, d), 50, 64, cfg)
+
+
 STRETCH = UNIT + ", inv AS (SELECT image, y, x, CASE WHEN avg(v) OVER (PARTITION BY image) > 0.5 THEN 1 - v ELSE v END AS v FROM unit), q AS (SELECT image, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM inv GROUP BY 1), st AS (SELECT image, y, x, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (v - lo) / (hi - lo))) ELSE v END AS v FROM inv JOIN q USING (image))"
 
 

@@ -20,8 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage is cut, and executors may be lost afterwards."""
+    """Writes a table into the shared folder and reads it back: lineage is cut, and executors may be lost afterwards. The table goes when
+    the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
