@@ -257,3 +257,24 @@ def test_polynomials_of_any_degree(spark):
     keep = np.arange(len(xs)) != 7
     want = np.polynomial.Polynomial.fit(xs[keep], ys[keep], 3)(xs)
     assert np.allclose([r["baseline"] for r in tracks.detrend_polynomial(gap, 3).orderBy("i").collect()], want)
+
+
+@pytest.mark.parametrize("few", [0, 100, 10_000])
+def test_components_either_way(spark, few):
+    """By rounds, and in one task, of a random forest with cycles, numbers of either sign and repeated edges."""
+    rng = np.random.default_rng(few)
+    pairs = [(int(a) * 7 - 900, int(b) * 7 - 900) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(10_000, 10_150)] + [(5, 5), (-893, -900)] * 2
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long"), few).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
