@@ -35,8 +35,10 @@ def keep_extremes(v: Column, lower: float, upper: float, binarize: bool = False)
     return (kept > 0).cast("double") if binarize else kept
 
 
-def flip(df: DataFrame) -> DataFrame:
-    return df.withColumn("y", F.max("y").over(Window.partitionBy("image")) - F.col("y"))
+def flip(df: DataFrame, height: int | None = None) -> DataFrame:
+    """Upside down: in images of `height` rows, also where the last ones are missing, or else from each image's last row."""
+    last = F.max("y").over(Window.partitionBy("image")) if height is None else F.lit(height - 1)
+    return df.withColumn("y", last - F.col("y"))
 
 
 def normalise(df: DataFrame, vmax: float | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def table_to_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned, extremes kept, flipped, normalised, coloured."""
     k = images(spark, d).withColumn("v", G.keep_extremes(F.col("v"), -8, 8))
     r, g, b = G.hot(F.col("v"))
-    return pixels(G.normalise(G.flip(k))).select("image", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+    return pixels(G.normalise(G.flip(k, 50))).select("image", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 @query("c10_resize_shape", "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) THEN p_size ELSE CASE WHEN p_partkey % 4 = 2 THEN greatest(1, CAST(round_even((40 + p_size) * 7 / 50.0, 0) AS INTEGER)) ELSE 40 + p_size END END AS w, CASE WHEN p_partkey % 4 = 0 THEN 7 WHEN p_partkey % 4 = 1 THEN greatest(1, CAST(round_even(50 * p_size / (40.0 + p_size), 0) AS INTEGER)) WHEN p_partkey % 4 = 2 THEN 7 ELSE 50 END AS h FROM part")
