@@ -6,7 +6,7 @@ import pytest
 from tidemark import plans
 
 
-@pytest.mark.parametrize("name", ["n5_table_to_heatmap"])
+@pytest.mark.parametrize("name", ["n5_table_to_heatmap", "i9_classic_morphology", "i9_classic_morphology_5", "i9_classic_morphology_7"])
 def test_partial_image(spark, tmp_path, name):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 54 and vec_id <> 20")
     e.write.parquet(f"{tmp_path}/embeddings.parquet")

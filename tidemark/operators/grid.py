@@ -114,8 +114,21 @@ def ellipse_extreme(df: DataFrame, size: int, how: str) -> DataFrame:
     return wide.select("image", "y", "x", (best(*around) if len(around) > 1 else around[0]).alias("v"))
 
 
-def classic(df: DataFrame, size: int = 3) -> DataFrame:
-    """Close, open, close with an ellipse of size x size pixels (3: a cross)."""
+def dense(df: DataFrame, height: int, width: int) -> DataFrame:
+    """Every pixel of images of height x width once: those that are missing with a null v, repeated ones with the largest."""
+    ys, xs = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (height, width))
+    cells = df.select("image").distinct().select("image", ys.alias("y")).select("image", "y", xs.alias("x"), F.lit(None).cast("double").alias("v"))
+    return df.select("image", "y", "x", "v").unionByName(cells).repartition("image", "y").groupBy("image", "y", "x").agg(F.max("v").alias("v"))
+
+
+def classic(df: DataFrame, size: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Close, open, close with an ellipse of size x size pixels (3: a cross).
+
+    Without a shape images are dense grids. With one (height, width) pixels may be missing: they count in no extreme, and get one where the
+    element reaches a pixel that has a value.
+    """
+    if shape:
+        return classic(dense(df, *shape), size).where("v is not null")
     for how in ("max", "min", "min", "max", "max", "min"):
         df = ellipse_extreme(df, size, how)
     return df
@@ -133,8 +146,8 @@ def close_along_square(df: DataFrame) -> DataFrame:
     return df
 
 
-def morphology(df: DataFrame, mode: str = "directional", kv: int = 5, kh: int = 5, bridge: bool = True, size: int = 3) -> DataFrame:
-    return df if mode == "none" else classic(df, size) if mode == "classic" else directional(df, kv, kh, bridge)
+def morphology(df: DataFrame, mode: str = "directional", kv: int = 5, kh: int = 5, bridge: bool = True, size: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+    return df if mode == "none" else classic(df, size, shape) if mode == "classic" else directional(df, kv, kh, bridge)
 
 
 def shave_weak(mask: DataFrame, prob: DataFrame, below: float) -> DataFrame:
