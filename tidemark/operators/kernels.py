@@ -1,12 +1,18 @@
-"""Per-track kernels that go sample by sample: robust lines, full peak detection, suppression, wavelet ridges. One track a group."""
+"""Per-track kernels that go sample by sample: robust lines, full peak detection, suppression, wavelet ridges.
+
+A track becomes one row of arrays in one exchange; a task then gets many tracks at once, in Arrow batches. Robust lines are fitted to
+all tracks of a batch that have one length together.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +55,80 @@ def robust_line(x: np.ndarray, y: np.ndarray, degree: int = 1, share: float = 0.
     return basis @ fit(best_rows if best_rows.sum() >= degree + 1 else every)
 
 
+def robust_lines(x: np.ndarray, y: np.ndarray, degree: int = 1, share: float = 0.5, trials: int = 100, seed: int = 42) -> np.ndarray:
+    """robust_line of many tracks of one length, a row each. All draw the same samples, since they share the seed, so that a trial is one
+    product of matrices for all tracks that aren't done yet. Tracks with the same frames share its inverse, too."""
+    count, n = y.shape
+    if n < degree + 1:
+        return np.repeat(y.mean(1, keepdims=True), n, 1)
+    middle = x.mean(1, keepdims=True)
+    basis = ((x - middle) / np.maximum(np.abs(x - middle).max(1, keepdims=True), 1e-12))[:, :, None] ** np.arange(degree, -1, -1)
+    same = bool((x == x[:1]).all())
+    if same:
+        basis = basis[:1]
+    inverse = lambda b: np.linalg.pinv(b, rcond=np.finfo(float).eps * max(b.shape[-2:]))
+    mads, half = np.median(np.abs(y - np.median(y, axis=1, keepdims=True)), axis=1), 0.5 * y.std(axis=1)
+    limit = np.where(mads != 0, mads, np.where(half != 0, half, 1.0))[:, None]
+    take = min(n, max(math.ceil(share * n), degree + 1, 2))
+    random = np.random.RandomState(seed)
+    best, best_score, best_rows, need = np.full(count, -1), np.full(count, -np.inf), np.ones((count, n), bool), np.full(count, float(trials))
+    for k in range(trials):
+        on = np.flatnonzero(k < need)
+        if not len(on):
+            break
+        rows, ys = random.permutation(n)[:take], y[on]
+        if same:
+            line = ys[:, rows] @ inverse(basis[0][rows]).T @ basis[0].T
+        else:
+            b = basis[on]
+            line = (b @ (inverse(b[:, rows]) @ ys[:, rows, None]))[:, :, 0]
+        off = ys - line
+        inside = np.abs(off) <= limit[on]
+        found = inside.sum(1)
+        # Only those that have as many inliers as the best so far need a score.
+        able = np.flatnonzero((found > 0) & (found >= best[on]))
+        if not len(able):
+            continue
+        at, inner, number = on[able], inside[able], found[able]
+        centre = np.where(inner, ys[able], 0).sum(1) / number
+        spread = (np.where(inner, ys[able] - centre[:, None], 0) ** 2).sum(1)
+        score = np.where(spread > 0, 1 - (np.where(inner, off[able], 0) ** 2).sum(1) / np.where(spread > 0, spread, 1), 0.0)
+        better = (number > best[at]) | (score > best_score[at])
+        at, inner, number = at[better], inner[better], number[better]
+        best[at], best_score[at], best_rows[at] = number, score[better], inner
+        clean = (number / n) ** take
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need[at] = np.where(clean >= 1, 1, np.where(clean <= 0, trials, np.minimum(trials, math.log(0.01) / np.log1p(-clean))))
+    best_rows[best_rows.sum(1) < degree + 1] = True
+    masked = basis * best_rows[:, :, None]
+    return (basis @ (inverse(masked) @ y[:, :, None]))[:, :, 0]
+
+
+#: Tracks are fitted in parts of about so many samples.
+PART = 100_000
+
+
+def robust_baselines(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, **how) -> np.ndarray:
+    """Baselines of tracks that follow one another in x and y. Those of one length and the same frames are fitted together, in parts, and
+    so are all others of one length."""
+    out, starts = np.empty(len(y)), np.cumsum(lengths) - lengths
+    for n in np.unique(lengths).tolist():
+        if not n:
+            continue
+        places = starts[lengths == n][:, None] + np.arange(n)
+        _, kind, size = np.unique(x[places], axis=0, return_inverse=True, return_counts=True)
+        kind = np.where(size[kind.ravel()] >= 8, kind.ravel(), -1)
+        order = np.argsort(kind, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            for k in range(0, len(group), max(1, PART // n)):
+                at = places[group[k : k + max(1, PART // n)]]
+                out[at] = robust_lines(x[at], y[at], **how)
+    return out
+
+
 def plateau_maxima(x: np.ndarray) -> np.ndarray:
     """Inner local maxima; of a flat top the middle sample, rounded down."""
+    x = x.tolist()
     out, i, n = [], 1, len(x)
     while i < n - 1:
         if x[i] > x[i - 1]:
@@ -67,6 +145,7 @@ def plateau_maxima(x: np.ndarray) -> np.ndarray:
 def peak_shape(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prominences, and widths at half prominence by linear interpolation."""
     prominence, width = np.zeros(len(peaks)), np.zeros(len(peaks))
+    x = x.tolist()
     for k, p in enumerate(peaks.tolist()):
         a = b = p
         low_a = low_b = x[p]
@@ -108,26 +187,40 @@ def suppressed(peaks: np.ndarray, strength: np.ndarray, window: float, dominance
     return keep
 
 
-def find_peaks(x: np.ndarray, prominence: float = 1.0, width: float = 1.0, distance: float | None = None) -> pd.DataFrame:
-    """Distance, then prominence, then width."""
+def _peaks(x: np.ndarray, prominence: float = 1.0, width: float = 1.0, distance: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     peaks = plateau_maxima(x)
     if distance is not None and len(peaks):
         peaks = peaks[spaced(peaks, x[peaks], distance)]
     prom, wide = peak_shape(x, peaks)
     ok = (prom >= prominence) & (wide >= width)
-    return pd.DataFrame({"peak_i": peaks[ok], "prominence": prom[ok], "width": wide[ok]})
+    return peaks[ok], prom[ok], wide[ok]
+
 
+def _named(peaks: np.ndarray, prominence: np.ndarray, width: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"peak_i": peaks, "prominence": prominence, "width": width})
 
-def find_peaks_adaptive(x: np.ndarray, frames_per_period: float | None, distance_frac: float = 0.6, width_frac: float = 0.2, k: float = 2.0, least: float = 1.0, nms: bool = True, dominance: float = 0.55) -> pd.DataFrame:
+
+def find_peaks(x: np.ndarray, prominence: float = 1.0, width: float = 1.0, distance: float | None = None) -> pd.DataFrame:
+    """Distance, then prominence, then width."""
+    return _named(*_peaks(x, prominence, width, distance))
+
+
+def find_peaks_adaptive(x: np.ndarray, frames_per_period: float | None, **how) -> pd.DataFrame:
     """Thresholds from the spread and the period: prominence of max(least, k MAD), distance and width as parts of a period."""
+    return _named(*_peaks_adaptive(x, frames_per_period, **how))
+
+
+def _peaks_adaptive(x: np.ndarray, frames_per_period: float | None, distance_frac: float = 0.6, width_frac: float = 0.2, k: float = 2.0, least: float = 1.0, nms: bool = True, dominance: float = 0.55) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(x)
     known = frames_per_period is not None and math.isfinite(frames_per_period) and frames_per_period > 0
     distance = max(1, round(distance_frac * frames_per_period)) if known else max(1, round(0.05 * n))
     width = max(1, round(width_frac * frames_per_period)) if known else 1
-    out = find_peaks(x, max(least, k * mad(x)), width, distance)
-    if nms and len(out):
-        out = out[suppressed(out["peak_i"].to_numpy(), out["prominence"].to_numpy(), frames_per_period / 2 if known else max(1, round(0.03 * n)), dominance)]
-    return out
+    # Twice the deviation may be just a prominence, the distance of the same two samples: such a tie counts, however it is rounded.
+    peaks, prom, wide = _peaks(x, max(least, k * mad(x)) * (1 - 1e-12), width, distance)
+    if nms and len(peaks):
+        keep = suppressed(peaks, prom, frames_per_period / 2 if known else max(1, round(0.03 * n)), dominance)
+        peaks, prom, wide = peaks[keep], prom[keep], wide[keep]
+    return peaks, prom, wide
 
 
 def ricker(points: int, a: float) -> np.ndarray:
@@ -183,26 +276,30 @@ def wavelet_peaks(x: np.ndarray, widths: list[float]) -> pd.DataFrame:
     return pd.DataFrame({"peak_i": peaks[keep], "strength": strength[keep]})
 
 
+def _samples(tracks: DataFrame, *columns: str) -> DataFrame:
+    """track_index, _s: a track's samples (i and the columns) in order of i, one row a track."""
+    return tracks.groupBy("track_index").agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("_s"))
+
+
 def per_track(tracks: DataFrame, column: str, f: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Runs f(frame, values) on each track in order of i and adds track_index to its rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        out = f(pdf["frame"].to_numpy(float), pdf[column].to_numpy(float))
-        out.insert(0, "track_index", pdf["track_index"].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [f(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(pdf["_x"], pdf["_y"], strict=True)]
+            sizes = [len(x) for x in found]
+            if sum(sizes):
+                out = pd.concat([x for x in found if len(x)], ignore_index=True)
+                out.insert(0, "track_index", np.repeat(pdf["track_index"].to_numpy(), sizes))
+                yield out
 
-    return tracks.select("track_index", "i", "frame", column).groupBy("track_index").applyInPandas(run, f"track_index long, {schema}")
+    arrays = [F.col(f"_s.{c}").cast("array<double>").alias(n) for c, n in (("frame", "_x"), (column, "_y"))]
+    return _samples(tracks, "frame", column).select("track_index", *arrays).mapInPandas(run, f"track_index long, {schema}")
 
 
 def robust_residuals(tracks: DataFrame, **how) -> DataFrame:
     """track_index, i, baseline, residual by robust lines."""
-
-    def f(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        base = robust_line(x, y, **how)
-        return pd.DataFrame({"i": np.arange(len(x), dtype=np.int32), "baseline": base, "residual": y - base})
-
-    return per_track(tracks, "position", f, "i int, baseline double, residual double")
+    return _robust(tracks, ("baseline", "residual"), True, how)
 
 
 def collapse(points: DataFrame) -> DataFrame:
@@ -218,54 +315,75 @@ def collapse(points: DataFrame) -> DataFrame:
 
 def robust_tracks(tracks: DataFrame, **how) -> DataFrame:
     """tracks with baseline and residual by robust lines, in one pass over each track."""
+    return _robust(tracks, ("frame", "position", "baseline", "residual"), False, how)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        y = pdf["position"].to_numpy(float)
-        base = robust_line(pdf["frame"].to_numpy(float), y, **how)
-        return pdf.assign(baseline=base, residual=y - base)
+def _robust(tracks: DataFrame, names: tuple[str, ...], count: bool, how: dict) -> DataFrame:
+    """track_index, i (counted anew if asked) and the named columns, by robust lines."""
+    kind = "int" if count else tracks.schema["i"].dataType.simpleString()
 
-    t = tracks.select("track_index", "i", "frame", "position")
-    kind = t.schema["i"].dataType.simpleString()
-    return t.groupBy("track_index").applyInPandas(run, f"track_index long, i {kind}, frame double, position double, baseline double, residual double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("_s")).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column("_s").flatten()
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("frame", "position"))
+            base = robust_baselines(x, y, lengths, **how)
+            values = {"frame": x, "position": y, "baseline": base, "residual": y - base}
+            i = pa.array(np.arange(len(y)) - np.repeat(np.cumsum(lengths) - lengths, lengths), pa.int32()) if count else flat.field("i")
+            of = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            columns = [batch.column("track_index").take(of).cast(pa.int64()), i, *[pa.array(values[c], from_pandas=True) for c in names]]
+            yield pa.RecordBatch.from_arrays(columns, ["track_index", "i", *names])
 
+    return _samples(tracks, "frame", "position").mapInArrow(run, f"track_index long, i {kind}, " + ", ".join(f"{c} double" for c in names))
 
-def chosen_peaks(x: np.ndarray, how: dict, frames_per_period: float | None) -> pd.DataFrame:
-    """Peaks by the thresholds a configuration asks for, plus the highest finite sample where they leave fewer than its minimum.
+
+def chosen_peaks(x: np.ndarray, how: dict, frames_per_period: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, prominences and widths of peaks by the thresholds a configuration asks for, plus the highest finite sample (the last array
+    tells it) where they leave fewer than its minimum.
 
     The added peak has no width; its prominence is its height above the median. It isn't added where it is a peak already.
     """
     if how.get("adaptive"):
         names = {"distance_frac": "distance_frac", "width_frac": "width_frac", "rel_mad_k": "k", "abs_min_prom_px": "least", "nms_enable": "nms", "nms_dominance_frac": "dominance"}
-        out = find_peaks_adaptive(x, frames_per_period, **{b: how[a] for a, b in names.items() if a in how})
+        out = _peaks_adaptive(x, frames_per_period, **{b: how[a] for a, b in names.items() if a in how})
     else:
-        out = find_peaks(x, how.get("prominence", 1.0), how.get("width", 1.0), how.get("distance"))
-    out = out.assign(fallback_peak=False)
-    if not len(x) or len(out) >= how.get("minimum_per_track", 1):
+        out = _peaks(x, how.get("prominence", 1.0), how.get("width", 1.0), how.get("distance"))
+    out = (*out, np.zeros(len(out[0]), bool))
+    if not len(x) or len(out[0]) >= how.get("minimum_per_track", 1):
         return out
     known = np.isfinite(x)
     at = int(np.argmax(np.where(known, x, -np.inf))) if known.any() else len(x) // 2
-    if at in set(out["peak_i"]):
+    if at in out[0]:
         return out
     height = float(x[at] - np.median(x[known])) if known.any() else math.nan
-    spare = {"peak_i": [at], "prominence": [height], "width": [math.nan], "fallback_peak": [True]}
-    return pd.concat([out, pd.DataFrame(spare)]).sort_values("peak_i") if len(out) else pd.DataFrame(spare)
+    place = int(np.searchsorted(out[0], at))
+    return tuple(np.insert(a, place, b) for a, b in zip(out, (at, height, math.nan, True), strict=True))
 
 
 def detect(tracks: DataFrame, how: dict, freq: DataFrame, sampling_rate: float = 1.0) -> DataFrame:
     """Peaks of tracks (with residual) as the `peaks` part of a configuration asks: fixed or adaptive thresholds, with prominence, width,
     ordinal, neighbours and local period. freq (track_index, frequency) gives the adaptive thresholds their period.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        f = pdf["frequency"].iloc[0]
-        out = chosen_peaks(pdf["residual"].to_numpy(float), how, sampling_rate / f if f and f > 0 else None)
-        at = pdf.iloc[out["peak_i"].to_numpy(int)]
-        columns = {c: at[c].to_numpy() for c in ("track_index", "frame", "position", "residual")}
-        return out.reset_index(drop=True).assign(**columns)
-
-    t = tracks.select("track_index", "i", "frame", "position", "residual").join(freq.select("track_index", "frequency"), "track_index", "left")
-    found = t.groupBy("track_index").applyInPandas(run, "track_index long, peak_i int, frame double, position double, residual double, prominence double, width double, fallback_peak boolean")
+    names = ("frame", "position", "residual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("_s")).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column("_s").flatten()
+            values = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in names}
+            starts = np.cumsum(lengths) - lengths
+            periods = [sampling_rate / f if f and f > 0 else None for f in batch.column("frequency").to_pylist()]
+            found = [chosen_peaks(values["residual"][a : a + n], how, p) for a, n, p in zip(starts.tolist(), lengths.tolist(), periods, strict=True)]
+            if not found:
+                continue
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            peak, prominence, width, spare = (np.concatenate(c) for c in zip(*found, strict=True))
+            at = starts[of] + peak
+            columns = [batch.column("track_index").take(pa.array(of)).cast(pa.int64()), pa.array(peak.astype(np.int32)), *[pa.array(values[c][at], from_pandas=True) for c in names]]
+            columns += [pa.array(prominence, from_pandas=True), pa.array(width, from_pandas=True), pa.array(spare)]
+            yield pa.RecordBatch.from_arrays(columns, ["track_index", "peak_i", *names, "prominence", "width", "fallback_peak"])
+
+    t = _samples(tracks, *names).join(freq.select("track_index", "frequency"), "track_index", "left")
+    found = t.mapInArrow(run, "track_index long, peak_i int, frame double, position double, residual double, prominence double, width double, fallback_peak boolean")
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     return numbered(found.withColumns({"prominence": known("prominence"), "width": known("width")}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import tracks as T
@@ -116,10 +116,10 @@ def wave_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEAK_SELECT = " SELECT track_index, peak_ord AS peak_index, peak_i, frame AS pos, round(residual, 6) AS value, round(period_frames, 6) AS local_period_frames, round(freq_hz, 6) AS local_freq_hz, round(fit_amp, 6) AS fit_amp, round(fit_offset, 6) AS fit_offset, round(fit_error, 6) AS fit_error, fit_lo, fit_hi, round(fit_orientation, 6) AS orientation, round(fit_orientation_std, 6) AS orientation_std, round(prominence, 6) AS prominence, fallback_peak FROM fit"
 
 
-def peak_select(p: DataFrame) -> DataFrame:
+def peak_select(p: DataFrame, *more: Column) -> DataFrame:
     return p.select(
         "track_index", F.col("peak_ord").alias("peak_index"), "peak_i", F.col("frame").alias("pos"), r6("residual", "value"), r6("period_frames", "local_period_frames"), r6("freq_hz", "local_freq_hz"), r6("fit_amp"), r6("fit_offset"), r6("fit_error"), "fit_lo", "fit_hi",
-        r6("orientation"), r6("orientation_std"), r6("prominence"), "fallback_peak",
+        r6("orientation"), r6("orientation_std"), r6("prominence"), "fallback_peak", *more,
     )
 
 
