@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import BLANKS, join_counted, n_words, stash
 
 
-#: So many earlier documents are tried for each common run.
+#: So many earlier documents are tried for each common run, unless all are asked for.
 ROUNDS = 2
+#: Where all are tried, at most so many of a run's holders are tried in one pass, and so many pairs of a run and a holder in one document.
+DEPTH = 64
+DOCUMENT_PAIRS = 500_000
 
 
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,9 +92,9 @@ def align_runs(runs: list[dict]) -> tuple[list[tuple[int, int]], list[int]]:
     return blocks, [i for j, i in enumerate(places) if j not in set(matched)]
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
+def _aligned(pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """later, start, stop, run, again: from rows (later, runs), a pair of documents each, the common blocks in the later document (run is
-    null), and the runs that the alignment leaves over."""
+    null), and the runs that the alignment leaves over. With a depth a row is a later document whose runs have their holders with them."""
     names = ["later", "start", "stop", "run", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +102,7 @@ def _aligned(pairs: DataFrame) -> DataFrame:
             rows, out = [], []
             for i in range(batch.num_rows):
                 runs = batch.column("runs")[i].as_py()
-                blocks, left = align_runs(runs)
+                blocks, left = align_runs(runs) if depth is None else align_holders(runs, depth)
                 out += [(*x, None, None) for x in blocks] + [(runs[k]["start"], runs[k]["stop"], runs[k]["run"], runs[k]["again"]) for k in left]
                 rows += [i] * (len(blocks) + len(left))
             columns = zip(*out, strict=True) if out else [()] * 4
@@ -109,6 +112,25 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.select("later", "runs").mapInArrow(run, f"later {pairs.schema['later'].dataType.simpleString()}, start int, stop int, run long, again long")
 
 
+def align_holders(runs: list[dict], depth: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """What align_runs gives for one later document with one earlier document after the other: each run of runs goes to the first of its
+    holders (key, place, until), what is left over to the next, and so on. Runs still left after `depth` holders are left over; those that
+    have no holder any more aren't."""
+    blocks: list[tuple[int, int]] = []
+    left = list(range(len(runs)))
+    for k in range(depth):
+        by_holder: dict[tuple, list[int]] = {}
+        for i in left:
+            if k < len(runs[i]["holders"]):
+                by_holder.setdefault(tuple(runs[i]["holders"][k]["key"].values()), []).append(i)
+        left = []
+        for mine in by_holder.values():
+            found, over = align_runs([runs[i] | {c: runs[i]["holders"][k][c] for c in ("place", "until")} for i in mine])
+            blocks += found
+            left += [mine[i] for i in over]
+    return blocks, left
+
+
 def _runs(shared: DataFrame, least: int) -> DataFrame:
     """key, start, stop, run, again: shortest runs of neighbouring lines of at least so many words, from each line on and up to each line.
 
@@ -133,7 +155,7 @@ def _runs(shared: DataFrame, least: int) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 5, rounds: int = ROUNDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 5, rounds: int | None = ROUNDS) -> DataFrame:
     """doc_id, n_lines, removed (array of line numbers), kept (text) for every row of docs.
 
     Documents are in order of id (null last), then of a hash of their text. A line is compared without blanks around it; lines without a
@@ -143,9 +165,10 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, rounds: int = ROUNDS) ->
     two are aligned by patience diff over the runs that pair them. From the later document go the aligned blocks, and nothing else: of
     blocks that stand in another order than in the earlier document only those of one common order go, and of a block that stands
     there once and here twice one. What is left over is then paired with the next document that has it, if that is still an earlier
-    one, and aligned with it; so up to `rounds` documents are tried for each run. What no alignment matches stays.
+    one, and aligned with it; so up to `rounds` documents are tried for each run, or with None every earlier one that has it. What no
+    alignment matches stays.
 
-    There are at most `rounds` pairs for each run: no group of documents is expanded into its pairs, and none is left out. Only the common
+    A run is paired again only where it was left over: no group of documents is expanded into its pairs, and none is left out. Only the common
     runs of a pair travel, not the documents. The first document with a block keeps it.
 
     Rows that agree in id and text are one document: each comes out alike. Null text has no lines and is kept as null. An empty table
@@ -154,7 +177,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, rounds: int = ROUNDS) ->
     return _deduped(docs, least_words, rounds).select("doc_id", "n_lines", "removed", "kept")
 
 
-def deduped_documents(docs: DataFrame, least_words: int = 5, rounds: int = ROUNDS) -> DataFrame:
+def deduped_documents(docs: DataFrame, least_words: int = 5, rounds: int | None = ROUNDS) -> DataFrame:
     """docs with their columns, the text without the removed lines, and n_chars, where there is one, to match. No row goes."""
     done = _deduped(docs, least_words, rounds)
     new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
@@ -167,7 +190,45 @@ def _holders(runs: DataFrame) -> DataFrame:
     return homes.select(F.col("run").alias("r2"), F.col("again").alias("a2"), "n", F.col("low.key").alias("holder"), F.col("low.start").alias("place"), F.col("low.stop").alias("until"))
 
 
-def common_blocks(lines: DataFrame, least_words: int, rounds: int = ROUNDS) -> DataFrame:
+def _next_holders(able: DataFrame, depth: int) -> DataFrame:
+    """r2, a2, holders, held, last: of each run the next `depth` documents that have it, in order, with its first place there. Long lists
+    are cut in 64 parts first, so that no task sorts all the documents of a frequent run."""
+    first = able.groupBy("run", "again", "key").agg(F.min(F.struct("start", "stop")).alias("p"))
+    part = F.pmod(F.xxhash64("key"), F.lit(64))
+    for by in ([part.alias("_part")], []):
+        first = first.select("run", "again", "key", "p", *by).withColumn("_n", F.row_number().over(Window.partitionBy("run", "again", *["_part"] * len(by)).orderBy("key"))).where(F.col("_n") <= depth)
+    listed = F.array_sort(F.collect_list(F.struct("key", F.col("p.start").alias("place"), F.col("p.stop").alias("until"))))
+    return first.groupBy(F.col("run").alias("r2"), F.col("again").alias("a2")).agg(listed.alias("holders"), F.count(F.lit(1)).alias("held"), F.max("key").alias("last"))
+
+
+def _rest(asked: DataFrame, able: DataFrame, gone: list[DataFrame], total: int) -> None:
+    """Tries all other earlier holders of the runs asked, and appends the blocks that are aligned to gone.
+
+    A pass gives each document its runs that are left with the next holders of each, and one task aligns them one after the other. The fewer
+    runs are left, the more holders a pass tries, so that it never has more pairs of a run and a holder than there are runs (or
+    one each, if they are many), and never more than DOCUMENT_PAIRS in a document.
+    """
+    on = {"run": "r2", "again": "a2"}
+    while True:
+        size = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if not size[0]:
+            return
+        depth = max(1, min(DEPTH, total // size[0], DOCUMENT_PAIRS // size[1]))
+        holders = stash(_next_holders(able, depth), "rest-holders")
+        often = asked.groupBy(F.col("run").alias("r3"), F.col("again").alias("a3")).agg(F.count(F.lit(1)).alias("n"))
+        named = stash(holders.join(often, (F.col("r2") == F.col("r3")) & (F.col("a2") == F.col("a3"))).drop("r3", "a3"), "rest-asked")
+        met = join_counted(asked, named, on, "n", size[0]).withColumn("holders", F.filter("holders", lambda h: h["key"] < F.col("key"))).where(F.size("holders") > 0)
+        documents = met.groupBy(F.col("key").alias("later")).agg(F.collect_list(F.struct("start", "stop", "run", "again", "holders")).alias("runs"))
+        found = stash(_aligned(documents, depth), "rest-aligned")
+        gone.append(found.where("run is null").select("later", "start", "stop"))
+        asked = found.where("run is not null").select(F.col("later").alias("key"), "start", "stop", "run", "again")
+        more = named.where(F.col("held") == depth).select("r2", "a2", "last").join(asked.select(F.col("run").alias("r2"), F.col("again").alias("a2")).distinct(), ["r2", "a2"], "left_semi")
+        counts = able.groupBy(F.col("run").alias("r3"), F.col("again").alias("a3")).agg(F.count(F.lit(1)).alias("n"))
+        more = stash(more.join(counts, (F.col("r2") == F.col("r3")) & (F.col("a2") == F.col("a3"))).drop("r3", "a3"), "rest-tried")
+        able = stash(join_counted(able, more, on, "n", total).where(F.col("key") > F.col("last")).select("key", "start", "stop", "run", "again"), "rest-able")
+
+
+def common_blocks(lines: DataFrame, least_words: int, rounds: int | None = ROUNDS) -> DataFrame:
     """later, at: numbers of the lines (key, at, k, h, g, words) that go from later documents."""
     seen = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select(F.col("h").alias("h2"), F.col("g").alias("g2"), "n")
     shared = stash(join_counted(lines, stash(seen, "seen-lines"), {"h": "h2", "g": "g2"}, "n", lines.count()).drop("h2", "g2", "n"), "shared-lines")
@@ -175,7 +236,7 @@ def common_blocks(lines: DataFrame, least_words: int, rounds: int = ROUNDS) -> D
     total, on = runs.count(), {"run": "r2", "again": "a2"}
     # Runs that are to be aligned, and the documents that may hold them.
     asked, able, gone = runs, runs, []
-    for k in range(rounds):
+    for k in range(ROUNDS if rounds is None else rounds):
         holders = stash(_holders(able), "run-holders")
         met = join_counted(asked, holders, on, "n", total).where(F.col("key") > F.col("holder"))
         pairs = met.groupBy(F.col("key").alias("later"), "holder").agg(F.collect_list(F.struct("start", "stop", "run", "again", "place", "until")).alias("runs"))
@@ -183,17 +244,20 @@ def common_blocks(lines: DataFrame, least_words: int, rounds: int = ROUNDS) -> D
         gone.append(found.where("run is null").select("later", "start", "stop"))
         left = found.where("run is not null")
         if k + 1 == rounds or left.isEmpty():
+            left = None
             break
         # The next round looks for each left run's next holder: among the documents after the one that was tried.
         asked = left.select(F.col("later").alias("key"), "start", "stop", "run", "again")
         tried = holders.join(asked.select(F.col("run").alias("r2"), F.col("again").alias("a2")).distinct(), ["r2", "a2"], "left_semi")
         able = stash(join_counted(able, stash(tried, "tried-holders"), on, "n", total).where(F.col("key") > F.col("holder")).select("key", "start", "stop", "run", "again"), "next-holders")
+    if left is not None:
+        _rest(asked, able, gone, total)
     places = reduce(DataFrame.unionByName, gone).select("later", F.explode(F.sequence("start", "stop")).alias("place")).distinct()
     numbers = shared.select(F.col("key").alias("k6"), F.col("k").alias("place6"), "at")
     return places.join(numbers, (F.col("later") == F.col("k6")) & (F.col("place") == F.col("place6"))).select("later", "at")
 
 
-def _deduped(docs: DataFrame, least_words: int, rounds: int) -> DataFrame:
+def _deduped(docs: DataFrame, least_words: int, rounds: int | None) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
     mark = F.xxhash64("text")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("mark"))
