@@ -180,16 +180,19 @@ def prune_ends(on: DataFrame, rounds: int) -> DataFrame:
 
 
 def label(on: DataFrame) -> DataFrame:
-    """image, y, x, label: 8-connected components of set pixels, named by their first pixel (y, then x)."""
+    """image, y, x, label: 8-connected components of set pixels, named by their first pixel (y, then x).
+
+    The table of components grows with the pixels, though its file is small: it is joined by shuffle, never sent to the driver.
+    """
     code = lambda y, x: F.shiftleft(F.col("image").cast("long"), 40) + F.shiftleft(F.col(y).cast("long"), 20) + F.col(x)
     edges = neighbours(on).select(code("y", "x").alias("a"), code("ny", "nx").alias("b"))
     got = components(edges)
-    return on.select("image", "y", "x", code("y", "x").alias("_c")).join(got, F.col("_c") == F.col("node"), "left").select("image", "y", "x", F.coalesce("root", "_c").alias("label"))
+    return on.select("image", "y", "x", code("y", "x").alias("_c")).join(got.hint("merge"), F.col("_c") == F.col("node"), "left").select("image", "y", "x", F.coalesce("root", "_c").alias("label"))
 
 
 def large_components(labelled: DataFrame, least_pixels: int, least_rows: int) -> DataFrame:
     good = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (F.max("y") - F.min("y") + 1).alias("h")).where((F.col("n") >= least_pixels) & (F.col("h") >= least_rows))
-    return labelled.join(good.select("label"), "label", "left_semi")
+    return labelled.join(good.select("label").hint("merge"), "label", "left_semi")
 
 
 def hysteresis(df: DataFrame, low: float, high: float) -> DataFrame:

@@ -99,7 +99,7 @@ def prune_branches(on: DataFrame, size: int) -> DataFrame:
         ends = step_degrees(left).where("degree = 1").select("image", "y", "x")
         around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in STEPS])).alias("m")
         near = ends.select("image", "y", "x", around).select("image", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"))
-        left = stash(left.unionByName(near.join(on, ["image", "y", "x"], "left_semi")).distinct(), "prune")
+        left = stash(left.unionByName(near.join(on.hint("merge"), ["image", "y", "x"], "left_semi")).distinct(), "prune")
     return left
 
 
@@ -114,9 +114,10 @@ def one_way_tracks(prob: DataFrame, threshold: float, least_pixels: int = 3, lea
     for _ in range(3):
         on = smooth_sides(on)
     on = prune_branches(stash(grid.thin(on), "one-way-thin"), 2)
+    # Tables of pixels and tracks grow with the images and are joined by shuffle, however small their files are.
     # Rows from the first to the last, apart by least_frames or more.
     parts = grid.large_components(grid.label(on), least_pixels, least_frames + 1)
     mean = parts.groupBy("image", "label", "y").agg(F.bround(F.avg("x")).cast("int").alias("x"))
     tracks = mean.groupBy("image", "label").agg((F.max("y") - F.min("y")).alias("span")).where(F.col("span") >= least_frames)
     number: Column = F.row_number().over(Window.partitionBy("image").orderBy("label")) - 1
-    return mean.join(tracks.select("image", "label", number.cast("long").alias("track")), ["image", "label"]).select("image", "track", "y", "x")
+    return mean.join(tracks.select("image", "label", number.cast("long").alias("track")).hint("merge"), ["image", "label"]).select("image", "track", "y", "x")
