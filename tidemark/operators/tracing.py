@@ -2,8 +2,8 @@
 
 A step in one direction is a half-edge. Which half-edge follows another is settled inside a pixel by its eight neighbours alone: at each
 pixel its steps are paired, the straightest pair first, so a track that comes in by one step of a pair goes out by the other. Pixels
-where tracks cross thus belong to several tracks, steps to one. Chains of half-edges are numbered by pointer doubling, all images at
-once: as many joins as the longest track has binary digits.
+where tracks cross thus belong to several tracks, steps to one. Chains of half-edges are numbered by pointer doubling, as many looks as the
+longest track has binary digits: in arrays, one image a group, or, for images of very many half-edges, by joins.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from tidemark.sources.stash import stash
 #: Directions 0 to 7, row by row; 7 - k is the opposite of k.
 STEPS = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0))
 NONE = 15
+#: Images of at most so many pixels, or half-edges, are followed as arrays, each in one group.
+FEW = 500_000
 
 
 def straightness(came: int, goes: int) -> float:
@@ -177,7 +181,86 @@ def _ranked(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
         waiting = s["found"] + s["moved"]
 
 
-def trace(on: DataFrame, least_points: int = 3, sharpest: float = -1.0, chosen: DataFrame | None = None) -> DataFrame:
+def numpy_half_edges(y: np.ndarray, x: np.ndarray, open_of: np.ndarray, pair_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns y, x, k, id, prev (-1: none) of half_edges for one image's distinct pixels, of the tables of open and paired directions
+    by code; pixels without any step have one row, with k = 8."""
+    at = (y << 32) + (x << 4)
+    known = np.sort(at)
+    near = [at + (dy << 32) + (dx << 4) for dy, dx in STEPS]
+    code = sum((known[np.minimum(np.searchsorted(known, to), len(known) - 1)] == to).astype(np.int64) << k for k, to in enumerate(near))
+    pixel, k = np.nonzero(open_of[code])
+    came = pair_of[code[pixel], k]
+    prev = np.where(came != NONE, np.stack(near)[came % 8, pixel] + 7 - came, -1)
+    alone = np.flatnonzero(~open_of[code].any(axis=1))
+    pixel, k = np.concatenate((pixel, alone)), np.concatenate((k, np.full(len(alone), 8)))
+    return y[pixel], x[pixel], k, at[pixel] + k, np.concatenate((prev, np.full(len(alone), -1)))
+
+
+def numpy_tracks(y: np.ndarray, x: np.ndarray, k: np.ndarray, name: np.ndarray, prev: np.ndarray, least_points: int) -> tuple[np.ndarray, ...]:
+    """track, i, y, x of one image's half-edges; prev is -1 where a track begins, and k 8 for pixels without any step.
+
+    Pointer doubling as in _ranked, over places in the sorted ids; the place after the last stands for half-edges that aren't there.
+    """
+    order = np.argsort(name)
+    y, x, k, name, prev = (c[order] for c in (y, x, k, name, prev))
+    n, steps = len(name), np.array([*STEPS, (0, 0)])[k]
+    ny, nx = y + steps[:, 0], x + steps[:, 1]
+
+    def place(of: np.ndarray) -> np.ndarray:
+        p = np.minimum(np.searchsorted(name, of), n - 1)
+        return np.where(name[p] == of, p, n)
+
+    back = place((ny << 32) + (nx << 4) + 7 - k)
+    first, here = prev == -1, np.arange(n)
+    begins, names = np.append(first, False), np.append(name, np.iinfo(np.int64).max)
+    before = np.append(np.where(first, here, place(prev)), n)
+
+    def followed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        root, rank, least = before, (before != np.arange(n + 1)).astype(np.int64), np.minimum(names, names[before])
+        for _ in range(n.bit_length()):
+            rank, least, root = rank + rank[root], np.minimum(least, least[root]), root[root]
+        return root, rank, least
+
+    root, rank, least = followed()
+    circle = ~begins[root] & (root != n)
+    if circle.any():
+        # A circle is cut at its least half-edge and followed again. Of its two directions the one with the smaller least stays.
+        stays = circle[:n] & (least[:n] < least[back])
+        before[:n] = np.where(stays & (name == least[:n]), here, before[:n])
+        root, rank, _ = followed()
+        stays = np.append(stays, False)
+    else:
+        stays = circle
+    root, rank = root[:n], rank[:n]
+    # A chain's last half-edge tells its direction, and brings one more point.
+    last = np.flatnonzero(begins[root])
+    last = last[np.lexsort((rank[last], root[last]))]
+    last = last[np.append(root[last][1:] != root[last][:-1], True)] if len(last) else last
+    last = last[(k[last] == 8) | (name[root[last]] < (ny << 32)[last] + (nx << 4)[last] + 7 - k[last])]
+    kept = np.zeros(n + 1, bool)
+    kept[root[last]] = True
+    on, last = np.flatnonzero(kept[root] | stays[:n]), last[k[last] != 8]
+    root, rank = np.concatenate((root[on], root[last])), np.concatenate((rank[on], rank[last] + 1))
+    y, x = np.concatenate((y[on], ny[last])), np.concatenate((x[on], nx[last]))
+    long = np.bincount(root, minlength=n) >= max(least_points, 1)
+    keep = long[root]
+    return (np.cumsum(long) - 1)[root[keep]], rank[keep], y[keep], x[keep]
+
+
+def _numbers(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    return tuple(table.column(c).to_numpy().astype(np.int64) for c in names)
+
+
+def _many(rows: DataFrame, few: int) -> DataFrame:
+    """The images of more than few rows."""
+    return stash(rows.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("image"), "many")
+
+
+def _kind(rows: DataFrame) -> str:
+    return f"image {rows.schema['image'].dataType.simpleString()}"
+
+
+def trace(on: DataFrame, least_points: int = 3, sharpest: float = -1.0, chosen: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """image, track, i, y, x: the tracks of skeletons, each pixel in its order.
 
     Every step between neighbouring set pixels is in exactly one track, whatever its direction; pixels where tracks cross are in several,
@@ -186,9 +269,32 @@ def trace(on: DataFrame, least_points: int = 3, sharpest: float = -1.0, chosen:
 
     Where three or more steps meet, the straightest pair goes on (see pairing), or that of the highest score where `chosen` (image, y, x,
     a, b, score) has some for the pixel, as a trained decision would give them. Repeated pixels count once; an empty table gives none.
+    Images of more than `few` half-edges are followed by joins, which no task does alone.
     """
     on = on.select("image", "y", "x")
-    edges = stash(half_edges(on, sharpest, chosen), "half-edges")
+    edges = half_edges(on, sharpest, chosen)
+    if least_points <= 1:
+        on = stash(on, "trace-pixels")
+        edges = half_edges(on, sharpest, chosen)
+        alone = step_degrees(on).where("degree = 0").select("image", "y", "x", F.lit(8).alias("k"), edge_id(F.col("y"), F.col("x"), F.lit(8)).alias("id"), F.lit(None).cast("long").alias("prev"))
+        edges = edges.unionByName(alone)
+    edges = stash(edges.where("image is not null and id is not null"), "half-edges")
+    many = _many(edges, few)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        y, x, k, name = _numbers(table, "y", "x", "k", "id")
+        found = numpy_tracks(y, x, k, name, table.column("prev").fill_null(-1).to_numpy(), least_points)
+        return pa.table({"image": pa.repeat(key[0], len(found[0])), **{c: v.astype(np.int32) for c, v in zip(("track", "i", "y", "x"), found, strict=True)}})
+
+    follow = lambda e: e.groupBy("image").applyInArrow(run, f"{_kind(e)}, track int, i int, y int, x int")
+    if many.isEmpty():
+        return follow(edges)
+    return follow(edges.join(many, "image", "left_anti")).unionByName(_trace_joined(stash(edges.join(many, "image", "left_semi"), "many-half-edges"), least_points))
+
+
+def _trace_joined(edges: DataFrame, least_points: int) -> DataFrame:
+    """trace of half-edges, by joins over all images at once."""
+    alone, edges = edges.where("k = 8"), edges.where("k < 8")
     ranked, circles, _ = _ranked(edges, "chains")
     place = edges.select("image", "id", "y", "x", "k")
     if not circles.isEmpty():
@@ -207,24 +313,49 @@ def trace(on: DataFrame, least_points: int = 3, sharpest: float = -1.0, chosen:
     points = points.unionByName(ends.select("image", "root", (F.col("rank") + 1).alias("rank"), ny.alias("y"), nx.alias("x")))
     if not circles.isEmpty():
         points = points.unionByName(ring_points)
-    if least_points <= 1:
-        alone = on.distinct().join(edges.select("image", "y", "x").distinct(), ["image", "y", "x"], "left_anti")
-        points = points.unionByName(alone.select("image", edge_id(F.col("y"), F.col("x"), F.lit(8)).alias("root"), F.lit(0).cast("long").alias("rank"), "y", "x"))
+    points = points.unionByName(alone.select("image", F.col("id").alias("root"), F.lit(0).cast("long").alias("rank"), "y", "x"))
     points = stash(points, "track-points")
     tracks = points.groupBy("image", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_points)
     tracks = tracks.select("image", "root", (F.row_number().over(Window.partitionBy("image").orderBy("root")) - 1).alias("track"))
     return points.join(tracks, ["image", "root"]).select("image", "track", F.col("rank").cast("int").alias("i"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
 
 
-def harvest(on: DataFrame, least_points: int = 8, rounds: int = 50, sharpest: float = -1.0) -> DataFrame:
+def harvest(on: DataFrame, least_points: int = 8, rounds: int = 50, sharpest: float = -1.0, few: int = FEW) -> DataFrame:
     """image, round, track, i, y, x: tracks of least_points pixels or more, then those of what they leave, until none is found.
 
     What a round found is taken out of the skeleton, so that pieces which its crossings had cut off grow together. Images whose
-    skeleton gives no more drop out; `rounds` is the most that are made.
+    skeleton gives no more drop out; `rounds` is the most that are made. An image goes through its rounds in one group; only those of more
+    than `few` pixels go round by round together.
     """
-    left, found = stash(on.select("image", "y", "x").distinct(), "harvest-skeleton"), []
+    left = stash(on.select("image", "y", "x").where("image is not null and y is not null and x is not null"), "harvest-skeleton")
+    many = _many(left, few)
+    open_of = np.array([[k in open_directions(c) for k in range(8)] for c in range(256)])
+    pair_of = np.array([pairing(c, sharpest) for c in range(256)])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at, found = np.unique(np.stack(_numbers(table, "y", "x")), axis=1), []
+        for k in range(rounds):
+            got = numpy_tracks(*numpy_half_edges(*at, open_of, pair_of), least_points)
+            if not len(got[0]):
+                break
+            found.append(np.stack((np.full(len(got[0]), k), *got)))
+            spot = lambda p: (p[0] << 32) + p[1]
+            at = at[:, ~np.isin(spot(at), spot(got[2:]))]
+            if not at.size:
+                break
+        rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        return pa.table({"image": pa.repeat(key[0], rows.shape[1]), **{c: v.astype(np.int32) for c, v in zip(("round", "track", "i", "y", "x"), rows, strict=True)}})
+
+    follow = lambda p: p.groupBy("image").applyInArrow(run, f"{_kind(p)}, round int, track int, i int, y int, x int")
+    if many.isEmpty():
+        return follow(left)
+    return follow(left.join(many, "image", "left_anti")).unionByName(_harvest_joined(left.join(many, "image", "left_semi").distinct(), least_points, rounds, sharpest, few))
+
+
+def _harvest_joined(on: DataFrame, least_points: int, rounds: int, sharpest: float, few: int) -> DataFrame:
+    left, found = stash(on, "harvest-skeleton"), []
     for k in range(rounds):
-        got = stash(trace(left, least_points, sharpest).withColumn("round", F.lit(k)), "harvest-tracks")
+        got = stash(trace(left, least_points, sharpest, few=few).withColumn("round", F.lit(k)), "harvest-tracks")
         if k and got.isEmpty():
             break
         found.append(got)
