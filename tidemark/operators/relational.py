@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.stash import stash
+
 NUMBER_FIELDS = {"track_index", "points", "num_peaks", "mean_amplitude", "dominant_frequency", "period"}
 TEXT_FIELDS = {"sample"}
 COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
@@ -78,6 +80,24 @@ def number_events(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFr
     return new.join(ends, "job_id", "left").withColumn("seq", F.coalesce("_end", F.lit(0)) + nth).drop("_end")
 
 
+def number_many_events(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """As number_events, also for a job of very many events: no task has all of a job's.
+
+    Events are sorted by range over all partitions and written with their places there; a job goes on from one partition to the next by the
+    counts of those before, one row a job and partition.
+    """
+    placed = new.repartitionByRange("job_id", *order).sortWithinPartitions("job_id", *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stash(placed, "events").withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy("job_id", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("job_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = stored.groupBy("job_id").agg(F.max("seq").alias("_end"))
+    begins = parts.withColumn("_before", before).join(ends, "job_id", "left").select(
+        F.col("job_id").alias("_job"), F.col("_part").alias("_of"), (F.coalesce("_end", F.lit(0)) + F.col("_before") + 1 - F.col("_first")).alias("_begin")
+    )
+    met = placed.join(begins, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_part") == F.col("_of")))
+    return met.withColumn("seq", F.col("_begin") + F.col("_at")).drop("_at", "_part", "_job", "_of", "_begin")
+
+
 def _without(old: Column, more: Column) -> Column:
     return F.map_filter(old, lambda k, v: ~F.map_contains_key(more, k))
 

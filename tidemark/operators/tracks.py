@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.sources.stash import stash
+
 
 def track() -> WindowSpec:
     """All samples of a track."""
@@ -209,8 +211,11 @@ def with_fallback(tracks: DataFrame, peaks: DataFrame, minimum: int = 1) -> Data
 
 
 def find_peaks(tracks: DataFrame, prominence: float, minimum: int = 1) -> DataFrame:
-    """Peaks of at least this prominence, one at least per track with fewer than `minimum` of them, with ordinal, neighbours and the local period in frames."""
-    return numbered(with_fallback(tracks, prominences(tracks).where(F.col("prominence") >= prominence), minimum))
+    """Peaks of at least this prominence, one at least per track with fewer than `minimum` of them, with ordinal, neighbours and the local period in frames.
+
+    Prominences, which the fallback looks at three times, are written once.
+    """
+    return numbered(with_fallback(tracks, stash(prominences(tracks).where(F.col("prominence") >= prominence), "prominences"), minimum))
 
 
 def numbered(peaks: DataFrame) -> DataFrame:
@@ -307,6 +312,8 @@ def wave_rows(tracks: DataFrame, peaks: DataFrame, freq: DataFrame, sampling_rat
     w = wave_windows(peaks, freq, sampling_rate)
     w = w.withColumn("period_frames", F.col("frame2") - F.col("frame1"))
     w = w.withColumn("freq_hz", F.coalesce(F.when(F.col("period_frames") > 0, F.lit(sampling_rate) / F.col("period_frames")), F.col("global_freq"))).withColumn("fit_freq", F.col("freq_hz"))
+    # Windows need no fit: samples are met without it, lest it is made twice.
+    windows = w.select("track_index", "peak_i", "frame1", "frame2")
     w = anchored_fits(tracks, w, sampling_rate, frac).drop("orientation", "orientation_std")
     by_frame = track().orderBy("frame", "i")
     s = tracks.select(
@@ -318,7 +325,7 @@ def wave_rows(tracks: DataFrame, peaks: DataFrame, freq: DataFrame, sampling_rat
     below = lambda t: (F.col("_f") <= F.col(t)) & F.coalesce(F.col("_next") > F.col(t), F.lit(True))
     above = lambda t: (F.col("_f") >= F.col(t)) & F.coalesce(F.col("_prev") < F.col(t), F.lit(True))
     needed = inside | near | below("frame1") | above("frame1") | below("frame2") | above("frame2")
-    met = w.select("track_index", "peak_i", "frame1", "frame2").join(s, (F.col("track_index") == F.col("_t")) & needed)
+    met = windows.join(s, (F.col("track_index") == F.col("_t")) & needed)
     aggs = [F.count_if(inside).alias("_n"), F.min("_lowest").alias("_fmin"), F.max("_highest").alias("_fmax")]
     # One sample each is next below and above a window's end.
     aggs += [F.max(F.when(side(f"frame{k}"), F.col(c))).alias(f"_at{k}_{end}{c[1]}") for k in (1, 2) for end, side in (("l", below), ("h", above)) for c in ("_f", "_p")]

@@ -44,11 +44,11 @@ class Jobs:
         both = one.select("job_id", F.explode(F.array(
             F.struct(F.lit(0).alias("n"), F.lit(CREATED).alias("type"), payload.alias("payload")), F.struct(F.lit(1).alias("n"), F.lit(STATUS).alias("type"), F.lit(_json(status="queued")).alias("payload")),
         )).alias("e")).select("job_id", "e.*")
-        return self.log.append_when(lambda known: both.join(known(CREATED).select("job_id").distinct(), "job_id", "left_anti"), ["n"], (CREATED, STATUS))
+        return self.log.append_when(lambda known: both.join(known(CREATED).select("job_id").distinct(), "job_id", "left_anti"), ["n"], (CREATED, STATUS), few=True)
 
     def say(self, job_id: int, kind: str, tag: str | None = None, **fields: Any) -> int | None:
         row = self.spark.range(1).select(F.lit(job_id).cast("long").alias("job_id"), F.lit(kind).alias("type"), F.lit(_json(**fields)).alias("payload"), F.lit(0).alias("n"))
-        return self.log.append(row, ["n"], (kind,), tag)
+        return self.log.append(row, ["n"], (kind,), tag, few=True)
 
     def rename(self, job_id: int, run_name: str) -> None:
         self.get(job_id)

@@ -18,7 +18,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.relational import number_events
+from tidemark.operators.relational import number_events, number_many_events
 
 #: Fixed value: how often an append is tried before it gives up.
 TRIES = 5
@@ -172,14 +172,15 @@ class EventLog:
     def tags(self) -> set[str]:
         return {c["tag"] for c in self._commits() if c["tag"]}
 
-    def append(self, events: DataFrame, order: list[str], kinds: tuple[str, ...], tag: str | None = None, before: Callable[[], None] | None = None) -> int | None:
+    def append(self, events: DataFrame, order: list[str], kinds: tuple[str, ...], tag: str | None = None, before: Callable[[], None] | None = None, few: bool = False) -> int | None:
         """Appends events (job_id, type, payload and the columns of order) of the kinds named; returns the commit's number.
 
-        A tag is committed once only: None comes back if it is there already. before is called between numbering and claiming.
+        A tag is committed once only: None comes back if it is there already. before is called between numbering and claiming. few says
+        that a job has a handful of them, which one task may number.
         """
-        return self.append_when(lambda known: events, order, kinds, tag, before)
+        return self.append_when(lambda known: events, order, kinds, tag, before, few)
 
-    def append_when(self, made: Callable[[Callable[..., DataFrame]], DataFrame], order: list[str], kinds: tuple[str, ...], tag: str | None = None, before: Callable[[], None] | None = None) -> int | None:
+    def append_when(self, made: Callable[[Callable[..., DataFrame]], DataFrame], order: list[str], kinds: tuple[str, ...], tag: str | None = None, before: Callable[[], None] | None = None, few: bool = False) -> int | None:
         """As append, with events made anew at each try: made gets a function that returns the log's events of some kinds as they are."""
         for _ in range(TRIES):
             commits = self._commits()
@@ -187,7 +188,7 @@ class EventLog:
                 return None
             ends, at = self._read("ends", commits, "job_id long, seq long"), uuid.uuid4().hex
             new = made(lambda *wanted, seen=commits: self._events(seen, wanted))
-            number_events(ends, new, order).select("job_id", "type", "payload", F.col("seq").cast("long")).write.parquet(f"{self.root}/rows/{at}")
+            (number_events if few else number_many_events)(ends, new, order).select("job_id", "type", "payload", F.col("seq").cast("long")).write.parquet(f"{self.root}/rows/{at}")
             rows = self.spark.read.schema(EVENT).parquet(f"{self.root}/rows/{at}")
             rows.groupBy("job_id").agg(F.max("seq").alias("seq")).write.parquet(f"{self.root}/ends/{at}")
             if before:
