@@ -23,14 +23,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = _both_ways(edges)
     low = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-    return both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return both.where("b > a").join(low.hint("merge"), F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("s"))
     low = down.groupBy(F.col("n").alias("k")).agg(F.min("s").alias("m"))
-    tied = down.join(low, F.col("n") == F.col("k"))
+    tied = down.join(low.hint("merge"), F.col("n") == F.col("k"))
     pairs = tied.select(F.col("m").alias("a"), F.col("s").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("k").alias("b")))
     return pairs.where("a <> b").distinct()
 
@@ -70,7 +70,8 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     another way, which alternates large-star and small-star steps until the edges are stars around their smallest nodes; the number of rounds grows with the
     logarithm of the longest path. Each round is written to the shared folder. The groups are only reduced by min before
     anything travels; the join that ties a node's neighbours to that minimum has a row for each of them, and where a node has very many, it
-    is left to adaptive execution to split them. Self-loops and repeated edges are ignored. Only two counts reach the driver.
+    is left to adaptive execution to split them. Nothing is broadcast: files of stars are small for the rows they hold. Self-loops and repeated
+    edges are ignored. Only two counts reach the driver.
     """
     now = stash(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if now.limit(few + 1).count() <= few:
@@ -78,7 +79,7 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     while True:
         # A forest of stars: no node is both a centre and a leaf, and every leaf has one centre.
         leaves = now.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-        broken = leaves.where("n > 1").select("b").unionByName(leaves.join(now.select(F.col("a").alias("c")), F.col("b") == F.col("c"), "left_semi").select("b"))
+        broken = leaves.where("n > 1").select("b").unionByName(leaves.join(now.select(F.col("a").alias("c")).hint("merge"), F.col("b") == F.col("c"), "left_semi").select("b"))
         if broken.isEmpty():
             break
         now = stash(_small_star(_large_star(now)), "edges")

@@ -20,6 +20,8 @@ from tidemark.sources.stash import stash
 from tidemark.operators.components import components
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
+#: Half of those steps: each pair of pixels once.
+ONWARD = [s for s in EIGHT if s > (0, 0)]
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -159,11 +161,14 @@ def shave_weak(mask: DataFrame, prob: DataFrame, below: float) -> DataFrame:
     return both.join(opened, ["image", "y", "x"]).withColumn("v", F.greatest("_o", "_strong")).drop("_o", "_p", "_strong")
 
 
-def neighbours(on: DataFrame) -> DataFrame:
-    """image, y, x, ny, nx: pairs of set pixels that touch, each in both directions."""
-    moves = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in EIGHT])
+def neighbours(on: DataFrame, steps: list[tuple[int, int]] = EIGHT) -> DataFrame:
+    """image, y, x, ny, nx: pairs of set pixels that touch, each in both directions; or only those with given steps from (ny, nx) to (y, x).
+
+    Pixels grow with the images, and files of them are small for the rows they hold: they are joined by shuffle, never sent to the driver.
+    """
+    moves = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps])
     sent = on.select("image", F.col("y").alias("ny"), F.col("x").alias("nx"), F.explode(moves).alias("m")).select("image", (F.col("ny") + F.col("m.dy")).alias("y"), (F.col("nx") + F.col("m.dx")).alias("x"), "ny", "nx")
-    return on.select("image", "y", "x").join(sent, ["image", "y", "x"])
+    return on.select("image", "y", "x").join(sent.hint("merge"), ["image", "y", "x"])
 
 
 def degrees(on: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def label(on: DataFrame) -> DataFrame:
     The table of components grows with the pixels, though its file is small: it is joined by shuffle, never sent to the driver.
     """
     code = lambda y, x: F.shiftleft(F.col("image").cast("long"), 40) + F.shiftleft(F.col(y).cast("long"), 20) + F.col(x)
-    edges = neighbours(on).select(code("y", "x").alias("a"), code("ny", "nx").alias("b"))
+    edges = neighbours(on, ONWARD).select(code("y", "x").alias("a"), code("ny", "nx").alias("b"))
     got = components(edges)
     return on.select("image", "y", "x", code("y", "x").alias("_c")).join(got.hint("merge"), F.col("_c") == F.col("node"), "left").select("image", "y", "x", F.coalesce("root", "_c").alias("label"))
 
